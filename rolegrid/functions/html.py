@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid import vocab
-from rolegrid.functions import text, urls
-from rolegrid.functions.base import ColumnOrName, c, squeeze
+from rolegrid.functions import urls
+from rolegrid.functions.base import ColumnOrName, c, first_marker, let, squeeze
 
 ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
 REGION_OR_ANCHOR = (
@@ -47,19 +49,42 @@ def anchor_text(token: ColumnOrName) -> Column:
     return squeeze(F.regexp_replace(inner, "<[^>]*>", " "))
 
 
+def anchor_links(url: ColumnOrName, html: ColumnOrName) -> Column:
+    """array<struct<pos, in_nav, href, anchor_text, link>> of a page, in document order. ``link`` is
+    the resolved URL, NULL when not navigable."""
+
+    def resolved(parts: Column) -> Column:
+        return F.struct(
+            parts["pos"].alias("pos"), parts["in_nav"].alias("in_nav"), parts["href"].alias("href"),
+            parts["text"].alias("anchor_text"), urls.resolve_url(url, parts["href"]).alias("link"),
+        )
+
+    return F.transform(
+        anchor_tokens(html),
+        lambda a, i: let(
+            F.struct(
+                i.cast("bigint").alias("pos"), a["in_nav"].alias("in_nav"), href_of(a["token"]).alias("href"),
+                anchor_text(a["token"]).alias("text"),
+            ),
+            resolved,
+        ),
+    )
+
+
 def explode_anchors(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """One row per anchor: kept page columns, pos, in_nav, href, anchor_text, link (resolved URL,
-    NULL when not navigable)."""
+    """One row per anchor: kept page columns, pos, in_nav, href, anchor_text, link."""
     keep = keep if keep is not None else [x for x in pages.columns if x != html]
-    rows = pages.select(*keep, F.posexplode(anchor_tokens(html)).alias("pos", "a"))
-    parts = rows.select(
-        *keep,
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("a.in_nav").alias("in_nav"),
-        href_of("a.token").alias("href"),
-        anchor_text("a.token").alias("anchor_text"),
+    return pages.select(*keep, F.explode(anchor_links(url, html)).alias("a")).select(*keep, "a.*")
+
+
+def scored_links(url: ColumnOrName, html: ColumnOrName, **tokens) -> Column:
+    """The page's careers links with their score. Extraction, joining and scoring happen inside one
+    array expression, so a page is read once and only links with a signal leave it."""
+    scored = F.transform(
+        F.filter(anchor_links(url, html), lambda a: a["link"].isNotNull()),
+        lambda a: F.struct(a.alias("a"), score_anchor(url, a["link"], a["anchor_text"], a["in_nav"], **tokens).alias("s")),
     )
-    return parts.withColumn("link", urls.resolve_url(url, "href"))
+    return F.filter(scored, lambda x: x["s"]["has_signal"])
 
 
 def score_anchor(
@@ -73,36 +98,41 @@ def score_anchor(
     nav_phrases: list[str] = vocab.NAV_PHRASES,
 ) -> Column:
     """struct(score, external, evidence) of one link; score 0 means the link carries no signal."""
-    from rolegrid.functions.base import contains_any, first_marker
-
-    low = F.lower(c(label))
-    exact = F.trim(low).rlike(exact_pattern)
-    signal = ~exact & contains_any(low, text_tokens)
-    path = urls.has_prefix_token(urls.path_segments(link), path_tokens)
-    wording = F.when(exact, vocab.SCORE_TEXT_EXACT).when(signal, vocab.SCORE_TEXT_SIGNAL).otherwise(0)
-    by_path = F.when(path, vocab.SCORE_URL_SIGNAL).otherwise(0)
-    phrase = F.when(c(in_nav) & ((wording + by_path) == 0), first_marker(low, nav_phrases))
-    core = wording + by_path + F.when(phrase.isNotNull(), vocab.SCORE_TEXT_SIGNAL).otherwise(0)
-    external = ~urls.same_site(page_url, link)
-    total = (
-        core + F.when(c(in_nav), vocab.SCORE_NAV_REGION).otherwise(0) + F.when(external, vocab.SCORE_EXTERNAL).otherwise(0)
-    )
-    evidence = F.filter(
-        F.array(
-            F.when(exact, F.concat(F.lit("text_exact:"), low)).when(signal, F.lit("text_signal")),
-            F.when(path, F.lit("url_signal")),
-            F.concat(F.lit("nav_text:"), phrase),
-            F.when(c(in_nav), F.lit("in_nav")),
-            F.when(external, F.lit("external")),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    return F.struct(
-        F.when(core > 0, total).otherwise(0).cast("bigint").alias("score"),
-        external.alias("external"),
-        evidence.alias("evidence"),
-        (core > 0).alias("has_signal"),
+    facts = F.struct(
+        F.lower(c(label)).alias("low"),
+        c(in_nav).alias("in_nav"),
+        urls.has_prefix_token(urls.path_segments(link), path_tokens).alias("path"),
+        (~urls.same_site(page_url, link)).alias("external"),
     )
+    wording = "|".join(re.escape(t) for t in text_tokens)
+
+    def weigh(f: Column) -> Column:
+        exact = F.trim(f["low"]).rlike(exact_pattern)
+        text_score = F.when(exact, vocab.SCORE_TEXT_EXACT).when(f["low"].rlike(wording), vocab.SCORE_TEXT_SIGNAL).otherwise(0)
+        path_score = F.when(f["path"], vocab.SCORE_URL_SIGNAL).otherwise(0)
+        phrase = F.when(f["in_nav"] & ((text_score + path_score) == 0), first_marker(f["low"], nav_phrases))
+        return F.struct(f.alias("f"), text_score.alias("text"), path_score.alias("path"), phrase.alias("phrase"))
+
+    def total(w: Column) -> Column:
+        f = w["f"]
+        core = w["text"] + w["path"] + F.when(w["phrase"].isNotNull(), vocab.SCORE_TEXT_SIGNAL).otherwise(0)
+        nav = F.when(f["in_nav"], vocab.SCORE_NAV_REGION).otherwise(0)
+        away = F.when(f["external"], vocab.SCORE_EXTERNAL).otherwise(0)
+        evidence = F.array_compact(
+            F.array(
+                F.when(w["text"] == vocab.SCORE_TEXT_EXACT, F.concat(F.lit("text_exact:"), f["low"])).when(w["text"] > 0, F.lit("text_signal")),
+                F.when(f["path"], F.lit("url_signal")),
+                F.concat(F.lit("nav_text:"), w["phrase"]),
+                F.when(f["in_nav"], F.lit("in_nav")),
+                F.when(f["external"], F.lit("external")),
+            )
+        )
+        return F.struct(
+            F.when(core > 0, core + nav + away).otherwise(0).cast("bigint").alias("score"),
+            f["external"].alias("external"), evidence.alias("evidence"), (core > 0).alias("has_signal"),
+        )
+
+    return let(let(facts, weigh), total)
 
 
 def looks_like_posting(href: ColumnOrName, label: ColumnOrName, tokens: list[str] = vocab.POSTING_PATH_TOKENS) -> Column:
@@ -112,16 +142,10 @@ def looks_like_posting(href: ColumnOrName, label: ColumnOrName, tokens: list[str
     for prefix in vocab.POSTING_LINK_REJECTS:
         bad = bad | h.startswith(prefix)
     path = F.lower(F.regexp_extract(h, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#;]*)", 1))
-    hit = F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: path.contains(t))
+    hit = path.rlike("|".join(re.escape(t) for t in tokens))
     return F.coalesce(~bad & (F.trim(c(label)) != "") & hit, F.lit(False))
 
 
 def is_posting_link(href: ColumnOrName, label: ColumnOrName, link_pattern: str | None = None, tokens=vocab.POSTING_PATH_TOKENS) -> Column:
     """An override pattern replaces the heuristic entirely."""
     return c(href).rlike(link_pattern) if link_pattern else looks_like_posting(href, label, tokens)
-
-
-__all__ = [
-    "ANCHOR", "REGION_OR_ANCHOR", "anchor_text", "anchor_tokens", "explode_anchors", "href_of",
-    "is_posting_link", "looks_like_posting", "score_anchor", "text",
-]

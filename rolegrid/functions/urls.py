@@ -182,43 +182,39 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     """Join an href to the page it was found on; NULL when it is not a navigable link."""
     b, h = F.trim(c(base)), F.trim(c(href))
     no_frag = F.regexp_replace(h, r"#[\s\S]*$", "")
-    ref_path = F.regexp_extract(no_frag, r"^([^?]*)", 1)
-    ref_query = F.regexp_replace(no_frag, r"^[^?]*", "")
-    root = F.concat(F.lower(_part(b, 1)), F.lit("://"), _part(b, 2))
-    base_path, base_query = _part(b, 3), _part(b, 4)
-    merged = F.concat(F.regexp_replace(base_path, "[^/]*$", ""), ref_path)
-    rooted = F.when(merged.startswith("/") | (merged == ""), merged).otherwise(F.concat(F.lit("/"), merged))
-
-    def tidy(p: Column) -> Column:
-        return encode_path(remove_dot_segments(p))
-
-    absolute_tail = F.regexp_replace(no_frag, r"^[^:]*:(//[^/?]*)?", "")
-    absolute = F.concat(
-        F.lower(F.regexp_extract(no_frag, r"^([^:]*):", 1)),
-        F.regexp_extract(no_frag, r"^[^:]*(:(//[^/?]*)?)", 1),
-        tidy(F.regexp_extract(absolute_tail, r"^([^?]*)", 1)),
-        F.regexp_replace(absolute_tail, r"^[^?]*", ""),
+    parts = F.struct(
+        b.alias("base"),
+        no_frag.alias("ref"),
+        F.regexp_extract(no_frag, r"^([^?]*)", 1).alias("ref_path"),
+        F.regexp_replace(no_frag, r"^[^?]*", "").alias("ref_query"),
     )
-    joined = (
-        F.when(no_frag.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), absolute)
-        .when(
-            no_frag.startswith("//"),
-            F.concat(
-                F.lower(_part(b, 1)),
-                F.lit(":"),
-                F.regexp_extract(no_frag, r"^(//[^/?]*)", 1),
-                tidy(F.regexp_extract(no_frag, r"^//[^/?]*([^?]*)", 1)),
-                ref_query,
-            ),
-        )
-        .when(ref_path.startswith("/"), F.concat(root, tidy(ref_path), ref_query))
-        .when(
-            ref_path == "",
-            F.concat(root, tidy(base_path), F.when(ref_query == "", base_query).otherwise(ref_query)),
-        )
-        .otherwise(F.concat(root, tidy(rooted), ref_query))
+    usable = is_navigation(h) & b.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+")
+    return F.when(usable, let(parts, _join_reference))
+
+
+def _join_reference(p: Column) -> Column:
+    """Each kind of reference reduces to head, path and query, so that the path is tidied once."""
+    base_scheme, base_path = F.lower(_part(p["base"], 1)), _part(p["base"], 3)
+    root = F.concat(base_scheme, F.lit("://"), _part(p["base"], 2))
+    absolute = p["ref"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    network, rooted = p["ref"].startswith("//"), p["ref_path"].startswith("/")
+    same_page = p["ref_path"] == ""
+    ref_head = F.regexp_extract(p["ref"], r"^([^:/?]*:)?(//[^/?]*)?", 0)
+    head = (
+        F.when(absolute, F.concat(F.lower(F.regexp_extract(ref_head, "^[^:]*", 0)), F.regexp_replace(ref_head, "^[^:]*", "")))
+        .when(network, F.concat(base_scheme, F.lit(":"), ref_head))
+        .otherwise(root)
+    )
+    merged = F.concat(F.regexp_replace(base_path, "[^/]*$", ""), p["ref_path"])
+    path = (
+        F.when(absolute | network, F.substring(p["ref_path"], F.length(ref_head) + 1, F.length(p["ref_path"])))
+        .when(rooted, p["ref_path"])
+        .when(same_page, base_path)
+        .otherwise(F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged)))
     )
-    return F.when(is_navigation(h) & b.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"), joined)
+    query = F.when(same_page & (p["ref_query"] == "") & ~absolute & ~network, _part(p["base"], 4)).otherwise(p["ref_query"])
+    tidy = let(let(path, remove_dot_segments), encode_path)
+    return F.concat(head, tidy, query)
 
 
 # --- careers words in paths: four rules that differ on purpose ----------------------------------

@@ -104,9 +104,11 @@ def last_wins_counts(batch: DataFrame, keys: list[str], known: DataFrame) -> Dat
 
 def best_anchor(anchors: DataFrame, page: str = "page_id", link: str = "link") -> DataFrame:
     """Best score per (page, link), first seen on ties; the position stays that of the first sighting."""
-    best = first_per_group(anchors, [page, link], [F.desc("score"), "pos"])
-    first_seen = anchors.groupBy(page, link).agg(F.min("pos").alias("first_pos"))
-    return best.join(first_seen, [page, link]).withColumn("pos", F.col("first_pos")).drop("first_pos")
+    rest = [x for x in anchors.columns if x not in (page, link, "pos")]
+    best = anchors.groupBy(page, link).agg(
+        F.max_by(F.struct(*rest), F.struct("score", -F.col("pos"))).alias("__best"), F.min("pos").alias("pos")
+    )
+    return best.select(page, link, "pos", "__best.*")
 
 
 def rank_candidates(links: DataFrame, page: str = "page_id", link: str = "link", k: int | None = None) -> DataFrame:

@@ -185,7 +185,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host: st
     without a rules row was never readable and is denied."""
     path = F.coalesce(F.nullif(U.raw_path(url), F.lit("")), F.lit("/"))
     j = urls.withColumn("__path", path).join(rules.select(host, "rules", "crawl_delay"), host, "left")
-    hits = F.filter("rules", lambda r: F.col("__path").rlike(r["regex"]))
+    hits = F.filter("rules", lambda r: F.regexp_like(F.col("__path"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
     allowed = F.when(F.col("rules").isNull(), F.lit(False)).otherwise(F.coalesce(best["allow"], F.lit(True)))
     return j.withColumn("allowed", allowed).drop("__path", "rules")

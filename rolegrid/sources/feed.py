@@ -11,6 +11,26 @@ from rolegrid.functions.base import let
 TEXT_FIELDS = ["slug", "company", "position", "description", "location", "url", "apply_url", "company_logo", "date"]
 
 
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _element_pattern(depth: int = 12) -> str:
+    """Pattern of one array element, nested up to ``depth``; possessive, so it never backtracks."""
+    nested = r"[\[{][^\[\]{}\"]*+[\]}]"
+    for _ in range(depth):
+        nested = rf"[\[{{](?:[^\[\]{{}}\"]++|{_TEXT}|{nested})*+[\]}}]"
+    return rf"(?s){_TEXT}|{nested}|[^\s,\[\]{{}}\"]++"
+
+
+def _verbatim_elements(body: Column) -> Column:
+    """Texts of the elements of an array exactly as written. Where the pattern does not cover the body
+    (deeper nesting), something but commas is left over; such a body falls back to re-rendered elements."""
+    inside = F.regexp_replace(body, r"^\s*\[|\]\s*$", "")
+    exact = F.regexp_extract_all(inside, F.lit(_element_pattern()), F.lit(0))
+    covered = F.regexp_replace(inside, _element_pattern(), "").rlike(r"^[\s,]*$")
+    return F.when(covered, exact).otherwise(F.from_json(body, "array<string>"))
+
+
 def scan_feed(captures: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(elements, rejects). Each array element comes out as its own text with its index, uninspected;
     a JSON null is an empty feed; anything but an array is a reject."""
@@ -18,7 +38,7 @@ def scan_feed(captures: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
     t = F.trim(F.coalesce(F.col(body), F.lit("")))
     is_array = t.startswith("[") & F.try_parse_json(t).isNotNull()
     elements = captures.filter(is_array).select(
-        *others, F.posexplode(F.from_json(F.col(body), "array<string>")).alias("idx", "element")
+        *others, F.posexplode(_verbatim_elements(F.col(body))).alias("idx", "element")
     )
     rejects = captures.filter(~is_array & (t != "null"))
     return elements.withColumn("idx", F.col("idx").cast("bigint")), rejects

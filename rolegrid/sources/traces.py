@@ -21,9 +21,18 @@ def run_of_path(path: ColumnOrName) -> Column:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, bytes) of every file, empty ones included: this is what tells empty from missing."""
-    files = spark.read.format("binaryFile").load(path).select(run_of_path("path").alias("run_id"), F.col("length").alias("bytes"))
-    return files.filter(F.col("run_id").isNotNull())
+    """(run_id) of every file, empty ones included: this is what tells empty from missing. Scans skip
+    empty files, so the names come from the file index, which the driver holds anyway."""
+    names = spark.read.text(path).inputFiles()
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    return files.select(run_of_path("path").alias("run_id")).filter(F.col("run_id").isNotNull())
+
+
+def file_order() -> Column:
+    """Order of a line within its file, also when the file is read in splits: the split's offset in
+    MiB (a split is never smaller), then the row within the task."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33) + within
 
 
 def parse_trace_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -34,18 +43,16 @@ def parse_trace_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, seq, event, ...) of every trace file. A trace file is read by one task, so the line
-    order inside it is kept by a monotonic id."""
-    text = spark.read.option("wholetext", "false").text(path).select(
-        run_of_path(F.input_file_name()).alias("run_id"), F.monotonically_increasing_id().alias("seq"), "value"
-    )
+    """(run_id, seq, event, ...) of every trace file."""
+    text = spark.read.text(path).select(run_of_path("_metadata.file_path").alias("run_id"), file_order().alias("seq"), "value")
     return parse_trace_lines(text)
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, line_no, line) of run log files."""
-    whole = spark.read.option("wholetext", "true").text(path).select(run_of_path(F.input_file_name()).alias("run_id"), "value")
-    return whole.select("run_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    """(run_id, line_no, line) of run log files; line_no orders the lines of a file."""
+    return spark.read.text(path).select(
+        run_of_path("_metadata.file_path").alias("run_id"), file_order().alias("line_no"), F.col("value").alias("line")
+    )
 
 
 def grep_log(lines: DataFrame, grep: str | None = None, max_lines: int = 200) -> DataFrame:

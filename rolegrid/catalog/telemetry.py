@@ -118,7 +118,7 @@ o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS pos, count(*) OVER () AS n
 SELECT max(n) AS n, min(x) AS min, min(x) FILTER (pos = least(n - 1, floor(n * 0.25::DOUBLE))) AS p25, median(x) AS median,
        min(x) FILTER (pos = least(n - 1, floor(n * 0.75::DOUBLE))) AS p75, min(x) FILTER (pos = least(n - 1, floor(n * 0.90::DOUBLE))) AS p90, max(x) AS max FROM o""")
 def _w9(t: Tables):
-    return ranking.percentiles(runs.step_latency(t.trace_events), "latency_s", width=3600.0, digits=None)
+    return ranking.percentiles(runs.step_latency(t.trace_events), "latency_s", digits=None)
 
 
 @query("w9_o7_slowest_steps", """

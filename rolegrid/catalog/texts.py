@@ -169,16 +169,14 @@ _MARKED = "(CASE source WHEN 'src1' THEN 'Just a moment. ' || text WHEN 'src2' T
 
 
 @query("f18_marker_tests", f"""
-WITH d AS (SELECT doc_id, lower({_MARKED}) AS b, {_MARKED} AS raw FROM documents),
-e AS (SELECT *, lower(substring(raw, 1, 3000)) AS head, strlen(raw) AS bytes FROM d)
+WITH d AS (SELECT doc_id, {_MARKED} AS raw, lower({_MARKED}) AS b FROM documents)
 SELECT doc_id, regexp_matches(b, '{"|".join(vocab.CAREERS_TEXT_TOKENS)}') AS careers, regexp_matches(b, '{"|".join(vocab.OPENINGS_PHRASES)}') AS openings,
-       contains(head, 'just a moment') OR (bytes <= 4096 AND contains(b, 'access denied')) AS challenge,
-       contains(head, 'this domain is for sale') AS parked FROM e WHERE strlen(raw) <= 4096 OR NOT contains(right(b, 30), 'access denied') OR bytes > 9000""")
+       starts_with(b, 'just a moment') OR (instr(b, 'access denied') > 0 AND strlen(left(raw, instr(b, 'access denied') - 1)) + 13 <= 4096) AS challenge,
+       starts_with(b, 'this domain is for sale') AS parked FROM d""")
 def _f18(t: Tables):
     d = t.documents.select("doc_id", F.expr(_MARKED).alias("raw"))
-    keep = (F.octet_length("raw") <= 4096) | ~F.lower(F.right("raw", F.lit(30))).contains("access denied") | (F.octet_length("raw") > 9000)
-    return d.filter(keep).select("doc_id", T.has_careers_signal("raw").alias("careers"), T.has_openings_phrase("raw").alias("openings"),
-                                 T.looks_like_challenge("raw", F.lit("")).alias("challenge"), T.is_parked("raw", F.lit("")).alias("parked"))
+    return d.select("doc_id", T.has_careers_signal("raw").alias("careers"), T.has_openings_phrase("raw").alias("openings"),
+                    T.looks_like_challenge("raw", F.lit("")).alias("challenge"), T.is_parked("raw", F.lit("")).alias("parked"))
 
 
 _TITLES = "(CASE p_type WHEN 'ECONOMY' THEN ' Careers ' WHEN 'SMALL' THEN 'Engineer Job Search at ' || p_name WHEN 'STANDARD' THEN 'Open Positions' ELSE p_name END)"
@@ -325,7 +323,7 @@ def _f28h(t: Tables):
 
 @query("o9_sitemap_ranking", """
 WITH d AS (SELECT page_id, url, len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) AS depth, regexp_extract(url, '[^.]+[.][^./]+', 0) AS host FROM pages)
-SELECT page_id, CAST(row_number() OVER (PARTITION BY regexp_extract(url, 'example[.]([a-z]+)', 1) ORDER BY depth, url, page_id) AS BIGINT) AS rank FROM d ORDER BY rank LIMIT 60""")
+SELECT page_id, rank FROM (SELECT page_id, CAST(row_number() OVER (PARTITION BY regexp_extract(url, 'example[.]([a-z]+)', 1) ORDER BY depth, url, page_id) AS BIGINT) AS rank FROM d) WHERE rank <= 20""")
 def _o9(t: Tables):
     p = t.pages.withColumns({"tld": F.regexp_extract("url", "example[.]([a-z]+)", 1), "depth": U.path_depth("url")})
     return ranking.top_k(p, ["tld"], ["depth", "url", "page_id"], 20, "rank").select("page_id", "rank")

@@ -138,7 +138,7 @@ WITH o AS (SELECT event_type, CAST(value AS DOUBLE) AS x, row_number() OVER (PAR
                   count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, {_PCT} FROM o GROUP BY event_type""")
 def _a6(t: Tables):
-    return ranking.percentiles(t.events, "value", ["event_type"], width=1.0, digits=None)
+    return ranking.percentiles(t.events, "value", ["event_type"], digits=None)
 
 
 @query("a6_run_duration_percentiles", f"""
@@ -149,7 +149,7 @@ def _a6_runs(t: Tables):
     from rolegrid.functions.times import duration_seconds
 
     runs = t.runs.withColumn("duration_s", duration_seconds("started_at", "finished_at"))
-    return ranking.percentiles(runs, "duration_s", width=100.0, digits=None)
+    return ranking.percentiles(runs, "duration_s", digits=None)
 
 
 @query("o7_top_items_per_group", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -49,3 +49,10 @@ def map_lookup(key: Column, mapping: Mapping) -> Column:
 def squeeze(text: ColumnOrName) -> Column:
     """Whitespace runs become one space, ends trimmed."""
     return F.trim(F.regexp_replace(c(text), r"\s+", " "))
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a one-row result on every row, as a scalar subquery (no join)."""
+    packed = row.select(F.struct(*row.columns)).scalar()
+    wide = df.withColumn("__row", packed)
+    return wide.select(*df.columns, *[F.col("__row")[name].alias(name) for name in row.columns])

@@ -56,23 +56,39 @@ def parse_posting(raw: ColumnOrName) -> Column:
 
     ``remote`` is true or NULL, never false: absence of the marker says nothing.
     """
-    return let(F.try_parse_json(c(raw)), _read_posting)
+    keys = F.json_object_keys(c(raw))
+    parts = F.struct(
+        F.from_json(c(raw), _POSTING_FIELDS).alias("f"), F.coalesce(keys, F.array().cast("array<string>")).alias("keys"),
+        (keys.isNotNull() & F.try_parse_json(c(raw)).isNotNull()).alias("valid"),
+    )
+    return let(parts, _read_posting)
+
+
+# The fields that are read.
+_POSTING_FIELDS = "`@type` string, jobLocationType string, employmentType string, datePosted string, validThrough string"
+
+
+def _scalar_or_first(text: Column) -> Column:
+    """Text of a field read as string. An array arrives as its JSON text and gives its first non-blank
+    element, provided it holds strings only."""
+    return F.when(text.startswith("["), first_string(F.try_parse_json(text))).otherwise(F.trim(F.coalesce(text, F.lit(""))))
+
+
+def _read_posting(p: Column) -> Column:
+    f = p["f"]
+    typed = F.lower(_scalar_or_first(f["@type"])) == "jobposting"
+    marked = F.arrays_overlap(p["keys"], F.array(*[F.lit(k) for k in vocab.POSTING_MARKER_KEYS]))
+    ok = p["valid"] & (typed | marked)
 
+    def kept(name: str) -> Column:
+        return F.when(ok, _scalar_or_first(f[name]))
 
-def _read_posting(v: Column) -> Column:
-    is_object = _is(v, "OBJECT")
-    typed = F.lower(first_string(field(v, "$['@type']"))) == "jobposting"
-    marked = F.lit(False)
-    for key in vocab.POSTING_MARKER_KEYS:
-        marked = marked | field(v, f"$.{key}").isNotNull()
-    ok = F.coalesce(is_object & (typed | marked), F.lit(False))
-    remote = F.when(ok & (first_string(field(v, "$.jobLocationType")) == "TELECOMMUTE"), F.lit(True))
     return F.struct(
-        ok.alias("is_posting"),
-        remote.alias("remote"),
-        F.when(ok, employment_type(first_string(field(v, "$.employmentType")))).alias("employment_type"),
-        F.when(ok, parse_instant(first_string(field(v, "$.datePosted")))).alias("posted_at"),
-        F.when(ok, parse_instant(first_string(field(v, "$.validThrough")))).alias("valid_through"),
+        F.coalesce(ok, F.lit(False)).alias("is_posting"),
+        F.when(kept("jobLocationType") == "TELECOMMUTE", F.lit(True)).alias("remote"),
+        employment_type(kept("employmentType")).alias("employment_type"),
+        let(kept("datePosted"), parse_instant).alias("posted_at"),
+        let(kept("validThrough"), parse_instant).alias("valid_through"),
     )
 
 

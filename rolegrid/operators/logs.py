@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolegrid import vocab
 from rolegrid.functions import times
-from rolegrid.functions.base import ColumnOrName, c
+from rolegrid.functions.base import ColumnOrName, attach_row, c
 
 RAW_LIMIT = 2000
 NUMERIC = {"status": "bigint", "duration_ms": "bigint", "sweep_id": "bigint"}
@@ -152,7 +152,7 @@ def error_summary(lines: DataFrame, level: str = "error", limit: int = 30, app:
     """The largest groups with the number of groups and the total over all of them, not only the shown."""
     groups = error_groups(lines, level, app)
     totals = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return groups.orderBy(F.desc("n"), "app", "svc", "msg").limit(limit).crossJoin(totals)  # one row of totals
+    return attach_row(groups.orderBy(F.desc("n"), "app", "svc", "msg").limit(limit), totals)
 
 
 def container_health(lines: DataFrame, limit: int = 40, pattern: str = vocab.CONTAINER_PROBLEM_PATTERN) -> DataFrame:

@@ -32,7 +32,7 @@ def assign_ids(fresh: DataFrame, state: DataFrame, key: list[str], id_col: str,
     spread = F.pmod(F.xxhash64(*key), F.lit(buckets))
     numbered = number_rows(fresh, [], [F.col(k) for k in key], spread, "__n")
     top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return numbered.crossJoin(top).withColumn(id_col, F.col("__top") + F.col("__n")).drop("__n", "__top")
+    return numbered.withColumn(id_col, top.scalar() + F.col("__n")).drop("__n")
 
 
 def upsert(

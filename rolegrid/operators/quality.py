@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid import vocab
-from rolegrid.functions.base import ColumnOrName, c
+from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.functions.text import slugify
 
 
@@ -125,7 +125,7 @@ def failure_buckets(companies: DataFrame, attempts: DataFrame) -> DataFrame:
     )
     counts = j.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("companies"))
     size = companies.agg(F.count("*").alias("__all"))
-    return counts.crossJoin(size).select(
+    return attach_row(counts, size).select(
         "bucket", "companies", F.round(F.col("companies") * 100 / F.col("__all"), 1).alias("share_pct")
     )
 

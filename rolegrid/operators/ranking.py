@@ -130,17 +130,28 @@ def accepted_status(attempts: DataFrame, keys: list[str], answer: str) -> DataFr
     )
 
 
-def percentiles(df: DataFrame, value: str, keys: list[str] | None = None, width: float = 1000.0, digits: int | None = 1) -> DataFrame:
+PERCENTILE_BUCKETS = 128
+
+
+def percentiles(df: DataFrame, value: str, keys: list[str] | None = None, width: float | None = None, digits: int | None = 1) -> DataFrame:
     """n, min, p25, median, p75, p90, max per key; pX is the element at index int(n*f).
 
     Values are first counted per distinct value (combined on the map side), then cumulated in value
-    buckets, so neither a hot key nor a hot value gathers in one task.
+    buckets, so neither a hot key nor a hot value gathers in one task. The buckets follow the
+    distribution (approximate quantiles of the distinct values, so they hold alike many whatever the
+    shape) unless a fixed width is given; they only split the work, the result is exact.
     """
     keys = keys or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__c"))
-    cum = running_sum(counts, keys, ["__x"], bucket("__x", width), {"__cum": F.col("__c")})
+    if width is None:
+        steps = [i / PERCENTILE_BUCKETS for i in range(1, PERCENTILE_BUCKETS)]
+        bounded = counts.withColumn("__bounds", counts.agg(F.percentile_approx("__x", steps, 1000)).scalar())
+        split = bounded.withColumn("__split", F.size(F.filter("__bounds", lambda b: b <= F.col("__x")))).drop("__bounds")
+    else:
+        split = counts.withColumn("__split", bucket("__x", width))
+    cum = running_sum(split, keys, ["__x"], F.col("__split"), {"__cum": F.col("__c")})
     size = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    rows = cum.join(size, keys) if keys else cum.crossJoin(size)  # size is one row without keys
+    rows = cum.join(size, keys) if keys else cum.withColumn("__n", size.scalar())
 
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("__cum") > index, F.col("__x")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid import vocab
-from rolegrid.functions.base import ColumnOrName, c
+from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.functions.text import literal_search
 from rolegrid.functions.times import rfc3339
 from rolegrid.operators.ranking import latest_run
@@ -354,7 +354,7 @@ def pipeline_status(companies: DataFrame, company_platforms: DataFrame, jobs: Da
         F.count_if(F.col("status") == "open").alias("open_jobs"),
         F.countDistinct("company_id").alias("companies_with_jobs"),
     )
-    return c_row.crossJoin(j_row)  # one row each
+    return attach_row(c_row, j_row)
 
 
 def next_step(status: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegrid import vocab
 from rolegrid.functions import times
-from rolegrid.functions.base import ColumnOrName, c
+from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.operators.ranking import percentiles, tally, top_k
 from rolegrid.operators.scans import bucket, previous, running_sum, time_bucket
 
@@ -99,7 +99,7 @@ def run_order(sort: str) -> list[Column]:
     }[sort]
 
 
-def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float = 100.0, digits: int | None = 1) -> DataFrame:
+def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float | None = None, digits: int | None = 1) -> DataFrame:
     """One row: runs, wall hours, runs without duration, traced runs, and duration percentiles."""
     timed = with_duration(runs)
     head = timed.agg(
@@ -108,10 +108,10 @@ def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float = 1
         F.count_if(F.col("duration_s").isNull()).alias("runs_without_duration"),
     )
     pct = percentiles(timed, "duration_s", width=width, digits=digits).withColumnRenamed("n", "timed_runs")
-    out = head.crossJoin(pct)  # one row each
+    out = attach_row(head, pct)
     if traced is not None:
         seen = runs.join(traced.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").agg(F.count("*").alias("traced"))
-        out = out.crossJoin(seen)
+        out = attach_row(out, seen)
     return out
 
 

@@ -12,7 +12,7 @@ from rolegrid.operators.reads import cached_listings
 from rolegrid.operators.wikitext import constituents
 from rolegrid.functions import jsonld
 from rolegrid.functions import urls as U
-from rolegrid.functions.base import ColumnOrName
+from rolegrid.functions.base import ColumnOrName, attach_row
 from rolegrid.session import cut
 from rolegrid.sources import feed
 from rolegrid.sources.postings import posting_batch
@@ -39,15 +39,12 @@ def feed_ingest(captures: DataFrame, companies: DataFrame, jobs: DataFrame, plat
     closable = seen.join(accepted.limit(1).select(F.lit(True).alias("__any")), F.lit(True), "left_semi")
     new_jobs = cut(merge.mark_stale(merged, closable, ["discovery_platform_id"], now))
     counted = new_jobs.agg(F.count_if("newly_closed").alias("closed"), F.count_if(F.col("merge_action") == "inserted").alias("inserted"))
-    report = (
-        parsed.agg(
-            F.count("*").alias("found"), F.count_if(F.col("reason").isNull()).alias("accepted"),
-            F.count_if(F.col("external_id").isNotNull()).alias("identified"),
-            F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "notice")).alias("skipped"),
-        )
-        .crossJoin(counted)
-        .crossJoin(rejects.agg(F.count("*").alias("rejected_bodies")))
+    read = parsed.agg(
+        F.count("*").alias("found"), F.count_if(F.col("reason").isNull()).alias("accepted"),
+        F.count_if(F.col("external_id").isNotNull()).alias("identified"),
+        F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "notice")).alias("skipped"),
     )
+    report = attach_row(attach_row(read, counted), rejects.agg(F.count("*").alias("rejected_bodies")))
     outcome = F.when(F.col("accepted") > 0, "ok").when(F.col("identified") == 0, "no_jobs").otherwise("normalize_failed")
     report = report.withColumns({"outcome": outcome, "updated": F.col("accepted") - F.col("inserted")})
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrid.functions.base import let
+from rolegrid.functions.base import attach_row, let
 
 # Element fields that must be text when present.
 TEXT_FIELDS = ["slug", "company", "position", "description", "location", "url", "apply_url", "company_logo", "date"]
@@ -154,7 +154,7 @@ def tag_profile(jobs: DataFrame, tags: str = "tags") -> DataFrame:
         F.sum(F.size(tags)).cast("bigint").alias("total_tags"), F.count_if(F.size(tags) == 0).alias("untagged"),
     )
     distinct = jobs.select(F.explode(tags).alias("t")).agg(F.countDistinct("t").alias("distinct_tags"))
-    return per_job.crossJoin(distinct)  # one row each
+    return attach_row(per_job, distinct)
 
 
 def tag_histogram(jobs: DataFrame, tags: str = "tags") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.functions.base import ColumnOrName, c
+from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.functions.text import log_int
 from rolegrid.functions.times import parse_instant
 
@@ -62,7 +62,7 @@ def grep_log(lines: DataFrame, grep: str | None = None, max_lines: int = 200) ->
     if grep:
         out = out.filter(F.regexp_like("line", F.lit(f"(?i){grep}")))
     total = out.agg(F.count("*").alias("total_lines"))
-    return out.orderBy("line_no").limit(max_lines).crossJoin(total).withColumn("truncated", F.col("total_lines") > max_lines)
+    return attach_row(out.orderBy("line_no").limit(max_lines), total).withColumn("truncated", F.col("total_lines") > max_lines)
 
 
 def attribute_logs(lines: DataFrame, runs: DataFrame, sweeps: DataFrame) -> DataFrame:

@@ -69,11 +69,16 @@ def raw_path(url: ColumnOrName) -> Column:
     return F.when(is_http_url(url), _part(c(url), 3)).otherwise("")
 
 
-def path_of(url: ColumnOrName) -> Column:
-    """Lower-cased, percent-decoded path."""
+def decoded_path(url: ColumnOrName) -> Column:
+    """Percent-decoded path; '' when the URL is not usable."""
     raw = raw_path(url)
     decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    return F.lower(F.when(raw.contains("%"), decoded).otherwise(raw))
+    return F.when(raw.contains("%"), decoded).otherwise(raw)
+
+
+def path_of(url: ColumnOrName) -> Column:
+    """Lower-cased, percent-decoded path."""
+    return F.lower(decoded_path(url))
 
 
 def path_segments(url: ColumnOrName) -> Column:

@@ -183,7 +183,7 @@ def robots_rules(robots: DataFrame, agent: str, host: str = "host", body: str =
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host") -> DataFrame:
     """Adds ``allowed``: the longest matching pattern wins, allow wins ties, no match allows. A host
     without a rules row was never readable and is denied."""
-    path = F.coalesce(F.nullif(U.raw_path(url), F.lit("")), F.lit("/"))
+    path = F.coalesce(F.nullif(U.decoded_path(url), F.lit("")), F.lit("/"))
     j = urls.withColumn("__path", path).join(rules.select(host, "rules", "crawl_delay"), host, "left")
     hits = F.filter("rules", lambda r: F.regexp_like(F.col("__path"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))

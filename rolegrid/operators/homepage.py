@@ -80,7 +80,7 @@ def two_source_homepage(infobox: DataFrame, selected: DataFrame) -> DataFrame:
     )
 
 
-def rekey_titles(canonical: DataFrame, aliases: DataFrame, requested: DataFrame, max_depth: int = 20) -> DataFrame:
+def rekey_titles(canonical: DataFrame, aliases: DataFrame, requested: DataFrame, max_depth: int = 100) -> DataFrame:
     """(title, key): the requested title behind a canonical one, back through normalisation and
     redirects; the canonical title when the chain does not end at a requested one.
 
@@ -95,10 +95,10 @@ def rekey_titles(canonical: DataFrame, aliases: DataFrame, requested: DataFrame,
         views[name] = f"rekey_{name}_{id(df)}"
         df.createOrReplaceTempView(views[name])
     chain = spark.sql(f"""
-        WITH RECURSIVE walk(title, node, depth) MAX RECURSION LEVEL {max_depth + 5} AS (
+        WITH RECURSIVE walk(title, node, depth) MAX RECURSION LEVEL {max_depth} AS (
             SELECT title, title, 0 FROM {views['canonical']}
             UNION ALL
-            SELECT w.title, b.prev, w.depth + 1 FROM walk w JOIN {views['back']} b ON b.node = w.node WHERE w.depth < {max_depth})
+            SELECT w.title, b.prev, w.depth + 1 FROM walk w JOIN {views['back']} b ON b.node = w.node)
         SELECT title, max_by(node, depth) AS origin FROM walk GROUP BY title""")
     wanted = requested.select(F.col("title").alias("origin"), F.lit(True).alias("__asked")).distinct()
     return chain.join(wanted, "origin", "left").select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from rolegrid.llm.line_dedup import dedup_lines
 from rolegrid.llm.registry import ORACLES, QUERIES, register
+from rolegrid.llm.simhash import near_duplicates
+from rolegrid.llm.token_store import read_store, write_store
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -25,3 +27,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id""")
 def _line_dedup(read):
     return dedup_lines(read("documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@register("op2_token_store")
+def _token_store(read):
+    import public_tokenizers
+
+    docs = read("documents")
+    return read_store(docs.sparkSession, write_store(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@register("op10_simhash")
+def _simhash(read):
+    return near_duplicates(read("documents"))

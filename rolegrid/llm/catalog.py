@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rolegrid.llm.chat import digests, format_chats, read_chats
 from rolegrid.llm.line_dedup import dedup_lines
+from rolegrid.llm.phrase_index import decontaminate
 from rolegrid.llm.registry import ORACLES, QUERIES, register
 from rolegrid.llm.simhash import near_duplicates
 from rolegrid.llm.token_store import read_store, write_store
@@ -71,3 +72,31 @@ def _chat_format(read):
 def _warc(read):
     pages = read("pages")
     return read_archive(pages.sparkSession, write_archive(pages)).drop("url")
+
+
+@register("op9_phrase_index", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM asked),
+grams AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, lengths WHERE len(w) >= n)),
+found AS (SELECT doc_id, k, n, item_id FROM grams JOIN asked USING (n, phrase)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM found)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def _phrase_index(read):
+    return decontaminate(read("documents"), read("benchmark"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rolegrid.llm.chat import digests, format_chats, read_chats
 from rolegrid.llm.line_dedup import dedup_lines
+from rolegrid.llm.line_rules import quality_rules
 from rolegrid.llm.phrase_index import decontaminate
 from rolegrid.llm.registry import ORACLES, QUERIES, register
 from rolegrid.llm.simhash import near_duplicates
@@ -100,3 +101,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
 def _phrase_index(read):
     return decontaminate(read("documents"), read("benchmark"))
+
+
+@register("op5_line_rules", r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, host, n, line FROM (SELECT doc_id, host, generate_subscripts(l, 1) AS n, unnest(l) AS line
+    FROM (SELECT doc_id, host, string_split(text, chr(10)) AS l FROM docs)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+grams AS (
+  SELECT doc_id, k, w[k:k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM docs WHERE len(w) >= 3)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY doc_id),
+keyed AS (
+  SELECT doc_id, host, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM keyed GROUP BY host),
+often AS (
+  SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n_docs FROM keyed GROUP BY host, key) JOIN hosts USING (host)
+  WHERE n_docs > 20 AND n_docs > 0.01 * host_docs),
+lost AS (
+  SELECT doc_id, CAST(sum(words) AS BIGINT) AS removed FROM keyed SEMI JOIN often USING (host, key) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words
+  FROM docs LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND removed_words <= 0.5 * n_words AS kept FROM judged""")
+def _line_rules(read):
+    return quality_rules(read("documents"))

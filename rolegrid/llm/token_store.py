@@ -15,8 +15,8 @@ per-worker cache; ids are those of the whole text (tests compare them).
 
 Edge cases: null or empty text is the end id alone; null doc_ids sort first; rows that repeat a doc_id each get an
 entry, ordered by text; an empty table gives an empty store. The dictionary is fitted on at most SAMPLE_DOCS
-documents of at most SAMPLE_BYTES bytes, chosen by the hash of their ids (a documented bound; every document is
-compressed). With too few of them there is none, and frames stand alone.
+documents (twice that at most) of at most SAMPLE_BYTES bytes, chosen by the hash of their ids: a documented bound for
+fitting; every document is compressed. With too few of them there is none, and frames stand alone.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ DICTIONARY_BYTES = 32_768
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 4_096
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -49,10 +49,10 @@ _encoders: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """Ids of whole texts by a tokenizers file, piece by piece.
 
-    Pieces not seen before are encoded together in one call, with a mark between them that is a word of its own and
-    whose ids nothing else gives. Known pieces live in two generations; a full young one becomes the old one."""
-
-    MARK = "\x01"
+    The vocabulary splits letters from everything else and ends each word with a mark of its own, so pieces of
+    letters only are encoded many in one call and cut apart after the ids that end a word; a piece of letters and one
+    comma or full stop is put together from both. Any other piece is encoded by itself. Known pieces live in two
+    generations; a full young one becomes the old one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,24 +61,50 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        mark = self._ids(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails = {mark: self._ids(mark).tobytes() for mark in ",."}
+        if self._ids("ab,").tobytes() != self._ids("ab").tobytes() + self.tails[","]:
+            self.tails = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _find(self, piece: str) -> bytes | None:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.young[piece] = ids
+        return ids
+
     def _learn(self, pieces: list[str]) -> None:
-        together = [p for p in pieces if self.mark is not None and self.MARK not in p]
-        for p in set(pieces).difference(together):
-            self.young[p] = self._ids(p).tobytes()
-        if together:
-            ids = self._ids(f" {self.MARK} ".join(together))
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(together) - 1:
-                raise ValueError("the mark between pieces is not a word of its own in this vocabulary")
-            raw = ids.tobytes()
-            for p, a, b in zip(together, [-1, *cuts], [*cuts, len(ids)]):
-                self.young[p] = raw[4 * a + 4 : 4 * b]
+        built, words = [], set()
+        for p in pieces:
+            tail = self.tails.get(p[-1:])
+            core = p[:-1] if tail else p
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                built.append((p, core, tail or b""))
+                if self._find(core) is None:
+                    words.add(core)
+            else:
+                self.young[p] = self._ids(p).tobytes()
+        if words:
+            ordered = list(words)
+            ids = self._ids(" ".join(ordered))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(ordered):
+                raw = ids.tobytes()
+                for w, a, b in zip(ordered, [0, *cuts], cuts):
+                    self.young[w] = raw[4 * a : 4 * b]
+            else:  # letters that the vocabulary's splitter does not take for letters
+                for w in ordered:
+                    self.young[w] = self._ids(w).tobytes()
+        for p, core, tail in built:
+            self.young[p] = self.young[core] + tail
 
     def __call__(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -87,13 +113,7 @@ class PieceEncoder:
             if len(self.young) > CACHE_PIECES:
                 self.old, self.young = self.young, {}
                 new = set(pieces)
-            unknown = []
-            for p in new:
-                ids = self.old.get(p)
-                if ids is None:
-                    unknown.append(p)
-                else:
-                    self.young[p] = ids
+            unknown = [p for p in new if self._find(p) is None]
             if unknown:
                 self._learn(unknown)
         return b"".join(map(self.young.__getitem__, pieces))
@@ -107,9 +127,11 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
+    held = narrow(docs, "doc_id", "text")
+    every = max(1, held.count() // SAMPLE_DOCS)  # a bounded sample at every size; it only shapes the dictionary
     rows = (
-        narrow(docs, "doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(SAMPLE_DOCS).collect()
+        held.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & F.octet_length("text").between(1, SAMPLE_BYTES))
+        .select("text").limit(2 * SAMPLE_DOCS).collect()
     )
     encode = encoder(vocabulary)
     samples = [s for s in (encode(r.text) for r in rows) if s]

@@ -8,6 +8,7 @@ from rolegrid.llm.line_rules import quality_rules
 from rolegrid.llm.phrase_index import decontaminate
 from rolegrid.llm.registry import ORACLES, QUERIES, register
 from rolegrid.llm.simhash import near_duplicates
+from rolegrid.llm.site_bayes import classify
 from rolegrid.llm.token_store import read_store, write_store
 from rolegrid.llm.warc import read_archive, write_archive
 
@@ -134,3 +135,8 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT *, NOT base_failed AND removed_words <= 0.5 * n_words AS kept FROM judged""")
 def _line_rules(read):
     return quality_rules(read("documents"))
+
+
+@register("op7_site_bayes")
+def _site_bayes(read):
+    return classify(read("documents"), read("labels"))

@@ -2,7 +2,7 @@
 
 ``write_archive`` keeps two tables in the shared folder:
 
-* ``payloads``: each distinct payload once, under its SHA-256, with its length and bytes;
+* ``payloads``: each distinct payload once, under its SHA-256, with its length and its bytes in a zstandard frame;
 * ``headers``: one row per record with the exact bytes of its WARC header and HTTP header, the payload's SHA-256,
   and the part of the payload's references it belongs to.
 
@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from rolegrid.llm.shared import as_bytes, narrow, new_path, stash
 
 MIN_BYTES = 0
 REFERENCES = 500
+LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -98,18 +100,31 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES, path: str | None
         F.pmod(F.xxhash64("page_id"), _parts(F.col("n_refs"))).cast("int").alias("part"))
     _headers(rows).write.parquet(f"{path}/headers")
     # A payload's copies meet in one row per task before they are sent anywhere.
-    body = narrow(pages, "html").select(F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    once = body.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.any_value("payload").alias("payload"))
+    once = _packed(pages).groupBy("sha256").agg(F.any_value("n_bytes").alias("n_bytes"), F.any_value("packed").alias("packed"))
     counted = once.join(owners.select("sha256", _parts(F.col("n_refs")).alias("parts")), "sha256")
-    counted.select("sha256", "parts", F.octet_length("payload").cast("bigint").alias("n_bytes"), "payload").write.option(
-        "compression", "zstd").parquet(f"{path}/payloads")
+    counted.select("sha256", "parts", "n_bytes", "packed").write.option("compression", "none").parquet(f"{path}/payloads")
     return path
 
 
+def _packed(pages: DataFrame) -> DataFrame:
+    """(sha256, n_bytes, packed): payloads as zstandard frames."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for part in parts:
+            bodies = as_bytes(part.column(0))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()), pa.array([len(b) for b in bodies], pa.int64()),
+                pa.array([pack.compress(b) for b in bodies], pa.binary()),
+            ], names=["sha256", "n_bytes", "packed"])
+
+    return narrow(pages, "html").mapInArrow(run, "sha256 string, n_bytes bigint, packed binary")
+
+
 def _joined(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema("page_id bigint, sha256 string, part int, warc_header binary, http_header binary").parquet(f"{path}/headers")
-    payloads = spark.read.schema("sha256 string, parts int, n_bytes bigint, payload binary").parquet(f"{path}/payloads")
-    copies = payloads.select("sha256", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n_bytes", "payload")
+    payloads = spark.read.schema("sha256 string, parts int, n_bytes bigint, packed binary").parquet(f"{path}/payloads")
+    copies = payloads.select("sha256", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n_bytes", "packed")
     return headers.join(copies, ["sha256", "part"])
 
 
@@ -123,10 +138,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     and checked against its payload."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for part in parts:
             out = []
             for r in part.to_pylist():
-                payload = r["payload"]
+                payload = unpack.decompress(r["packed"])
                 version, h = parse_header(r["warc_header"])
                 digest = base32_sha1(payload)
                 if (version != "WARC/1.1" or hashlib.sha256(payload).hexdigest() != r["sha256"] or h["WARC-Payload-Digest"] != f"sha1:{digest}"
@@ -145,6 +161,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def record_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record): the exact WARC record, headers and block, with the empty lines that end it."""
-    revisit = F.position(F.lit(b"\r\nWARC-Refers-To: "), F.col("warc_header")) > 0
-    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return _joined(spark, path).select("page_id", F.concat("warc_header", "http_header", body, F.lit(b"\r\n\r\n")).alias("record"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for part in parts:
+            records = []
+            for r in part.to_pylist():
+                again = "WARC-Refers-To" in parse_header(r["warc_header"])[1]
+                records.append(r["warc_header"] + r["http_header"] + (b"" if again else unpack.decompress(r["packed"])) + 2 * CRLF)
+            yield pa.RecordBatch.from_arrays([part["page_id"], pa.array(records, pa.binary())], names=["page_id", "record"])
+
+    return _joined(spark, path).mapInArrow(run, "page_id bigint, record binary")

@@ -2,6 +2,8 @@ import base64
 import hashlib
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from rolegrid.llm.catalog import QUERIES
 from rolegrid.llm.warc import parse_header, read_archive, record_bytes, write_archive
@@ -59,7 +61,7 @@ def test_record_bytes_parse_as_warc(spark, pages):
 
 def test_a_changed_payload_is_found(spark, pages):
     path = write_archive(pages(ROWS))
-    spark.read.parquet(f"{path}/payloads").selectExpr("sha256", "parts", "n_bytes", "cast('z' as binary) as payload").write.parquet(f"{path}/bad")
+    spark.read.parquet(f"{path}/payloads").withColumn("packed", F.lit(zstandard.compress(b"z"))).write.parquet(f"{path}/bad")
     spark.read.parquet(f"{path}/bad").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match"):
         read_archive(spark, path).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rolegrid.llm import piece_scan
 from rolegrid.llm.chat import digests, format_chats, read_chats
 from rolegrid.llm.line_dedup import dedup_lines
 from rolegrid.llm.line_rules import quality_rules
@@ -140,3 +141,11 @@ def _line_rules(read):
 @register("op7_site_bayes")
 def _site_bayes(read):
     return classify(read("documents"), read("labels"))
+
+
+@register("op3_piece_scan")
+def _piece_scan(read):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_scan.digests(piece_scan.decode(piece_scan.encode(read("documents"), model), model))

@@ -8,6 +8,7 @@ from rolegrid.llm.line_dedup import dedup_lines
 from rolegrid.llm.line_rules import quality_rules
 from rolegrid.llm.phrase_index import decontaminate
 from rolegrid.llm.registry import ORACLES, QUERIES, register
+from rolegrid.llm.repeat_spans import remove_repeats
 from rolegrid.llm.simhash import near_duplicates
 from rolegrid.llm.site_bayes import classify
 from rolegrid.llm.token_store import read_store, write_store
@@ -149,3 +150,8 @@ def _piece_scan(read):
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_scan.digests(piece_scan.decode(piece_scan.encode(read("documents"), model), model))
+
+
+@register("op1_repeat_spans")
+def _repeat_spans(read):
+    return remove_repeats(read("documents")).drop("kept")

@@ -10,6 +10,7 @@ from rolegrid.functions import urls as U
 from rolegrid.functions.base import ColumnOrName, c
 from rolegrid.functions.text import distinctive_token
 from rolegrid.operators.ranking import first_per_group
+from rolegrid.session import cut
 
 
 def score_homepage(claims: DataFrame, url: str = "url", rank: str = "rank", company: str = "title") -> DataFrame:
@@ -80,27 +81,35 @@ def two_source_homepage(infobox: DataFrame, selected: DataFrame) -> DataFrame:
     )
 
 
-def rekey_titles(canonical: DataFrame, aliases: DataFrame, requested: DataFrame, max_depth: int = 100) -> DataFrame:
+def rekey_titles(canonical: DataFrame, aliases: DataFrame, requested: DataFrame) -> DataFrame:
     """(title, key): the requested title behind a canonical one, back through normalisation and
     redirects; the canonical title when the chain does not end at a requested one.
 
-    aliases(from, to, ord): the last ``from`` of a ``to`` wins. The walk is a recursive query whose
-    depth is bounded; a chain longer than the bound fails the query instead of being cut.
+    aliases(from, to, ord): the last ``from`` of a ``to`` wins. As many steps are taken as there are
+    aliases, by pointer jumping: a table of jumps is joined with itself, which doubles its reach, until
+    nothing moves. Chains of any length and cycles end after the logarithm of the aliases' number.
     """
-    spark = canonical.sparkSession
     back = aliases.filter(F.col("from") != "").groupBy(F.col("to").alias("node")).agg(F.max_by("from", "ord").alias("prev"))
-    names = {"canonical": canonical.select("title").distinct(), "back": back}
-    views = {}
-    for name, df in names.items():
-        views[name] = f"rekey_{name}_{id(df)}"
-        df.createOrReplaceTempView(views[name])
-    chain = spark.sql(f"""
-        WITH RECURSIVE walk(title, node, depth) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT title, title, 0 FROM {views['canonical']}
-            UNION ALL
-            SELECT w.title, b.prev, w.depth + 1 FROM walk w JOIN {views['back']} b ON b.node = w.node)
-        SELECT title, max_by(node, depth) AS origin FROM walk GROUP BY title""")
-    wanted = requested.select(F.col("title").alias("origin"), F.lit(True).alias("__asked")).distinct()
-    return chain.join(wanted, "origin", "left").select(
-        "title", F.when(F.col("__asked"), F.col("origin")).otherwise(F.col("title")).alias("key")
-    )
+    jump = cut(back.filter("node is not null").select("node", F.col("prev").alias("goal")))
+    steps = jump.count()
+    walk = canonical.select("title").distinct().withColumn("at", F.col("title"))
+
+    def apply(walk: DataFrame, jump: DataFrame) -> DataFrame:
+        moves = jump.select(F.col("node").alias("at"), "goal")
+        return walk.join(moves, "at", "left").select("title", F.coalesce("goal", "at").alias("at"))
+
+    while steps:
+        if steps & 1:
+            walk = cut(apply(walk, jump))
+        steps >>= 1
+        if not steps:
+            break
+        further = jump.select(F.col("node").alias("goal"), F.col("goal").alias("beyond"))
+        longer = cut(jump.join(further, "goal", "left").select("node", F.coalesce("beyond", "goal").alias("goal"), F.col("beyond").isNotNull().alias("moved")))
+        still = longer.filter("moved").limit(1).count()
+        jump = longer.drop("moved")
+        if not still:  # every jump ends where its chain ends
+            walk = apply(walk, jump)
+            break
+    wanted = requested.select(F.col("title").alias("at"), F.lit(True).alias("__asked")).distinct()
+    return walk.join(wanted, "at", "left").select("title", F.when(F.col("__asked"), F.col("at")).otherwise(F.col("title")).alias("key"))

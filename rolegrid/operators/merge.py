@@ -1,11 +1,14 @@
 """Keyed writes as snapshot merges: ``new_state = f(old_state, batch)``.
 
 State tables are immutable snapshots, so every write is a join of the old state and a batch on the
-natural key. Both sides are unique on that key before the join, so no key is ever hot there.
+natural key. Rows with a NULL key part match nothing; they are set aside before the join and added
+back after it. The rest is unique on the key on both sides, so no key is ever hot in the join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from rolegrid.functions import text as T
 from rolegrid.functions.base import ColumnOrName, blank_to_null, c
 from rolegrid.functions.jsonld import parse_posting
 from rolegrid.operators.ranking import first_per_group, last_wins
-from rolegrid.operators.scans import number_rows
+from rolegrid.operators.scans import number_rows, running_sum
 
 JOB_KEY = ["discovery_platform_id", "external_id"]
 # The columns a re-observation replaces.
@@ -35,6 +38,24 @@ def assign_ids(fresh: DataFrame, state: DataFrame, key: list[str], id_col: str,
     return numbered.withColumn(id_col, top.scalar() + F.col("__n")).drop("__n")
 
 
+def keyed(key: list[str]) -> Column:
+    """No part of the key is NULL."""
+    return reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key])
+
+
+def number_fresh(batch: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS) -> DataFrame:
+    """batch (unique on key) with ids for the keys that state does not hold, NULL for the others: dense ids
+    after the highest one, found before the merge so that the merge itself is planned once."""
+    known = state.filter(keyed(key)).select(*key).distinct().withColumn("__known", F.lit(True))
+    flagged = batch.filter(keyed(key)).join(known, key, "left").unionByName(
+        batch.filter(~keyed(key)).withColumn("__known", F.lit(None).cast("boolean")))
+    spread = F.pmod(F.xxhash64(*key), F.lit(buckets))
+    fresh = F.col("__known").isNull()
+    counted = running_sum(flagged, [], [F.col(k) for k in key], spread, {"__n": fresh.cast("int")})
+    top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
+    return counted.withColumn(id_col, F.when(fresh, top.scalar() + F.col("__n"))).drop("__n", "__known")
+
+
 def upsert(
     state: DataFrame,
     batch: DataFrame,
@@ -53,11 +74,12 @@ def upsert(
     b = last_wins(batch, key, ordinal) if ordinal else batch
     stamp = c(now) if not isinstance(now, Column) else now
     insert_only, touched, born = insert_only or [], touched or [], born or []
-    left = state.withColumn("__old", F.lit(True)).alias("s")
-    right = b.withColumn("__new", F.lit(True)).alias("b")
+    whole = keyed(key)
     cond = F.lit(True)
     for k in key:
         cond = cond & (F.col(f"s.{k}") == F.col(f"b.{k}"))
+    left = state.filter(whole).withColumn("__old", F.lit(True)).alias("s")
+    right = b.filter(whole).withColumn("__new", F.lit(True)).alias("b")
     joined = left.join(right, cond, "full_outer")
     seen, known = F.col("b.__new").isNotNull(), F.col("s.__old").isNotNull()
     batch_cols = set(b.columns)
@@ -80,23 +102,36 @@ def upsert(
             value = old
         out.append(value.alias(col))
     action = F.when(seen & known, "updated").when(seen, "inserted").otherwise("kept").alias("merge_action")
-    return joined.select(*out, action)
+    alone = []
+    for col in state.columns:
+        if col in touched or col in born:
+            value = stamp
+        elif col == status:
+            value = F.lit("open")
+        else:
+            given = col in batch_cols and (col in key or col in content or col in insert_only)
+            value = F.col(col) if given else F.lit(None).cast(state.schema[col].dataType)
+        alone.append(value.alias(col))
+    return (
+        joined.select(*out, action)
+        .unionByName(state.filter(~whole).select(*state.columns, F.lit("kept").alias("merge_action")))
+        .unionByName(b.filter(~whole).select(*alone, F.lit("inserted").alias("merge_action")))
+    )
 
 
 def upsert_jobs(state: DataFrame, batch: DataFrame, now: ColumnOrName, replace_raw: bool = False, ordinal: str | None = "ordinal") -> DataFrame:
     """Posting upsert: content replaced, reopened, last_seen moved; first_seen, created and (unless
     told otherwise) raw_data kept. New rows get ids after the highest one."""
     content = JOB_CONTENT + (["raw_data"] if replace_raw else [])
-    merged = upsert(
-        state, batch, JOB_KEY, content, now,
-        insert_only=[] if replace_raw else ["raw_data"],
-        touched=["last_seen_at", "updated_at"], born=["first_seen_at", "created_at"], status="status", ordinal=ordinal,
+    last = last_wins(batch, JOB_KEY, ordinal) if ordinal else batch
+    ids = "job_id" in state.columns
+    if ids:
+        last = number_fresh(last.drop("job_id"), state, JOB_KEY, "job_id")
+    return upsert(
+        state, last, JOB_KEY, content, now,
+        insert_only=([] if replace_raw else ["raw_data"]) + (["job_id"] if ids else []),
+        touched=["last_seen_at", "updated_at"], born=["first_seen_at", "created_at"], status="status",
     )
-    if "job_id" not in state.columns:
-        return merged
-    fresh = F.col("merge_action") == "inserted"
-    new = assign_ids(merged.filter(fresh).drop("job_id"), state, JOB_KEY, "job_id")
-    return merged.filter(~fresh).unionByName(new.select(*merged.columns))
 
 
 def browser_batch(postings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from rolegrid import vocab
 from rolegrid.functions import times
 from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.operators.ranking import percentiles, tally, top_k
-from rolegrid.operators.scans import bucket, previous, running_sum, time_bucket
+from rolegrid.operators.scans import bucket, previous, running_sum
 
 # --- runs ---------------------------------------------------------------------------------------
 
@@ -180,9 +180,10 @@ def step_histogram(per_run: DataFrame) -> DataFrame:
 
 
 def step_latency(events: DataFrame, order: str = "seq", by: Column | None = None) -> DataFrame:
-    """Seconds since the previous stamped step of the run: (run_id, step, latency_s)."""
+    """Seconds since the previous stamped step of the run in ``order``, which stamps need not follow:
+    (run_id, step, latency_s). ``by`` must rise with ``order``."""
     stamped = events.filter((F.col("event") == "step") & F.col("ts").isNotNull()).select("run_id", order, "step", "ts")
-    gaps = previous(stamped, ["run_id"], [order], by if by is not None else time_bucket("ts", "day"), ["ts"])
+    gaps = previous(stamped, ["run_id"], [order], by if by is not None else bucket(order), ["ts"])
     return gaps.filter(F.col("prev_ts").isNotNull()).select(
         "run_id", "step", times.duration_seconds("prev_ts", "ts").alias("latency_s")
     )

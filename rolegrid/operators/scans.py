@@ -3,6 +3,9 @@
 A plain window puts every row of its partition key into one task. These scans cut each key's order
 into buckets, scan inside (key, bucket), and carry one pre-aggregated row per bucket across to the
 next. No task ever holds more than one bucket of one key plus the list of bucket totals.
+
+``by`` must never fall while ``order`` rises: the scans take the buckets in their own order. Derive it
+from the first order column (``bucket``, ``time_bucket``), never from another one.
 """
 
 from __future__ import annotations

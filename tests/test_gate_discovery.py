@@ -177,6 +177,16 @@ def test_rekey_titles(spark):
     assert got == {"AT&T": "aT&T", "Meta": "FB", "Solo": "Solo", "Gone": "Gone"}
 
 
+def test_rekey_long_chains_and_cycles(spark):
+    names = spark.createDataFrame([("n200",), ("n0",), ("c1",), ("lone",)], "title string")
+    chain = [(f"n{k}", f"n{k + 1}", k) for k in range(200)] + [("c1", "c2", 1), ("c2", "c1", 2)]
+    aliases = spark.createDataFrame(chain, "from string, to string, ord int")
+    requested = spark.createDataFrame([("n0",)], "title string")
+    got = {r["title"]: r["key"] for r in homepage.rekey_titles(names, aliases, requested).collect()}
+    assert got == {"n200": "n0", "n0": "n0", "c1": "c1", "lone": "lone"}
+    assert homepage.rekey_titles(names, aliases.limit(0), requested).count() == 4
+
+
 WIKI_A = """intro {{NyseSymbol|ZZZ}}
 {| class="wikitable"
 ! Symbol !! Security !! GICS Sector !! GICS Sub-Industry !! Headquarters Location !! CIK

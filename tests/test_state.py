@@ -38,6 +38,19 @@ def test_upsert_reopens_keeps_and_is_idempotent(spark):
     assert sorted(again.drop("merge_action").collect(), key=repr) == sorted(out.drop("merge_action").collect(), key=repr)
 
 
+def test_upsert_sets_null_keys_aside_and_joins_once(spark):
+    old = state(spark, [(5, 1, 1, "a", "A", "open")] + [(k, 1, 1, None, "N", "open") for k in range(10, 20)])
+    batch = spark.createDataFrame([(1, 1, "a", "A2", "r", 1), (1, 1, None, "X", "r", 2), (1, 1, None, "Y", "r", 3), (1, 1, "b", "B", "r", 4)], BATCH)
+    out = merge.upsert_jobs(old, batch, now(), ordinal=None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1
+    rows = out.collect()
+    assert sorted(r["job_id"] for r in rows) == [5, *range(10, 20), 20, 21, 22]
+    fresh = [r for r in rows if r["merge_action"] == "inserted"]
+    assert sorted((r["external_id"] or "", r["title"], r["status"]) for r in fresh) == [("", "X", "open"), ("", "Y", "open"), ("b", "B", "open")]
+    assert {r["first_seen_at"] for r in fresh} == {T1} and sum(r["merge_action"] == "kept" for r in rows) == 10
+
+
 def closed(df):
     return sorted(r["job_id"] for r in df.filter("newly_closed").collect())
 

@@ -267,6 +267,25 @@ def test_summaries(spark):
     assert s["error_text"] == "1 companies could not be validated; first failure: b: boom"
 
 
+def test_step_latency_follows_the_order_not_the_stamps(spark):
+    rows = [(1, 1, "2026-01-02 00:00:10"), (1, 2, "2026-01-01 23:59:50"), (1, 3, "2026-01-02 00:00:30"), (1, 4, "2026-01-02 00:00:30"),
+            (2, 1, None), (2, 100_000, "2026-01-02 00:00:00"), (2, 100_001, "2026-01-02 00:00:05"), (2, 300_000, "2026-01-02 00:01:00")]
+    events = spark.createDataFrame([(r, s, s, "step", t) for r, s, t in rows], "run_id bigint, seq bigint, step bigint, event string, ts string")
+    got = {(r["run_id"], r["step"]): r["latency_s"] for r in runs.step_latency(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
+    assert got == {(1, 2): -20.0, (1, 3): 40.0, (1, 4): 0.0, (2, 100_001): 5.0, (2, 300_000): 55.0}
+
+
+def test_feed_elements_of_any_depth_and_size(spark):
+    deep = '{"id": 1,  "a": ' + "[" * 30 + "1.50" + "]" * 30 + "}"
+    wide = '{"x": "' + "y" * 30_000_000 + '"}'
+    bodies = [("deep", f"[{deep}]"), ("far", "[" + "[" * 50_000 + "]" * 50_000 + "]"), ("wide", f"[{wide}, 2]"), ("bad", '[{"a":}]'), ("cut", '[1, "x]'), ("nan", "[NaN]"),
+              ("comma", "[1,]"), ("mixed", "[[1}]"), ("none", None), ("null", " null\n"), ("empty", " [ ] ")]
+    elements, rejects = feed.scan_feed(spark.createDataFrame(bodies, "source string, body string"))
+    got = {(r["source"], r["idx"]): (r["n"], r["head"]) for r in elements.selectExpr("source", "idx", "length(element) n", "left(element, 200) head").collect()}
+    assert got == {("deep", 0): (len(deep), deep), ("far", 0): (100_000, "[" * 200), ("wide", 0): (len(wide), wide[:200]), ("wide", 1): (1, "2")}
+    assert sorted(r["source"] for r in rejects.select("source").collect()) == ["bad", "comma", "cut", "mixed", "nan", "none"]
+
+
 def test_elements_are_verbatim(spark):
     texts = ['{"a": "x\\"}],{", "b":[1, {"c":  2.50}]}', '"plain, \\\\"', "1e3", "null", "[ 1,2 ]", "true"]
     deep = "[" * 20 + "]" * 20

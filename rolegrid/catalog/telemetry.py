@@ -54,7 +54,7 @@ def _a5(t: Tables):
 SELECT 'status' AS kind, status AS label, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'platform', platform, count(*) FROM r GROUP BY 2
 UNION ALL SELECT * FROM (SELECT 'error', left(coalesce(error_text, '(no error text)'), 70), count(*) FROM r WHERE status = 'error' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
 def _a5t(t: Tables):
-    return runs.run_tallies(my_runs(t))
+    return runs.run_tallies(my_runs(t), errors=10, prefix=70)
 
 
 @query("s11_run_list_merge", """
@@ -109,6 +109,13 @@ def _a9(t: Tables):
 SELECT run_id, CAST(place AS BIGINT) AS place, step, url, left(coalesce(next_goal, evaluation_previous_goal), 200) AS goal FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM trace_events WHERE event = 'step') WHERE place <= 40""")
 def _a9s(t: Tables):
+    return runs.digest_steps(t.trace_events, max_steps=40, goal_chars=200).select("run_id", "place", "step", "url", "goal")
+
+
+@query("a9_digest_all_steps", """
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS BIGINT) AS place, step, url, coalesce(next_goal, evaluation_previous_goal) AS goal
+  FROM trace_events WHERE event = 'step'""")
+def _a9w(t: Tables):
     return runs.digest_steps(t.trace_events).select("run_id", "place", "step", "url", "goal")
 
 
@@ -245,6 +252,11 @@ def _p17(t: Tables):
 
 @query("p18_raw_log_search", "SELECT seq, level, line FROM log_lines WHERE app = 'crawler' AND regexp_matches(line, 'panic|x4') ORDER BY ts DESC, seq DESC LIMIT 200")
 def _p18(t: Tables):
+    return logs.search(t.log_lines, {"app": "crawler"}, "panic|x4", limit=200).select("seq", "level", "line")
+
+
+@query("p18_raw_log_search_all", "SELECT seq, level, line FROM log_lines WHERE app = 'crawler' AND regexp_matches(line, 'panic|x4')")
+def _p18w(t: Tables):
     return logs.search(t.log_lines, {"app": "crawler"}, "panic|x4").select("seq", "level", "line")
 
 
@@ -267,14 +279,14 @@ def _a10(t: Tables):
 WITH g AS (SELECT app, coalesce(svc, '') AS svc, msg, count(*) AS n FROM log_lines WHERE level IN ('error', 'warn') GROUP BY 1, 2, 3)
 SELECT *, (SELECT count(*) FROM g) AS groups, (SELECT CAST(sum(n) AS BIGINT) FROM g) AS total FROM g ORDER BY n DESC, app, svc, msg LIMIT 5""")
 def _a11(t: Tables):
-    return logs.error_summary(t.log_lines, "error|warn", 5)
+    return logs.error_summary(t.log_lines, "error|warn", limit=5)
 
 
 @query("a12_container_health", """
 WITH c AS (SELECT container, count(*) AS lines, count(*) FILTER (regexp_matches(line, '(?i)panic|fatal|oomkill|out of memory|traceback|exit status|unhandled')) AS problem_lines FROM log_lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12)
 SELECT *, round(problem_lines / lines * 1000, 1) AS problem_per_1k FROM c""")
 def _a12(t: Tables):
-    return logs.container_health(t.log_lines, 12)
+    return logs.container_health(t.log_lines, limit=12)
 
 
 @query("a13_trace_timeline", """
@@ -294,7 +306,7 @@ WITH j AS (SELECT seq, line, CASE WHEN starts_with(line, '{') THEN CAST(line AS
 SELECT seq, b->>'$.level' AS level, nullif(b->>'$.svc', '') AS svc, nullif(b->>'$.run_id', '0') AS run_id, CAST(b->>'$.duration_ms' AS BIGINT) AS duration_ms,
        CAST(b->>'$.status' AS BIGINT) AS status, b->>'$.extra' AS extra, CASE WHEN b IS NULL THEN line END AS raw FROM j""")
 def _s8(t: Tables):
-    out = logs.parse_lines(t.log_lines.select("seq", "line"))
+    out = logs.parse_lines(t.log_lines.select("seq", "line"), raw_limit=2000)
     return out.select("seq", "level", "svc", "run_id", "duration_ms", "status", F.try_element_at("fields", F.lit("extra")).alias("extra"), "raw")
 
 
@@ -417,7 +429,7 @@ SELECT 'blocked' AS kind, block_reason AS label, count(*) AS n FROM p WHERE bloc
 UNION ALL SELECT 'errored', array_to_string(list_filter(regexp_split_to_array(error, '\s+'), lambda w: w <> '')[1:6], ' '), count(*) FROM p WHERE error <> '' GROUP BY 2""")
 def _a27(t: Tables):
     p = t.documents.select(F.when(F.col("source").isin("src1", "src2"), F.col("lang")).alias("block_reason"), F.when(F.col("source").isin("src2", "src3"), F.col("text")).alias("error"))
-    return runs.unreadable_tally(p)
+    return runs.unreadable_tally(p, words=6)
 
 
 # --- feeds and posting JSON ---------------------------------------------------------------------
@@ -519,4 +531,4 @@ def _f29(t: Tables):
     page = F.when(F.col("k").cast("int") < 50, F.concat(
         F.lit("<script type=\"application/ld+json\">{bad</script><script type='application/ld+json'>[{\"@type\":\"Org\"},{\"@type\":\"JobPosting\",\"title\":\"T"), "k",
         F.lit("\",\"description\":\"<p>A</p>&nbsp;<b>b"), "k", F.lit("</b>\"}]</script>"))).otherwise(F.lit("<html><p>only <i>text</i></p></html>"))
-    return k.withColumn("r", jsonld.posting_record(page, F.lit("link text"))).select("event_id", "r.title", "r.description")
+    return k.withColumn("r", jsonld.posting_record(page, F.lit("link text"), max_bytes=200_000)).select("event_id", "r.title", "r.description")

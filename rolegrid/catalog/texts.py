@@ -133,9 +133,9 @@ def _f10(t: Tables):
 # --- text ---------------------------------------------------------------------------------------
 
 
-@query("f13_slugify", "SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("f13_slugify", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def _f13(t: Tables):
-    return t.documents.select("doc_id", T.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return t.documents.select("doc_id", T.slugify("text").alias("slug"))
 
 
 @query("f14_f15_distinctive_token", f"""
@@ -168,6 +168,14 @@ def _f17(t: Tables):
 _MARKED = "(CASE source WHEN 'src1' THEN 'Just a moment. ' || text WHEN 'src2' THEN text || ' search jobs' WHEN 'src3' THEN 'This Domain is for sale ' || text WHEN 'src4' THEN text || ' access denied' WHEN 'src5' THEN 'Our CAREERS: ' || text ELSE text END)"
 
 
+@query("f18_marker_tests_whole_body", f"""
+WITH d AS (SELECT doc_id, lower({_MARKED}) AS b FROM documents)
+SELECT doc_id, starts_with(b, 'just a moment') OR contains(b, 'access denied') AS challenge, starts_with(b, 'this domain is for sale') AS parked FROM d""")
+def _f18w(t: Tables):
+    d = t.documents.select("doc_id", F.expr(_MARKED).alias("raw"))
+    return d.select("doc_id", T.looks_like_challenge("raw", F.lit("")).alias("challenge"), T.is_parked("raw", F.lit("")).alias("parked"))
+
+
 @query("f18_marker_tests", f"""
 WITH d AS (SELECT doc_id, {_MARKED} AS raw, lower({_MARKED}) AS b FROM documents)
 SELECT doc_id, regexp_matches(b, '{"|".join(vocab.CAREERS_TEXT_TOKENS)}') AS careers, regexp_matches(b, '{"|".join(vocab.OPENINGS_PHRASES)}') AS openings,
@@ -176,7 +184,7 @@ SELECT doc_id, regexp_matches(b, '{"|".join(vocab.CAREERS_TEXT_TOKENS)}') AS car
 def _f18(t: Tables):
     d = t.documents.select("doc_id", F.expr(_MARKED).alias("raw"))
     return d.select("doc_id", T.has_careers_signal("raw").alias("careers"), T.has_openings_phrase("raw").alias("openings"),
-                    T.looks_like_challenge("raw", F.lit("")).alias("challenge"), T.is_parked("raw", F.lit("")).alias("parked"))
+                    T.looks_like_challenge("raw", F.lit(""), vocab.MARKER_SCAN_BYTES).alias("challenge"), T.is_parked("raw", F.lit(""), vocab.MARKER_SCAN_BYTES).alias("parked"))
 
 
 _TITLES = "(CASE p_type WHEN 'ECONOMY' THEN ' Careers ' WHEN 'SMALL' THEN 'Engineer Job Search at ' || p_name WHEN 'STANDARD' THEN 'Open Positions' ELSE p_name END)"
@@ -204,7 +212,7 @@ SELECT doc_id,
     ELSE '' END AS block_evidence FROM h""")
 def _f20(t: Tables):
     d = t.documents.select("doc_id", F.expr(_BLOCK_STATUS).alias("status"), F.col("lang").alias("title"), F.expr(_BLOCK_TEXT).alias("text"))
-    return discover.annotate_blocks(d).select("doc_id", "blocked", "block_reason", "block_evidence")
+    return discover.annotate_blocks(d, scan_chars=vocab.BLOCK_SCAN_CHARS).select("doc_id", "blocked", "block_reason", "block_evidence")
 
 
 @query("f21_answer_cross_check", """
@@ -256,6 +264,13 @@ def _f54(t: Tables):
 SELECT doc_id, 'parse: ' || left(replace(replace(replace(text, chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), 1000) AS feed_text,
        left(regexp_replace(text, '[\n\r\t]', ' ', 'g'), 1000) AS index_text FROM documents""")
 def _f55(t: Tables):
+    return t.documents.select("doc_id", T.error_text(F.lit("parse"), "text", limit=1000).alias("feed_text"), T.single_line("text", "index", 1000).alias("index_text"))
+
+
+@query("f55_error_text_whole", r"""
+SELECT doc_id, 'parse: ' || replace(replace(replace(text, chr(10), '\n'), chr(13), '\r'), chr(9), '\t') AS feed_text,
+       regexp_replace(text, '[\n\r\t]', ' ', 'g') AS index_text FROM documents""")
+def _f55w(t: Tables):
     return t.documents.select("doc_id", T.error_text(F.lit("parse"), "text").alias("feed_text"), T.single_line("text", "index").alias("index_text"))
 
 
@@ -336,7 +351,7 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ra
 n AS (SELECT page_id, count(*) AS total_links FROM res GROUP BY 1)
 SELECT page_id, CAST(rank AS BIGINT) AS rank, link, label AS title, total_links, (count(*) OVER (PARTITION BY page_id)) >= 3 AS capped FROM capped JOIN n USING (page_id) WHERE rank <= 3""")
 def _p21(t: Tables):
-    return discover.posting_links(t.pages, "page_id", "url", "html", 3, tokens=["/th", "/e", "/la"])
+    return discover.posting_links(t.pages, "page_id", "url", "html", max_jobs=3, tokens=["/th", "/e", "/la"])
 
 
 @query("p22_allowed_domains", r"""

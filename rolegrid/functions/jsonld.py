@@ -168,23 +168,25 @@ def strip_tags(html: ColumnOrName) -> Column:
     return squeeze(t)
 
 
-def posting_record(html: ColumnOrName, link_title: ColumnOrName, max_bytes: int = 200_000) -> Column:
-    """struct(raw_data, title, description, country, is_us, location_text) of a posting page."""
+def posting_record(html: ColumnOrName, link_title: ColumnOrName, max_bytes: int | None = None) -> Column:
+    """struct(raw_data, title, description, country, is_us, location_text) of a posting page; the
+    description is whole, or cut at ``max_bytes``."""
     return let(
         F.struct(pick_posting(html).alias("raw"), c(html).alias("html"), c(link_title).alias("title")),
         lambda page: _posting_fields(page["raw"], page["html"], page["title"], max_bytes),
     )
 
 
-def _posting_fields(raw: Column, html: Column, link_title: Column, max_bytes: int) -> Column:
+def _posting_fields(raw: Column, html: Column, link_title: Column, max_bytes: int | None) -> Column:
     v = F.try_parse_json(raw)
     own_title = F.nullif(F.try_variant_get(field(v, "$.title"), "$", "string"), F.lit(""))
     described = strip_tags(F.coalesce(F.try_variant_get(field(v, "$.description"), "$", "string"), F.lit("")))
     place = classify_location(raw)
+    text = F.when(raw.isNotNull(), described).otherwise(strip_tags(html))
     return F.struct(
         raw.alias("raw_data"),
         F.coalesce(own_title, link_title).alias("title"),
-        T.truncate_bytes(F.when(raw.isNotNull(), described).otherwise(strip_tags(html)), max_bytes, "").alias("description"),
+        (text if max_bytes is None else T.truncate_bytes(text, max_bytes, "")).alias("description"),
         place["country"].alias("country"),
         place["is_us"].alias("is_us"),
         place["location_text"].alias("location_text"),

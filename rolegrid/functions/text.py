@@ -67,21 +67,25 @@ def has_openings_phrase(body: ColumnOrName) -> Column:
     return F.coalesce(contains_any(F.lower(c(body)), vocab.OPENINGS_PHRASES), F.lit(False))
 
 
-def _head(body: ColumnOrName, title: ColumnOrName) -> Column:
-    """Lowered title plus the first 4,096 bytes of the body (cut in bytes, read leniently)."""
-    prefix = F.substring(c(body), 1, vocab.MARKER_SCAN_BYTES)
+def _head(body: ColumnOrName, title: ColumnOrName, scan_bytes: int | None) -> Column:
+    """Lowered title plus the body, or its first ``scan_bytes`` bytes (cut in bytes, read leniently)."""
+    lead = F.concat(F.coalesce(c(title), F.lit("")), F.lit("\n"))
+    if scan_bytes is None:
+        return F.lower(F.concat(lead, c(body)))
+    prefix = F.substring(c(body), 1, scan_bytes)
     # Cut by bytes only where the prefix is not pure ASCII: elsewhere both cuts are the same.
-    by_bytes = F.make_valid_utf8(F.substring(c(body).cast("binary"), 1, vocab.MARKER_SCAN_BYTES).cast("string"))
-    head = F.when(F.octet_length(prefix) <= vocab.MARKER_SCAN_BYTES, prefix).otherwise(by_bytes)
-    return F.lower(F.concat(F.coalesce(c(title), F.lit("")), F.lit("\n"), head))
+    by_bytes = F.make_valid_utf8(F.substring(c(body).cast("binary"), 1, scan_bytes).cast("string"))
+    head = F.when(F.octet_length(prefix) <= scan_bytes, prefix).otherwise(by_bytes)
+    return F.lower(F.concat(lead, head))
 
 
-def looks_like_challenge(body: ColumnOrName, title: ColumnOrName) -> Column:
-    return contains_any(_head(body, title), vocab.CHALLENGE_PAGE_MARKERS)
+def looks_like_challenge(body: ColumnOrName, title: ColumnOrName, scan_bytes: int | None = None) -> Column:
+    """A bot check, by wording in the title and the whole body (or its first ``scan_bytes`` bytes)."""
+    return contains_any(_head(body, title, scan_bytes), vocab.CHALLENGE_PAGE_MARKERS)
 
 
-def is_parked(body: ColumnOrName, title: ColumnOrName) -> Column:
-    return contains_any(_head(body, title), vocab.PARKED_MARKERS)
+def is_parked(body: ColumnOrName, title: ColumnOrName, scan_bytes: int | None = None) -> Column:
+    return contains_any(_head(body, title, scan_bytes), vocab.PARKED_MARKERS)
 
 
 def is_generic_title(title: ColumnOrName) -> Column:
@@ -125,15 +129,16 @@ def literal_search(columns: list[ColumnOrName], term: str) -> Column:
 # --- block classifier ---------------------------------------------------------------------------
 
 
-def block_verdict(status: ColumnOrName, title: ColumnOrName, text: ColumnOrName) -> Column:
+def block_verdict(status: ColumnOrName, title: ColumnOrName, text: ColumnOrName, scan_chars: int | None = None) -> Column:
     """struct(blocked, reason, evidence): status code first, then captcha, challenge, blocked and
-    login wording in the title plus the first 60,000 characters."""
+    login wording in the title plus the text (or its first ``scan_chars`` characters)."""
+    body = F.coalesce(c(text), F.lit(""))
     st = c(status)
     haystack = F.lower(
         F.concat(
             F.coalesce(c(title), F.lit("")),
             F.lit("\n"),
-            F.substring(F.coalesce(c(text), F.lit("")), 1, vocab.BLOCK_SCAN_CHARS),
+            body if scan_chars is None else F.substring(body, 1, scan_chars),
         )
     )
     return let(
@@ -228,8 +233,8 @@ def log_int(line: ColumnOrName, key: str) -> Column:
     return log_token(line, key, r"\d+").cast("bigint")
 
 
-def single_line(text: ColumnOrName, style: str) -> Column:
-    """One line, at most 1,000 characters. ``feed`` escapes newlines, returns and tabs; ``index``
+def single_line(text: ColumnOrName, style: str, limit: int | None = None) -> Column:
+    """One line, whole or cut at ``limit`` characters. ``feed`` escapes newlines, returns and tabs; ``index``
     turns them into spaces and drops other control characters."""
     t = c(text)
     if style == "feed":
@@ -240,13 +245,13 @@ def single_line(text: ColumnOrName, style: str) -> Column:
         t = F.regexp_replace(F.regexp_replace(t, r"[\n\r\t]", " "), r"[\x00-\x1f]", "")
     else:
         raise ValueError(f"style must be feed or index, got {style!r}")
-    return F.left(t, F.lit(1000))
+    return t if limit is None else F.left(t, F.lit(limit))
 
 
-def error_text(condition: ColumnOrName, message: ColumnOrName, style: str = "feed") -> Column:
+def error_text(condition: ColumnOrName, message: ColumnOrName, style: str = "feed", limit: int | None = None) -> Column:
     """``condition: message`` on one line; the condition alone without a message; NULL for neither."""
     cond, msg = blank_to_null(condition), c(message)
-    return F.when(msg.isNotNull(), F.concat(F.coalesce(cond, F.lit("")), F.lit(": "), single_line(msg, style))).otherwise(cond)
+    return F.when(msg.isNotNull(), F.concat(F.coalesce(cond, F.lit("")), F.lit(": "), single_line(msg, style, limit))).otherwise(cond)
 
 
 def fetch_condition(error_kind: ColumnOrName, message: ColumnOrName, status: ColumnOrName) -> Column:

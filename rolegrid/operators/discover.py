@@ -15,7 +15,6 @@ from rolegrid.operators.ranking import best_anchor, first_per_group, top_k
 from rolegrid.operators.scans import bucket, running_sum
 
 RESPONSE_COLUMNS = ["status", "response_url", "content_type", "body", "truncated", "transport_error", "timed_out"]
-MAX_SITEMAPS, MAX_CANDIDATES = 5, 6
 
 
 # --- responses ----------------------------------------------------------------------------------
@@ -56,9 +55,9 @@ def next_hop(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     return first_per_group(links, [key], [F.desc("score"), F.length("link"), "link"]).select(key, F.col("link").alias("hop_url"))
 
 
-def posting_links(pages: DataFrame, key: str, url: str, html: str, max_jobs: int, pattern: str | None = None, tokens=vocab.POSTING_PATH_TOKENS) -> DataFrame:
-    """Posting links of listings pages: first sighting per link, at most ``max_jobs`` per page, with
-    the page's total link count and a flag that the cap was reached."""
+def posting_links(pages: DataFrame, key: str, url: str, html: str, max_jobs: int | None = None, pattern: str | None = None, tokens=vocab.POSTING_PATH_TOKENS) -> DataFrame:
+    """Posting links of listings pages: first sighting per link (with ``max_jobs`` the first
+    ones of a page), the page's total link count and a flag that the cap was reached."""
     from pyspark.sql import Window
 
     def chosen(a: Column) -> Column:
@@ -74,7 +73,7 @@ def posting_links(pages: DataFrame, key: str, url: str, html: str, max_jobs: int
     unique = first_per_group(picked, [key, "link"], ["pos"])
     capped = top_k(unique, [key], ["pos"], max_jobs, "rank")
     return capped.select(
-        key, "rank", "link", "title", "total_links", (F.count("*").over(Window.partitionBy(key)) >= max_jobs).alias("capped"))
+        key, "rank", "link", "title", "total_links", (F.lit(False) if max_jobs is None else F.count("*").over(Window.partitionBy(key)) >= max_jobs).alias("capped"))
 
 
 # --- vendors ------------------------------------------------------------------------------------
@@ -216,11 +215,11 @@ def is_careers_loc(loc: ColumnOrName) -> Column:
     return ~U.is_boilerplate_path(segments) & (U.has_prefix_token(segments) | U.robots_path_hint(U.path_of(loc)))
 
 
-def sitemap_candidates(origins: DataFrame, declared: DataFrame, responses: DataFrame, max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:
+def sitemap_candidates(origins: DataFrame, declared: DataFrame, responses: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
     """(company_id, base, url, ref_no, sub_no, place) of careers URLs found in sitemaps.
 
-    Declared sitemaps, else the conventional one; one level of index nesting; at most
-    ``max_sitemaps`` sitemaps per company and children per index.
+    Declared sitemaps, else the conventional one; one level of index nesting; with ``max_sitemaps`` at most
+    so many sitemaps per company and children per index.
     """
     refs = declared.join(origins.select("company_id"), "company_id", "left_semi").select("company_id", "ref_no", "ref")
     undeclared = origins.join(declared.select("company_id").distinct(), "company_id", "left_anti")
@@ -254,9 +253,9 @@ def homepage_attempts(companies: DataFrame, responses: DataFrame) -> DataFrame:
     return gate(fetch(usable, responses), strict=False)
 
 
-def ladder_candidates(homes: DataFrame, responses: DataFrame, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Candidates per company in tier order (links, sitemaps, robots paths), first of each URL, at
-    most ``max_candidates``, as ``rank`` 1..n. The cap is the ladder's own rule."""
+def ladder_candidates(homes: DataFrame, responses: DataFrame, max_candidates: int | None = None, max_sitemaps: int | None = None) -> DataFrame:
+    """Candidates per company in tier order (links, sitemaps, robots paths), first of each URL, as ``rank``
+    1..n; all of them, or the first ``max_candidates``."""
     ident = homes.select("company_id", "company_name", "homepage", "origin")
     ok = homes.filter("gate.status = 'accepted'")
     page = ok.select("company_id", F.col("gate.final_url").alias("url"), F.col("body").alias("html"))
@@ -272,7 +271,7 @@ def ladder_candidates(homes: DataFrame, responses: DataFrame, max_candidates: in
     robots = robots.filter((F.col("status") == 200) & (F.coalesce(F.col("body"), F.lit("")) != ""))
     hints = robots_hints(robots.select(F.col("company_id"), "body"), "company_id")
     declared = hints.filter("hint = 'sitemap'").select("company_id", F.col("line_no").alias("ref_no"), F.col("value").alias("ref"))
-    sites = sitemap_candidates(ident.select("company_id", "origin"), declared, responses)
+    sites = sitemap_candidates(ident.select("company_id", "origin"), declared, responses, max_sitemaps)
     site_rows = sites.select(
         "company_id", "url", "base", F.lit("career_site").alias("kind"), F.lit("sitemap").alias("source"), F.lit(2).alias("tier"),
         F.struct(F.col("ref_no").alias("x"), F.col("sub_no").alias("y"), F.col("depth").alias("z")).alias("o"),
@@ -309,10 +308,10 @@ def first_accepted(ranked: DataFrame, key: str, rank: str, accepted: ColumnOrNam
     return rows.join(stop, key).filter(F.col("__stop").isNull() | (F.col(rank) <= F.col("__stop"))).drop("__stop")
 
 
-def annotate_blocks(pages: DataFrame, status: str = "status", title: str = "title", text: str = "text") -> DataFrame:
+def annotate_blocks(pages: DataFrame, status: str = "status", title: str = "title", text: str = "text", scan_chars: int | None = None) -> DataFrame:
     """Pages with blocked, block_reason, block_evidence. Callers drop blocked listings pages and keep
     blocked posting pages, annotated."""
-    return pages.withColumn("__b", T.block_verdict(status, title, text)).select(
+    return pages.withColumn("__b", T.block_verdict(status, title, text, scan_chars)).select(
         *pages.columns, F.col("__b.blocked").alias("blocked"), F.col("__b.reason").alias("block_reason"), F.col("__b.evidence").alias("block_evidence")
     )
 

@@ -41,12 +41,12 @@ def reason_dimension(spark) -> DataFrame:
     return spark.createDataFrame(vocab.REASONS, "reason string, category string, escalate boolean, attempt_status string")
 
 
-def page_features(df: DataFrame, final: str = "__final", body: str = "body", company: str = "company_name") -> DataFrame:
+def page_features(df: DataFrame, final: str = "__final", body: str = "body", company: str = "company_name", scan_bytes: int | None = None) -> DataFrame:
     """Columns the gate decides on, each computed once. Prefix ``g_``."""
     step = df.withColumns({"g_title": T.document_title(body), "g_heading": T.document_heading(body), "g_host": U.host(final), "g_segments": U.path_segments(final), "g_token": T.distinctive_token(company)})
     step = step.withColumns({
-        "g_challenge": T.looks_like_challenge(body, "g_title"),
-        "g_parked": T.is_parked(body, "g_title"),
+        "g_challenge": T.looks_like_challenge(body, "g_title", scan_bytes),
+        "g_parked": T.is_parked(body, "g_title", scan_bytes),
         "g_generic": T.is_generic_title("g_title"),
         "g_named": F.lower(F.concat_ws(" ", "g_title", "g_heading")),
         "g_careers_path": U.has_contained_token(F.col("g_segments")),
@@ -130,7 +130,7 @@ def _decision(kind: str = "kind", source: str = "source", strict: str = "strict"
     )
 
 
-def gate(candidates: DataFrame, strict: bool | None = None) -> DataFrame:
+def gate(candidates: DataFrame, strict: bool | None = None, scan_bytes: int | None = None) -> DataFrame:
     """Candidates joined to responses in; the same rows plus ``gate`` struct(status, reason,
     final_url, title, evidence) out.
 
@@ -141,7 +141,7 @@ def gate(candidates: DataFrame, strict: bool | None = None) -> DataFrame:
     rows = candidates if strict is None else candidates.withColumn("strict", F.lit(strict))
     joined = F.when(F.coalesce(F.col("base"), F.lit("")) != "", F.coalesce(U.resolve_url("base", "url"), F.col("url"))).otherwise(F.col("url"))
     final = F.coalesce(F.nullif(F.col("response_url"), F.lit("")), joined)
-    featured = page_features(rows.withColumn("__final_raw", final).withColumn("__final", U.normalise_url("__final_raw")))
+    featured = page_features(rows.withColumn("__final_raw", final).withColumn("__final", U.normalise_url("__final_raw")), scan_bytes=scan_bytes)
     judged = featured.withColumn("__v", _decision())
     unseen = F.col("__v.reason").isin("timeout", "transport_error", "no_status") & (F.col("__v.status") == "error")
     return judged.select(

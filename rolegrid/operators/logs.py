@@ -15,29 +15,29 @@ from rolegrid import vocab
 from rolegrid.functions import times
 from rolegrid.functions.base import ColumnOrName, attach_row, c
 
-RAW_LIMIT = 2000
 NUMERIC = {"status": "bigint", "duration_ms": "bigint", "sweep_id": "bigint"}
 
 
 # --- parsing ------------------------------------------------------------------------------------
 
 
-def flatten_streams(results: DataFrame, body: str = "body", limit: int = 200) -> DataFrame:
-    """(ts_ns, labels, line) of a stream query result: malformed values are dropped, the first
-    ``limit`` lines after the sort are kept."""
+def flatten_streams(results: DataFrame, body: str = "body", limit: int | None = None) -> DataFrame:
+    """(ts_ns, labels, line) of a stream query result: malformed values are dropped; with ``limit`` the
+    first lines after the sort are kept."""
     schema = "struct<data:struct<result:array<struct<stream:map<string,string>,values:array<variant>>>>>"
     streams = results.select(F.explode(F.from_json(body, schema)["data"]["result"]).alias("s"))
     values = streams.select(F.coalesce("s.stream", F.create_map().cast("map<string,string>")).alias("labels"), F.explode("s.values").alias("v"))
     pairs = values.filter(F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))).select(
         "labels", F.try_variant_get("v", "$[0]", "string").try_cast("bigint").alias("ts_ns"), F.try_variant_get("v", "$[1]", "string").alias("line"),
     )
-    return pairs.filter(F.col("ts_ns").isNotNull() & F.col("line").isNotNull()).orderBy("ts_ns", "line").limit(limit)
+    out = pairs.filter(F.col("ts_ns").isNotNull() & F.col("line").isNotNull())
+    return out if limit is None else out.orderBy("ts_ns", "line").limit(limit)
 
 
-def parse_lines(lines: DataFrame, line: str = "line", keep: list[str] | None = None) -> DataFrame:
+def parse_lines(lines: DataFrame, line: str = "line", keep: list[str] | None = None, raw_limit: int | None = None) -> DataFrame:
     """Log lines as flat records. JSON objects give the promoted fields and a ``fields`` map of the
     rest (blanks dropped; an id of 0 means "never set", a duration of 0 is a duration); anything else
-    is kept as ``raw``."""
+    is kept as ``raw`` (whole, or its first ``raw_limit`` characters)."""
     keep = keep if keep is not None else [x for x in lines.columns if x != line]
     body = F.from_json(c(line), "map<string,string>")
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
@@ -55,7 +55,7 @@ def parse_lines(lines: DataFrame, line: str = "line", keep: list[str] | None = N
     rest = F.map_filter(m, lambda k, v: ~k.isin(taken) & ~F.coalesce(v, F.lit("")).isin("", "[]", "{}"))
     return parsed.select(
         *keep, *[promoted(n) for n in names],
-        F.when(F.size(rest) > 0, rest).alias("fields"), F.when(m.isNull(), F.left("__line", F.lit(RAW_LIMIT))).alias("raw"),
+        F.when(F.size(rest) > 0, rest).alias("fields"), F.when(m.isNull(), F.col("__line") if raw_limit is None else F.left("__line", F.lit(raw_limit))).alias("raw"),
     )
 
 
@@ -85,8 +85,8 @@ def notable(requests: DataFrame, log_all: bool = False) -> DataFrame:
 # --- search and lookup --------------------------------------------------------------------------
 
 
-def search(lines: DataFrame, labels: dict[str, str], pattern: str | None = None, since: Column | None = None, limit: int = 200, newest: bool = True) -> DataFrame:
-    """Lines by label equality and content pattern; the newest (or oldest) ones."""
+def search(lines: DataFrame, labels: dict[str, str], pattern: str | None = None, since: Column | None = None, limit: int | None = None, newest: bool = True) -> DataFrame:
+    """Lines by label equality and content pattern; with ``limit`` the newest (or oldest) ones."""
     out = lines
     for key, value in labels.items():
         out = out.filter(F.col(key) == value)
@@ -94,6 +94,8 @@ def search(lines: DataFrame, labels: dict[str, str], pattern: str | None = None,
         out = out.filter(F.col("line").rlike(pattern))
     if since is not None:
         out = out.filter(F.col("ts") >= since)
+    if limit is None:
+        return out
     order = [F.desc("ts"), F.desc("seq")] if newest else [F.col("ts"), F.col("seq")]
     return out.orderBy(*order).limit(limit)
 
@@ -148,19 +150,20 @@ def error_groups(lines: DataFrame, level: str = "error", app: str = "") -> DataF
     ).agg(F.count("*").alias("n"))
 
 
-def error_summary(lines: DataFrame, level: str = "error", limit: int = 30, app: str = "") -> DataFrame:
-    """The largest groups with the number of groups and the total over all of them, not only the shown."""
+def error_summary(lines: DataFrame, level: str = "error", limit: int | None = None, app: str = "") -> DataFrame:
+    """The groups (with ``limit`` the largest ones) with the number of groups and the total over all of them, not only the shown."""
     groups = error_groups(lines, level, app)
     totals = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return attach_row(groups.orderBy(F.desc("n"), "app", "svc", "msg").limit(limit), totals)
+    shown = groups if limit is None else groups.orderBy(F.desc("n"), "app", "svc", "msg").limit(limit)
+    return attach_row(shown, totals)
 
 
-def container_health(lines: DataFrame, limit: int = 40, pattern: str = vocab.CONTAINER_PROBLEM_PATTERN) -> DataFrame:
-    """The loudest containers, ranked by how many of their lines report a problem."""
+def container_health(lines: DataFrame, limit: int | None = None, pattern: str = vocab.CONTAINER_PROBLEM_PATTERN) -> DataFrame:
+    """Containers (with ``limit`` the loudest ones), ranked by how many of their lines report a problem."""
     counts = lines.filter(F.coalesce(F.col("container"), F.lit("")) != "").groupBy("container").agg(
         F.count("*").alias("lines"), F.count_if(F.col("line").rlike(pattern)).alias("problem_lines")
     )
-    loud = counts.orderBy(F.desc("lines"), "container").limit(limit)
+    loud = counts if limit is None else counts.orderBy(F.desc("lines"), "container").limit(limit)
     return loud.withColumn("problem_per_1k", F.round(F.col("problem_lines") / F.col("lines") * 1000, 1)).orderBy(
         F.desc("problem_per_1k"), F.desc("problem_lines"), "container"
     )

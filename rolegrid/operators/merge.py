@@ -171,7 +171,7 @@ def observed_keys(raw: DataFrame, scope: list[str], key: str = "external_id") ->
     return raw.filter(F.col(key).isNotNull() & (F.col(key) != "")).select(*scope, key).distinct()
 
 
-def closure_notes(fetched: DataFrame, scope: list[str], max_jobs: int, url: str = "url", accepted: str | None = None) -> DataFrame:
+def closure_notes(fetched: DataFrame, scope: list[str], max_jobs: int | None = None, url: str = "url", accepted: str | None = None) -> DataFrame:
     """Per scope the reason not to close anything ('' = closing is safe)."""
     counts = fetched.groupBy(*scope).agg(
         F.count("*").alias("fetched"),
@@ -181,7 +181,7 @@ def closure_notes(fetched: DataFrame, scope: list[str], max_jobs: int, url: str
     note = (
         F.when(F.col("accepted") == 0, F.lit("none_accepted"))
         .when(F.col("observed") == 0, F.lit("none_observed"))
-        .when(F.col("fetched") >= max_jobs, F.lit(f"truncated_at_max_jobs={max_jobs}"))
+        .when(F.lit(False) if max_jobs is None else F.col("fetched") >= max_jobs, F.lit(f"truncated_at_max_jobs={max_jobs}"))
         .otherwise("")
     )
     return counts.withColumn("stale_note", note)

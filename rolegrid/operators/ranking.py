@@ -14,10 +14,14 @@ from rolegrid.operators.scans import bucket, previous, running_sum
 Order = list[str | Column]
 
 
-def top_k(df: DataFrame, keys: list[str], order: Order, k: int, rank: str | None = None) -> DataFrame:
-    """The first k rows of each group in the given order."""
+def top_k(df: DataFrame, keys: list[str], order: Order, k: int | None, rank: str | None = None) -> DataFrame:
+    """The first k rows of each group in the given order; all of them for None."""
+    if k is None and rank is None:
+        return df
     name = rank or "__rn"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if k is not None:
+        ranked = ranked.filter(F.col(name) <= k)
     return ranked.withColumn(name, F.col(name).cast("bigint")) if rank else ranked.drop(name)
 
 

@@ -11,7 +11,7 @@ from rolegrid import vocab
 from rolegrid.functions import times
 from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.operators.ranking import percentiles, tally, top_k
-from rolegrid.operators.scans import bucket, previous, running_sum
+from rolegrid.operators.scans import bucket, number_rows, previous, running_sum
 
 # --- runs ---------------------------------------------------------------------------------------
 
@@ -115,10 +115,11 @@ def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float | N
     return out
 
 
-def run_tallies(runs: DataFrame, errors: int = 10) -> DataFrame:
-    """Long form (kind, label, n): status and platform counts, and the top error texts of failed runs
-    by their first 70 characters."""
-    text = F.left(F.coalesce(F.nullif(F.col("error_text"), F.lit("")), F.lit("(no error text)")), F.lit(70))
+def run_tallies(runs: DataFrame, errors: int | None = None, prefix: int | None = None) -> DataFrame:
+    """Long form (kind, label, n): status and platform counts, and the error texts of failed runs: whole
+    or by their first ``prefix`` characters, all or the ``errors`` most frequent."""
+    text = F.coalesce(F.nullif(F.col("error_text"), F.lit("")), F.lit("(no error text)"))
+    text = text if prefix is None else F.left(text, F.lit(prefix))
     parts = [
         tally(runs, "status", "label").withColumn("kind", F.lit("status")),
         tally(runs, "platform", "label").withColumn("kind", F.lit("platform")),
@@ -211,11 +212,15 @@ def trace_digest(events: DataFrame, order: str = "seq") -> DataFrame:
     return digest.join(urls, "run_id", "left").fillna(0, ["distinct_urls"])
 
 
-def digest_steps(events: DataFrame, max_steps: int = 40, order: str = "seq", include_text: bool = False) -> DataFrame:
-    """The first steps of each run with their goal (200 characters unless told otherwise)."""
-    steps = top_k(events.filter(F.col("event") == "step"), ["run_id"], [order], max_steps, "place")
+def digest_steps(events: DataFrame, max_steps: int | None = None, order: str = "seq", goal_chars: int | None = None) -> DataFrame:
+    """The steps of each run (or the first ``max_steps``) with their goal (or its first ``goal_chars``)."""
+    steps = events.filter(F.col("event") == "step")
+    if max_steps is None:
+        steps = number_rows(steps, ["run_id"], [order], bucket(order), "place")
+    else:
+        steps = top_k(steps, ["run_id"], [order], max_steps, "place")
     goal = F.coalesce(F.nullif(F.col("next_goal"), F.lit("")), F.nullif(F.col("evaluation_previous_goal"), F.lit("")))
-    return steps.select("run_id", "place", "step", "url", (goal if include_text else F.left(goal, F.lit(200))).alias("goal"), "ts")
+    return steps.select("run_id", "place", "step", "url", (goal if goal_chars is None else F.left(goal, F.lit(goal_chars))).alias("goal"), "ts")
 
 
 def step_line(event: dict[str, ColumnOrName]) -> Column:
@@ -227,7 +232,7 @@ def step_line(event: dict[str, ColumnOrName]) -> Column:
     )
 
 
-def search_steps(events: DataFrame, pattern: str, fields: list[str] | None = None, limit: int | None = 60, order: str = "seq") -> DataFrame:
+def search_steps(events: DataFrame, pattern: str, fields: list[str] | None = None, limit: int | None = None, order: str = "seq") -> DataFrame:
     """First field of each step that matches, with a snippet from 60 characters before the match to
     100 after it."""
     fields = fields or vocab.STEP_FIELDS
@@ -368,12 +373,13 @@ def sweep_blocks(lines: DataFrame, run: str = "run_id", line_no: str = "line_no"
     return agg.withColumn("outcome", outcome).drop("m1", "m2", "m3", "m4", "m5")
 
 
-def sweep_outcomes(blocks: DataFrame, run: str = "run_id", companies: int = 25) -> DataFrame:
-    """Per sweep and outcome: how many companies, and the first ones by name of the log."""
+def sweep_outcomes(blocks: DataFrame, run: str = "run_id", companies: int | None = None) -> DataFrame:
+    """Per sweep and outcome: how many companies, and their names in the log's order (the first ones
+    with ``companies``)."""
     counts = blocks.groupBy(run, "outcome").agg(F.count("*").alias("n"))
-    first = top_k(blocks, [run, "outcome"], ["block"], companies, "place")
+    first = top_k(blocks, [run, "outcome"], ["block"], companies)
     named = first.groupBy(run, "outcome").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "company"))), lambda x: x["company"]), ",").alias("companies")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "company"))), lambda x: x["company"]), ",").alias("companies")
     )
     return counts.join(named, [run, "outcome"])
 
@@ -457,12 +463,13 @@ def scrape_counters(fetched: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def unreadable_tally(fetched: DataFrame) -> DataFrame:
-    """(kind, label, n) of postings that could not be read: block reasons, and errors by first words."""
+def unreadable_tally(fetched: DataFrame, words: int | None = None) -> DataFrame:
+    """(kind, label, n) of postings that could not be read: block reasons, and errors (whole, or by their
+    first ``words`` words)."""
     from rolegrid.functions.text import first_words
 
     blocked = tally(fetched.filter(F.coalesce(F.col("block_reason"), F.lit("")) != ""), "block_reason", "label")
-    errored = tally(fetched.filter(F.coalesce(F.col("error"), F.lit("")) != ""), first_words("error", 6), "label")
+    errored = tally(fetched.filter(F.coalesce(F.col("error"), F.lit("")) != ""), F.col("error") if words is None else first_words("error", words), "label")
     return blocked.withColumn("kind", F.lit("blocked")).unionByName(errored.withColumn("kind", F.lit("errored"))).select("kind", "label", "n")
 
 

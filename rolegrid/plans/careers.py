@@ -28,7 +28,7 @@ def _attempt(df: DataFrame, group: int, place: str) -> DataFrame:
     )
 
 
-def resolve_careers(companies: DataFrame, responses: DataFrame, homepages: DataFrame | None = None) -> dict[str, DataFrame]:
+def resolve_careers(companies: DataFrame, responses: DataFrame, homepages: DataFrame | None = None, max_candidates: int | None = None, max_sitemaps: int | None = None) -> dict[str, DataFrame]:
     """Homepage, ladder, board check. Returns ``resolutions`` (one row per company) and ``attempts``.
 
     companies(company_id, slug, name, website), homepages(company_id, url, source) for companies
@@ -54,7 +54,7 @@ def resolve_careers(companies: DataFrame, responses: DataFrame, homepages: DataF
     nowhere = fixed(known.filter(F.col("website") == ""), F.lit("tier1"), F.lit(""), "rejected", "no_careers_signal", 0)
     homes = cut(homepage_attempts(known.select("company_id", "name", "website"), responses))
     home_rows = _attempt(homes.withColumn("__n", F.lit(0)), 1, "__n")
-    climbed = cut(climb(ladder_candidates(homes, responses), responses))
+    climbed = cut(climb(ladder_candidates(homes, responses, max_candidates, max_sitemaps), responses))
     rung_rows = _attempt(climbed, 2, "rank")
     answer = climbed.filter("is_answer").select(
         "company_id", "homepage", F.col("gate.final_url").alias("url"), "source", F.col("gate.title").alias("title"), F.col("status").alias("code")

@@ -89,7 +89,7 @@ def report_exit(report: DataFrame) -> DataFrame:
 
 def listings_job(
     companies: DataFrame, answers: DataFrame, responses: DataFrame, jobs: DataFrame, now: ColumnOrName, run_id: int,
-    robots: DataFrame | None = None, ttl_seconds: int = 7 * 86400, max_jobs: int = 25,
+    robots: DataFrame | None = None, ttl_seconds: int = 7 * 86400, max_jobs: int | None = None,
 ) -> dict[str, DataFrame]:
     """Listings of all companies at once: cache or agent answer, fetch gate, links, postings, upsert,
     guarded staleness, counters.

@@ -55,13 +55,15 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def grep_log(lines: DataFrame, grep: str | None = None, max_lines: int = 200) -> DataFrame:
-    """First ``max_lines`` non-blank lines (matching the pattern, whatever the case), each with the
+def grep_log(lines: DataFrame, grep: str | None = None, max_lines: int | None = None) -> DataFrame:
+    """Non-blank lines (with ``max_lines`` the first ones) (matching the pattern, whatever the case), each with the
     total and whether it was cut."""
     out = lines.filter(F.trim("line") != "")
     if grep:
         out = out.filter(F.regexp_like("line", F.lit(f"(?i){grep}")))
     total = out.agg(F.count("*").alias("total_lines"))
+    if max_lines is None:
+        return attach_row(out, total).withColumn("truncated", F.lit(False))
     return attach_row(out.orderBy("line_no").limit(max_lines), total).withColumn("truncated", F.col("total_lines") > max_lines)
 
 

@@ -135,8 +135,8 @@ def test_page_text(spark):
     assert many(spark, boards, text.count_board_ids("x")) == [2, 0, 0]
     links = "<a href='/jobs/1'><a href=\"/careers/x\"><a href='https://jobs.x.com'><a href='/about'>"
     assert many(spark, [links], text.count_listing_links("x")) == [3]
-    assert many(spark, ["x" * 5000 + "just a moment", "JUST A MOMENT", "ü" * 2040 + " parked"], text.looks_like_challenge("x", F.lit(""))) == [False, True, False]
-    assert many(spark, ["ü" * 2040 + " parked", "ü" * 2060 + " parked"], text.is_parked("x", F.lit(""))) == [True, False]
+    assert many(spark, ["x" * 5000 + "just a moment", "JUST A MOMENT", "ü" * 2040 + " parked"], text.looks_like_challenge("x", F.lit(""), 4096)) == [False, True, False]
+    assert many(spark, ["ü" * 2040 + " parked", "ü" * 2060 + " parked"], text.is_parked("x", F.lit(""), 4096)) == [True, False]
     assert many(spark, [" Careers ", "Job Search | X", "Careers at X"], text.is_generic_title("x")) == [True, True, False]
 
 

@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from rolegrid.llm.shared import narrow, stash
 
-CHUNK = 16_384
+CHUNK = 65_536
+#: Documents whose ids are held as Python numbers at a time.
+ROWS = 256
 BLANK = "▁"
 EDGE = (0, 0)
 State = tuple[int, int]
@@ -125,10 +127,13 @@ class Part:
         self.model, self.s, self.left, self.right = model, s, left, right
         self.open_left = not (first or begins(s, left))
         self.open_right = not (last or begins(s, right))
-        inner = [k for k in range(left + 1, right) if begins(s, k)]
         # Where the part of a word that comes in ends, and where the one that goes out begins; both or neither.
-        self.head_end = left if not self.open_left else inner[0] if inner else None if self.open_right else right
-        self.tail_start = right if not self.open_right else inner[-1] if inner else None if self.open_left else left
+        self.head_end: int | None = left
+        self.tail_start: int | None = right
+        if self.open_left:
+            self.head_end = next((k for k in range(left + 1, right) if begins(s, k)), None if self.open_right else right)
+        if self.open_right:
+            self.tail_start = next((k for k in range(right - 1, left, -1) if begins(s, k)), None if self.open_left else left)
 
     def states(self, at: int) -> list[State]:
         """Pieces that cover the characters on both sides of the cut, or end at it."""
@@ -321,17 +326,30 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
 
     def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [[np.array(pieces(model).encode(t or ""), "<i4").tobytes()] for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(got, pa.list_(pa.binary())), pa.array([1] * len(got), pa.int32())], names=["doc_id", "parts", "n_chunks"])
+            for k in range(0, part.num_rows, ROWS):
+                some = part.slice(k, ROWS)
+                got = [np.array(pieces(model).encode(t or ""), np.int32) for t in some["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"], pa.array(got, pa.list_(pa.int32())), pa.array([1] * len(got), pa.int32())], names=["doc_id", "ids", "n_chunks"])
 
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [np.frombuffer(b"".join(p), "<i4") for p in part["parts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(got, pa.list_(pa.int32())), part["n_chunks"]], names=["doc_id", "ids", "n_chunks"])
+            for k in range(0, part.num_rows, ROWS):
+                some = part.slice(k, ROWS)
+                got = [np.frombuffer(b"".join(p), "<i4") for p in some["parts"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(got, pa.list_(pa.int32())), some["n_chunks"]], names=["doc_id", "ids", "n_chunks"])
+
+    out = "doc_id bigint, ids array<int>, n_chunks int"
+    return held.where(~long).mapInArrow(short, out).unionByName(_giants(held.where(long), model, size).mapInArrow(join, out))
+
 
-    rows = held.where(~long).mapInArrow(short, "doc_id bigint, parts array<binary>, n_chunks int")
-    return rows.unionByName(_giants(held.where(long), model, size)).mapInArrow(join, "doc_id bigint, ids array<int>, n_chunks int")
+def _id_rows(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the ids of their rows, as views."""
+    for k in range(0, part.num_rows, ROWS):
+        some = part.slice(k, ROWS)
+        ids = some["ids"]
+        flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        yield some, [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -339,8 +357,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            text = [pieces(model).decode(x) for x in part["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], part["n_chunks"], pa.array(text, pa.string())], names=["doc_id", "ids", "n_chunks", "text"])
+            for some, ids in _id_rows(part):
+                text = [pieces(model).decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["ids"], some["n_chunks"], pa.array(text, pa.string())], names=["doc_id", "ids", "n_chunks", "text"])
 
     return encoded.select("doc_id", "ids", "n_chunks").mapInArrow(run, "doc_id bigint, ids array<int>, n_chunks int, text string")
 
@@ -350,10 +369,10 @@ def digests(decoded: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids = [np.array(x, "<i4") for x in part["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in part["text"].to_pylist()], pa.string()), part["n_chunks"],
-            ], names=["doc_id", "n_tokens", "ids_crc32", "text_sha256", "n_chunks"])
+            for some, ids in _id_rows(part):
+                yield pa.RecordBatch.from_arrays([
+                    some["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in some["text"].to_pylist()], pa.string()), some["n_chunks"],
+                ], names=["doc_id", "n_tokens", "ids_crc32", "text_sha256", "n_chunks"])
 
     return decoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text_sha256 string, n_chunks int")

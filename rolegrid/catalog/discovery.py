@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from rolegrid import vocab
 from rolegrid.catalog.registry import Tables, query
+from rolegrid.functions import times
 from rolegrid.functions import urls as U
 from rolegrid.operators import discover, homepage, logs, runs, wikitext
 from rolegrid.operators.gate import gate
-from rolegrid.sources import captures, feed, traces
+from rolegrid.session import cut
+from rolegrid.sources import captures, feed, postings, registry, traces
 
 # Ten kinds of response over the whole page table; the judged bodies are the pages themselves.
 _GATE_URL = "(CASE page_id % 10 WHEN 6 THEN 'https://www.example.com/careers/' || CAST(page_id AS STRING) WHEN 7 THEN 'https://www.example.com/en-us' ELSE url END)"
@@ -179,3 +181,124 @@ def _f51(t: Tables):
     acts = F.when(F.col("value") < 5, F.array().cast("array<map<string,int>>")).otherwise(F.array(F.create_map("event_type", F.lit(1)), F.create_map(F.lit("wait"), F.lit(2))))
     line = runs.step_line({"step": F.col("event_id"), "url": F.lit(""), "actions": acts})
     return t.events.select("event_id", line.alias("l")).select("event_id", F.array_join("l.actions", ",").alias("actions"), "l.action_count")
+
+
+# --- ladder, homepage choice, extractor files, sessions -----------------------------------------
+
+_ORIGIN = "'https://s' || page_id || '.example.com'"
+
+
+def _origin(tail: str = ""):
+    return F.concat(F.lit("https://s"), F.col("page_id").cast("string"), F.lit(".example.com" + tail))
+
+
+def _sitemaps(t: Tables):
+    """Declared (even pages) or conventional sitemaps; every third is an index of seven children."""
+    n = t.pages.select("page_id", F.char_length("html").cast("string").alias("size"))
+    ref = F.when(F.col("page_id") % 2 == 0, _origin("/map.xml")).otherwise(_origin("/sitemap.xml"))
+    child = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.concat(F.lit("<sitemap><loc>"), _origin("/c"), k.cast("string"), F.lit(".xml</loc></sitemap>"))), "")
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<sitemapindex>"), child, F.lit("</sitemapindex>"))).otherwise(
+        F.concat(F.lit("<urlset><loc>"), _origin("/jobs/"), "size", F.lit("</loc><loc>"), _origin("/about"), F.lit("</loc></urlset>")))
+    tops = n.select(ref.alias("url"), body.alias("body"))
+    leaves = n.filter("page_id % 3 = 0").select("page_id", "size", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")).select(
+        F.concat(_origin("/c"), F.col("k").cast("string"), F.lit(".xml")).alias("url"),
+        F.concat(F.lit("<urlset><loc>"), _origin("/careers/"), F.col("k").cast("string"), F.lit("-"), "size", F.lit("</loc></urlset>")).alias("body"))
+    origins = t.pages.select(F.col("page_id").alias("company_id"), _origin().alias("origin"))
+    declared = t.pages.filter("page_id % 2 = 0").select(F.col("page_id").alias("company_id"), F.lit(3).cast("bigint").alias("ref_no"), _origin("/map.xml").alias("ref"))
+    return origins, declared, tops.unionByName(leaves).withColumn("status", F.lit(200))
+
+
+_SITEMAP_SQL = f"""
+WITH p AS (SELECT page_id, {_ORIGIN} AS o, length(html) AS size, CASE WHEN page_id % 2 = 0 THEN {_ORIGIN} || '/map.xml' ELSE {_ORIGIN} || '/sitemap.xml' END AS ref FROM pages)
+SELECT page_id AS company_id, ref AS base, o || '/jobs/' || size AS url, CAST(0 AS BIGINT) AS sub_no FROM p WHERE page_id % 3 <> 0
+UNION ALL SELECT page_id, ref, o || '/careers/' || k || '-' || size, k FROM p, range({{n}}) AS r(k) WHERE page_id % 3 = 0"""
+
+
+@query("j21_sitemap_candidates", _SITEMAP_SQL.format(n=7))
+def _j21(t: Tables):
+    return discover.sitemap_candidates(*_sitemaps(t)).select("company_id", "base", "url", "sub_no")
+
+
+@query("j21_sitemap_candidates_capped", _SITEMAP_SQL.format(n=5))
+def _j21c(t: Tables):
+    return discover.sitemap_candidates(*_sitemaps(t), max_sitemaps=5).select("company_id", "base", "url", "sub_no")
+
+
+_LADDER_SQL = f"""
+WITH p AS (SELECT page_id, {_ORIGIN} AS o, length(html) AS size FROM pages)
+SELECT page_id AS company_id, CAST(1 AS BIGINT) AS rank, o || '/careers' AS url, 'nav_anchor' AS source FROM p
+UNION ALL SELECT page_id, 2, o || '/careers/' || size, 'sitemap' FROM p UNION ALL SELECT page_id, 3, o || '/jobs/x', 'robots_path' FROM p"""
+
+
+def _ladder(t: Tables, **caps):
+    size = F.char_length("html").cast("string")
+    rows = t.pages.select("page_id", F.explode(F.array(
+        F.struct(_origin("/").alias("url"), F.concat(F.lit('<title>Example</title><nav><a href="/careers">Careers</a></nav>'), "html").alias("body")),
+        F.struct(_origin("/robots.txt").alias("url"), F.concat(F.lit("Sitemap: "), _origin("/map.xml"), F.lit("\nUser-agent: *\nDisallow: /jobs/x\n")).alias("body")),
+        F.struct(_origin("/map.xml").alias("url"), F.concat(F.lit("<urlset><loc>"), _origin("/careers"), F.lit("</loc><loc>"), _origin("/careers/"), size, F.lit("</loc></urlset>")).alias("body")),
+    )).alias("r")).select("r.*")
+    responses = rows.select(
+        "url", F.lit("").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "body",
+        F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("transport_error"), F.lit(False).alias("timed_out"))
+    companies = t.pages.select(F.col("page_id").alias("company_id"), F.lit("Example Group").alias("name"), _origin("/").alias("website"))
+    responses = cut(responses)
+    homes = cut(discover.homepage_attempts(companies, responses))
+    return discover.ladder_candidates(homes, responses, **caps).select("company_id", "rank", "url", "source")
+
+
+@query("j22_u1_ladder_candidates", _LADDER_SQL)
+def _j22(t: Tables):
+    return _ladder(t)
+
+
+@query("j22_ladder_candidates_capped", f"SELECT * FROM ({_LADDER_SQL}) WHERE rank <= 2")
+def _j22c(t: Tables):
+    return _ladder(t, max_candidates=2)
+
+
+@query("o10_best_homepage", """
+WITH p AS (SELECT page_id % 40 AS grp, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h, list_filter(string_split(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS l,
+  CASE page_id % 3 WHEN 0 THEN 'preferred' WHEN 1 THEN 'normal' ELSE 'deprecated' END AS rank FROM pages),
+s AS (SELECT *, CASE WHEN rank <> 'deprecated' THEN CAST(CASE rank WHEN 'preferred' THEN 1000 ELSE 0 END + CASE WHEN len(l) = 0 THEN 100 ELSE -10 END
+   + CASE WHEN starts_with(url, 'https') THEN 20 ELSE 1 END - 5 * len(l) - 5 * greatest(0, length(h) - length(replace(h, '.', '')) - 1) + CASE WHEN contains(h, 'example') THEN 100 ELSE 0 END AS BIGINT) END AS score FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC NULLS LAST, contains(h, 'example') DESC, length(url), url, rank) AS rn, count(*) FILTER (score IS NULL) OVER (PARTITION BY grp) AS rejected FROM s)
+SELECT grp, CASE WHEN score IS NOT NULL THEN url END AS url, score, rejected, CASE WHEN score IS NULL THEN 'no_usable_candidate' ELSE '' END AS reason FROM b WHERE rn = 1""")
+def _o10(t: Tables):
+    claims = t.pages.select((F.col("page_id") % 40).alias("grp"), "url", F.expr("CASE page_id % 3 WHEN 0 THEN 'preferred' WHEN 1 THEN 'normal' ELSE 'deprecated' END").alias("rank"), F.lit("The Example Group").alias("title"))
+    return homepage.select_homepage(claims, key="grp").select("grp", "url", "score", "rejected", "reason")
+
+
+@query("s10_extractor_postings", """
+SELECT url AS listings_url, length(html) AS total_links, CAST(k AS BIGINT) AS ordinal, url || '/' || k AS url, 'Role ' || k || ' "q"' AS title FROM pages, range(3) AS r(k)""")
+def _s10(t: Tables):
+    jobs = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.concat("url", F.lit("/"), k.cast("string")).alias("url"), F.concat(F.lit("Role "), k.cast("string"), F.lit(' "q"')).alias("title")))
+    body = F.to_json(F.struct(F.col("url").alias("listings_url"), F.char_length("html").alias("total_links"), jobs.alias("jobs")))
+    files = t.pages.select(F.from_json(body, postings.POSTINGS_SCHEMA).alias("f")).select("f.*")
+    return postings.explode_postings(files).select("listings_url", "total_links", "ordinal", "url", "title")
+
+
+@query("s14_playbook_patterns", """
+SELECT c_custkey, n_name AS vendor, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey < 20 THEN n_name || '/([0-9]+)' ELSE '' END AS pattern FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def _s14(t: Tables):
+    books = t.nation.filter("n_nationkey < 20").select(F.col("n_name").alias("vendor"), F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("/([0-9]+)"))).alias("external_id_pattern"))
+    vendors = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("vendor"))
+    return registry.with_pattern(vendors, books).select("c_custkey", "vendor", "pattern")
+
+
+@query("f48_window_start", """
+SELECT event_id, epoch_us(ts) - 5400000000 AS m90, epoch_us(ts) - 7200000000 AS h2, epoch_us(ts) - 604800000000 AS d7, epoch_us(ts) - 604800000000 AS w1, epoch_us(ts) - 86400000000 AS missing FROM events""")
+def _f48(t: Tables):
+    start = lambda w: F.unix_micros(times.window_start(w, "ts"))
+    return t.events.select("event_id", start("90m").alias("m90"), start("2h").alias("h2"), start("7d").alias("d7"), start("1w").alias("w1"), start(None).alias("missing"))
+
+
+@query("t8_run_sessions_batch_twin", """
+WITH l AS (SELECT run_id, ts, msg, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS opens FROM log_lines WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM l)
+SELECT run_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1200000000 AS session_end, count(*) AS lines, count(*) FILTER (msg = 'agent step') AS agent_steps,
+       count(*) FILTER (msg = 'listing stored') AS listings_stored, coalesce(bool_or(msg = 'agent failed'), false) AS agent_failed, coalesce(bool_or(msg = 'summary'), false) AS finished FROM s GROUP BY run_id, session""")
+def _t8(t: Tables):
+    from rolegrid.streaming.logs import run_sessions
+
+    out = run_sessions(t.log_lines)
+    return out.withColumns({n: F.unix_micros(n) for n in ("session_start", "session_end")})

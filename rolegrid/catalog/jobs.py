@@ -27,7 +27,8 @@ def site_pages(t: Tables):
     return t.pages.groupBy("url").agg(F.min_by("page_id", "page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
 
 
-_SITES = "site AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)"
+# What is planted on a page depends on the length of its text, so every job reads whole pages.
+_SITES = "site AS (SELECT url, min(page_id) AS page_id, length(arg_min(html, page_id)) AS size FROM pages GROUP BY url)"
 
 
 @query("d20_vendor_classification_job", f"""WITH {_SITES}
@@ -50,7 +51,7 @@ SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]*[.]org(/|$|[?#])')
        CASE WHEN regexp_matches(url, '^https?://[^/]*[.]org(/|$|[?#])') THEN NULL ELSE 'anchor_scan' END AS new_url_source, CAST(2 AS BIGINT) AS attempts FROM site""")
 def _d23(t: Tables):
     site = site_pages(t)
-    home = site.select("url", F.lit(200).alias("status"), F.concat(F.lit('<title>Example</title><nav><a href="/careers">Careers</a></nav>'), F.substring("html", 1, 0)).alias("body"))
+    home = site.select("url", F.lit(200).alias("status"), F.concat(F.lit('<title>Example</title><nav><a href="/careers">Careers</a></nav>'), "html").alias("body"))
     root = F.regexp_extract("url", "^https?://[^/?#]*", 0)
     boards = site.filter(~U.host("url").endswith(".org")).select(F.concat(root, F.lit("/careers")).alias("url")).distinct().select(
         "url", F.lit(200).alias("status"), F.lit("<title>Careers at Example</title>open positions").alias("body"))
@@ -61,15 +62,16 @@ def _d23(t: Tables):
 
 
 @query("d24_f25_stored_url_validation_job", f"""WITH {_SITES}
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'wrong' WHEN 2 THEN 'unverifiable' WHEN 3 THEN 'confirmed' ELSE 'unverifiable' END AS new_verdict, page_id % 5 IN (2, 3, 4) AS escalated FROM site""")
+SELECT page_id, CASE size % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'wrong' WHEN 2 THEN 'unverifiable' WHEN 3 THEN 'confirmed' ELSE 'unverifiable' END AS new_verdict, size % 5 IN (2, 3, 4) AS escalated FROM site""")
 def _d24(t: Tables):
-    m = F.col("page_id") % 5
+    m = F.char_length("html") % 5
     n = F.col("page_id").cast("string")
     site = site_pages(t)
     stored = site.select(F.col("page_id").alias("company_id"), n.alias("slug"), F.lit("Example").alias("name"), F.concat(F.lit("https://www.example.com/careers/"), n).alias("career_site_url"))
     first = site.select(
         F.concat(F.lit("https://www.example.com/careers/"), n).alias("url"), F.when(m == 2, 403).otherwise(200).alias("status"),
-        F.when(m == 0, "<title>Example careers</title>").when(m == 1, "<title>Example fraud alert</title>open roles").when(m == 4, "").when(m == 3, "<p>verify you are human</p>").otherwise("x").alias("body"))
+        F.when(m == 0, F.concat(F.lit("<title>Example careers</title>"), "html")).when(m == 1, F.concat(F.lit("<title>Example fraud alert</title>open roles"), "html")).when(m == 4, "")
+        .when(m == 3, F.concat("html", F.lit("<p>verify you are human</p>"))).otherwise(F.col("html")).alias("body"))
     second = site.select(F.concat(F.lit("https://jobs.example.com/open-jobs/"), n).alias("url"), F.lit(200).alias("status"), F.when(m == 3, "<title>Example jobs</title>open roles").otherwise("<title>Hello</title>").alias("body"))
     asked = site.filter(m >= 2).select(F.col("page_id").alias("company_id"), F.concat(F.lit("https://jobs.example.com/open-jobs/"), n).alias("final_url"), F.lit(True).alias("ok"))
     out = careers.validate_stored(stored, responses_of(first.unionByName(second)), asked)
@@ -100,15 +102,15 @@ def _d22(t: Tables):
 
 
 @query("d25_listings_job", f"""WITH {_SITES}
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'no_remote_roles' WHEN 1 THEN 'agent_failed' WHEN 2 THEN 'blocked' ELSE 'fetched' END AS outcome,
-       CAST(CASE WHEN page_id % 5 >= 3 THEN 3 ELSE 0 END AS BIGINT) AS found, CAST(CASE WHEN page_id % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS inserted,
-       CAST(CASE WHEN page_id % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS skipped_non_us, CAST(CASE WHEN page_id % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS closed FROM site""")
+SELECT page_id, CASE size % 5 WHEN 0 THEN 'no_remote_roles' WHEN 1 THEN 'agent_failed' WHEN 2 THEN 'blocked' ELSE 'fetched' END AS outcome,
+       CAST(CASE WHEN size % 5 >= 3 THEN 3 ELSE 0 END AS BIGINT) AS found, CAST(CASE WHEN size % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS inserted,
+       CAST(CASE WHEN size % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS skipped_non_us, CAST(CASE WHEN size % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS closed FROM site""")
 def _d25(t: Tables):
-    m = F.col("page_id") % 5
+    m = F.char_length("html") % 5
     n = F.col("page_id").cast("string")
     site = site_pages(t)
     start = F.concat(F.lit("https://list.example.com/p"), n)
-    links = F.concat(F.lit('<a href="/jobs/'), n, F.lit('a">One</a><a href="/jobs/'), n, F.lit('b">Two</a><a href="/jobs/'), n, F.lit('c">Three</a><a href="/about">x</a>'))
+    links = F.concat(F.lit('<a href="/jobs/'), n, F.lit('a">One</a><a href="/jobs/'), n, F.lit('b">Two</a><a href="/jobs/'), n, F.lit('c">Three</a><a href="/about">x</a>'), "html")
 
     def posting(tail: str, country: str):
         body = F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"T","description":"d","jobLocation":{"address":{"addressCountry":"' + country + '"}}}</script>')

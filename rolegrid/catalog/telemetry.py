@@ -340,6 +340,17 @@ def _a14(t: Tables):
     return out.select("run_id", "lines", "outcome", "agent_steps", "agent_s", "block_reason", "listings_stored", "errors", "warnings")
 
 
+@query("a17_company_history", f"""
+WITH m AS (SELECT *, CASE WHEN msg = 'fetch' THEN 'company skipped' ELSE msg END AS said FROM log_lines),
+f AS (SELECT company, run_id, min(ts) AS first_ts, coalesce(bool_or(msg = 'agent failed'), false) AS af, coalesce(bool_or(msg = 'listings page blocked'), false) AS bl, coalesce(bool_or(msg = 'skip'), false) AS sk,
+  coalesce(bool_or(msg = 'listing stored'), false) AS st, coalesce(bool_or(msg = 'summary'), false) AS su, {_FIRST.format(v='n', m='summary')} AS sn, arg_min(coalesce(n, -1), (ts, seq)) FILTER (msg = 'skip') AS kn FROM log_lines GROUP BY 1, 2)
+SELECT company, run_id, epoch_us(first_ts) AS seen_at, NULL AS reason, CASE WHEN af THEN 'agent_failed' WHEN bl OR coalesce(sn > 45, false) THEN 'blocked' WHEN sk THEN CASE WHEN kn < 45 THEN 'no_remote_roles' ELSE 'skipped' END WHEN st THEN 'stored' WHEN su THEN 'completed' ELSE 'in_progress' END AS outcome FROM f
+UNION ALL SELECT company, NULL, epoch_us(ts), CASE WHEN n < 45 THEN 'no_remote_roles' END, 'skipped_before_running' FROM m WHERE said = 'company skipped'""")
+def _a17(t: Tables):
+    lines = t.log_lines.withColumn("msg", F.when(F.col("msg") == "fetch", "company skipped").otherwise(F.col("msg")))
+    return logs.company_history(lines, _n).select("company", "run_id", F.unix_micros("at").alias("seen_at"), "reason", "outcome")
+
+
 @query("a15_run_summary", f"""
 SELECT run_id, CAST({_FIRST.format(v='n', m='agent decided')} AS STRING) AS listings_url_d, CAST({_FIRST.format(v='n', m='fetch')} AS BIGINT) AS extracted,
   CAST({_FIRST.format(v='n', m='summary')} AS BIGINT) AS inserted, CAST({_FIRST.format(v='n', m='stale')} AS BIGINT) AS closed, {_FIRST.format(v='company', m='start')} AS c0, arg_min(company, (ts, seq)) AS c1 FROM log_lines GROUP BY run_id""".replace("SELECT run_id, CAST(", "SELECT run_id, coalesce(CAST(", 1).replace(" AS STRING) AS listings_url_d", f" AS STRING), CAST({_FIRST.format(v='n', m='start')} AS STRING)) AS listings_url").replace(

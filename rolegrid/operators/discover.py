@@ -20,10 +20,21 @@ RESPONSE_COLUMNS = ["status", "response_url", "content_type", "body", "truncated
 # --- responses ----------------------------------------------------------------------------------
 
 
+def single_responses(responses: DataFrame) -> DataFrame:
+    """One response per URL, so that a repeated capture never multiplies requests: the latest by
+    ``captured_at`` where the table has it, else an answered one before others, ties by content."""
+    first = [F.col("captured_at")] if "captured_at" in responses.columns else []
+    content = F.xxhash64(*[c for c in responses.columns if c != "captured_at"])
+    best = F.struct(*first, (F.coalesce("status", F.lit(0)) == 200).alias("ok"), content.alias("content"))
+    row = F.struct(*[F.col(c) for c in responses.columns])
+    return responses.groupBy(F.col("url").alias("__url")).agg(F.max_by(row, best).alias("r")).select("r.*")
+
+
 def fetch(requests: DataFrame, responses: DataFrame, url: str = "url") -> DataFrame:
     """Requests joined to the response of their URL (left); an unanswered URL is a transport error.
 
-    The redirect target arrives as ``response_url`` and is what later steps judge.
+    The redirect target arrives as ``response_url`` and is what later steps judge. responses hold one
+    row per URL (``single_responses``); the jobs reduce theirs once, before any step.
     """
     r = responses.select(
         F.col("url").alias("__u"), F.col("final_url").alias("response_url"),
@@ -160,16 +171,19 @@ def robots_rules(robots: DataFrame, agent: str, host: str = "host", body: str =
     )
     delay = F.col("value").try_cast("double")
     chosen = lines.join(heads, host).filter((F.col("grp") == F.col("__grp")) & (F.col("field") != "user-agent"))
+    # Most rules are plain prefixes; only those with a wildcard or an anchor are regular expressions.
+    plain = ~F.col("value").contains("*") & ~F.col("value").endswith("$")
     rule = F.when(F.col("field").isin("allow", "disallow") & (F.col("value") != ""), F.struct(
-        F.length("value").alias("len"), (F.col("field") == "allow").alias("allow"), pattern_regex("value").alias("regex")
+        F.length("value").alias("len"), (F.col("field") == "allow").alias("allow"),
+        F.when(plain, F.col("value")).alias("prefix"), F.when(~plain, pattern_regex("value")).alias("regex"),
     ))
     rules = chosen.groupBy(host).agg(
         F.collect_list(rule).alias("rules"),
         F.max_by(F.when((F.col("field") == "crawl-delay") & (delay >= 0), delay), F.when((F.col("field") == "crawl-delay") & (delay >= 0), F.col("line_no"))).alias("crawl_delay"),
     )
     everyone = robots.select(host, *[x for x in ["status"] if x in robots.columns]).join(rules, host, "left")
-    deny = F.array(F.struct(F.lit(1).alias("len"), F.lit(False).alias("allow"), F.lit("(?s)^/").alias("regex")))
-    none = F.array().cast("array<struct<len:int,allow:boolean,regex:string>>")
+    deny = F.array(F.struct(F.lit(1).alias("len"), F.lit(False).alias("allow"), F.lit("/").alias("prefix"), F.lit(None).cast("string").alias("regex")))
+    none = F.array().cast("array<struct<len:int,allow:boolean,prefix:string,regex:string>>")
     if "status" in robots.columns:
         st = F.coalesce(F.col("status"), F.lit(0))
         kept = F.when(st == 200, F.coalesce("rules", none)).when(st.isin(404, 410), none).otherwise(deny)
@@ -184,7 +198,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host: st
     without a rules row was never readable and is denied."""
     path = F.coalesce(F.nullif(U.decoded_path(url), F.lit("")), F.lit("/"))
     j = urls.withColumn("__path", path).join(rules.select(host, "rules", "crawl_delay"), host, "left")
-    hits = F.filter("rules", lambda r: F.regexp_like(F.col("__path"), r["regex"]))
+    hits = F.filter("rules", lambda r: F.when(r["prefix"].isNotNull(), F.col("__path").startswith(r["prefix"])).otherwise(F.regexp_like(F.col("__path"), r["regex"])))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
     allowed = F.when(F.col("rules").isNull(), F.lit(False)).otherwise(F.coalesce(best["allow"], F.lit(True)))
     return j.withColumn("allowed", allowed).drop("__path", "rules")

@@ -10,7 +10,7 @@ from rolegrid.functions import text as T
 from rolegrid.functions import urls as U
 from rolegrid.functions.base import ColumnOrName, map_lookup
 from rolegrid.operators import merge
-from rolegrid.operators.discover import climb, fetch, homepage_attempts, ladder_candidates, next_hop
+from rolegrid.operators.discover import climb, fetch, homepage_attempts, ladder_candidates, next_hop, single_responses
 from rolegrid.operators.gate import attempt_state, board_check, category, gate, should_escalate
 from rolegrid.session import cut
 
@@ -34,6 +34,7 @@ def resolve_careers(companies: DataFrame, responses: DataFrame, homepages: DataF
     companies(company_id, slug, name, website), homepages(company_id, url, source) for companies
     whose website is not known yet.
     """
+    responses = cut(single_responses(responses))
     base = companies.select("company_id", "slug", "name", F.coalesce("website", F.lit("")).alias("website"))
     if homepages is not None:
         base = base.join(homepages.select("company_id", F.col("url").alias("__hu"), F.col("source").alias("__hs")), "company_id", "left")
@@ -88,6 +89,8 @@ def validate_stored(companies: DataFrame, responses: DataFrame, second_urls: Dat
     are an agent's answers for pages worth a second look; only an accepted second page changes the
     category, and the stored URL itself is never written.
     """
+    responses = cut(single_responses(responses))
+
     def judge(df: DataFrame, source: str) -> DataFrame:
         rows = df.withColumns({"kind": U.kind_for_url("url"), "source": F.lit(source), "base": F.lit(None).cast("string"), "strict": F.lit(True)})
         return gate(fetch(rows, responses))
@@ -127,6 +130,7 @@ def classify_vendors(companies: DataFrame, responses: DataFrame, platforms: Data
     Returns ``rows`` (vendor, hop, board URL, outcome), one-row ``summary`` and, when a state is given,
     the new ``company_platforms``.
     """
+    responses = cut(single_responses(responses))
     pages = fetch(companies.select("company_id", "slug", F.col("career_site_url").alias("url")), responses)
     ok = F.col("transport_error").isNull() & (F.coalesce("status", F.lit(0)) > 0)
     first = cut(pages.withColumns({"ok": ok, "page_url": F.coalesce(F.nullif("response_url", F.lit("")), "url"), "body": F.coalesce("body", F.lit(""))}).withColumn(

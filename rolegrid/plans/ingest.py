@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions.text import slugify
 from rolegrid.operators import merge, quality, runs
-from rolegrid.operators.discover import annotate_blocks, fetch, posting_links, robots_allowed
+from rolegrid.operators.discover import annotate_blocks, fetch, posting_links, robots_allowed, single_responses
 from rolegrid.operators.reads import cached_listings
 from rolegrid.operators.wikitext import constituents
 from rolegrid.functions import jsonld
@@ -36,7 +36,8 @@ def feed_ingest(captures: DataFrame, companies: DataFrame, jobs: DataFrame, plat
     batch = keyed.withColumns({"discovery_platform_id": F.lit(platform_id).cast("bigint"), "ordinal": F.col("idx")})
     merged = merge.upsert_jobs(jobs, batch, now)
     seen = feed.feed_seen(parsed).withColumn("discovery_platform_id", F.lit(platform_id).cast("bigint"))
-    closable = seen.join(accepted.limit(1).select(F.lit(True).alias("__any")), F.lit(True), "left_semi")
+    some = parsed.agg(F.coalesce(F.bool_or(F.col("reason").isNull()), F.lit(False)).alias("some"))
+    closable = seen.filter(some.scalar())
     new_jobs = cut(merge.mark_stale(merged, closable, ["discovery_platform_id"], now))
     counted = new_jobs.agg(F.count_if("newly_closed").alias("closed"), F.count_if(F.col("merge_action") == "inserted").alias("inserted"))
     read = parsed.agg(
@@ -97,6 +98,7 @@ def listings_job(
     companies(company_id, slug, name, vendor, discovery_platform_id, pattern, listings_url, ...),
     answers(company_id, listings_url, has_remote, evidence, blocked, block_reason, ok, error, steps).
     """
+    responses = cut(single_responses(responses))
     cached = cached_listings(companies, now, ttl_seconds)
     a = answers.select("company_id", *[F.col(x).alias(f"a_{x}") for x in ("listings_url", "has_remote", "blocked", "ok", "error")])
     j = cached.join(a, "company_id", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,23 +44,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where nothing is set (tests) a fresh
-    folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a single-machine session (tests, the bench)
+    gets a fresh folder where nothing is set; anywhere else a missing setting is an error, as a folder
+    of one machine is not seen by the others.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         configured = tempfile.mkdtemp(prefix="spark-ckpt-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once as Parquet into the shared folder and read back: lineage ends there, a lost
+    executor costs nothing, and later steps read only the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    kept = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)})
+    kept.write.parquet(path)
+    return df.sparkSession.read.schema(kept.schema).parquet(path)

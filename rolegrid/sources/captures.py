@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.functions import urls as U
@@ -26,13 +26,16 @@ def split_captures(captures: DataFrame, existing: DataFrame | None = None) -> Da
     dated = captures.withColumn("capture_date", capture_day("started_at"))
     ident = F.struct("started_at", F.xxhash64("body"))
     firsts = dated.groupBy("source", "capture_date").agg(F.min(ident).alias("__first"))
-    j = dated.join(firsts, ["source", "capture_date"])
-    fresh = ident == F.col("__first")
+    j = dated.join(firsts, ["source", "capture_date"]).withColumn("__lead", ident.eqNullSafe(F.col("__first"))).drop("__first")
+    # Equal captures tie for the first place; only they are numbered, and one of them is written.
+    tied = Window.partitionBy("source", "capture_date").orderBy(*sorted(set(captures.columns) - {"source", "started_at", "body"}), F.lit(0))
+    j = j.filter("__lead").withColumn("__n", F.row_number().over(tied)).unionByName(j.filter(~F.col("__lead")).withColumn("__n", F.lit(0)))
+    fresh = F.col("__n") == 1
     if existing is not None:
         have = existing.select("source", F.col("capture_date").cast("string").alias("capture_date"), F.lit(True).alias("__have")).distinct()
         j = j.join(have, ["source", "capture_date"], "left")
         fresh = fresh & F.col("__have").isNull()
-    return j.withColumn("raw_state", F.when(fresh, "written").otherwise("existing")).drop("__first", "__have")
+    return j.withColumn("raw_state", F.when(fresh, "written").otherwise("existing")).drop("__n", "__lead", "__have")
 
 
 def write_captures(captures: DataFrame, path: str, existing: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ HEADLINE = [
     "d15_posting_backfill", "d26_attempt_sink", "j6_scrape_targets", "j15_vendor_reference_scan", "u2_provenance_union",
     "p1_j1_job_projection", "s8_log_line_parse", "f5_normalise_url", "f20_p25_block_classifier",
     "f23_w13_best_anchor_scores", "f32_location_classify", "f34_feed_normalise",
+    "d20_vendor_classification_job", "d21_feed_ingest_job", "d22_index_ingest_job", "d23_careers_resolution_job",
+    "d24_f25_stored_url_validation_job", "d25_listings_job",
 ]
 
 

@@ -74,7 +74,7 @@ o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS pos, count(*) OVER () AS n
 SELECT max(n) AS n, CAST(min(x) AS BIGINT) AS min, CAST(min(x) FILTER (pos = least(n - 1, floor(n * 0.25::DOUBLE))) AS BIGINT) AS p25, median(x) AS median,
        CAST(min(x) FILTER (pos = least(n - 1, floor(n * 0.75::DOUBLE))) AS BIGINT) AS p75, CAST(min(x) FILTER (pos = least(n - 1, floor(n * 0.90::DOUBLE))) AS BIGINT) AS p90, CAST(max(x) AS BIGINT) AS max FROM o""")
 def _a7(t: Tables):
-    return ranking.percentiles(runs.steps_per_run(t.trace_events), "steps", width=10.0, digits=None)
+    return ranking.percentiles(runs.steps_per_run(t.trace_events), "steps", digits=None)
 
 
 @query("a7_action_counts", "SELECT action, count(*) AS n FROM trace_events WHERE event = 'step' GROUP BY 1")

@@ -6,10 +6,13 @@ holding a third of all rows sends at most k rows per map task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolegrid.operators.scans import bucket, previous, running_sum
+from rolegrid.operators.scans import bucket, join_on, previous
+from rolegrid.session import cut
 
 Order = list[str | Column]
 
@@ -134,43 +137,34 @@ def accepted_status(attempts: DataFrame, keys: list[str], answer: str) -> DataFr
     )
 
 
-PERCENTILE_BUCKETS = 128
-
-
-def percentiles(df: DataFrame, value: str, keys: list[str] | None = None, width: float | None = None, digits: int | None = 1) -> DataFrame:
-    """n, min, p25, median, p75, p90, max per key; pX is the element at index int(n*f).
+def percentiles(df: DataFrame, value: str, keys: list[str] | None = None, digits: int | None = 1) -> DataFrame:
+    """n, min, p25, median, p75, p90, max per key; pX is the element at index int(n*f). Exact.
 
-    Values are first counted per distinct value (combined on the map side), then cumulated in value
-    buckets, so neither a hot key nor a hot value gathers in one task. The buckets follow the
-    distribution (approximate quantiles of the distinct values, so they hold alike many whatever the
-    shape) unless a fixed width is given; they only split the work, the result is exact.
+    The input is read once: values are counted per distinct value (combined on the map side) and written
+    in value order, cut into range partitions whose number follows their size. Slice totals then tell
+    which few slices hold the wanted ranks, and only those are scanned in order.
     """
     keys = keys or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__c"))
-    if width is None:
-        steps = [i / PERCENTILE_BUCKETS for i in range(1, PERCENTILE_BUCKETS)]
-        bounded = counts.withColumn("__bounds", counts.agg(F.percentile_approx("__x", steps, 1000)).scalar())
-        split = bounded.withColumn("__split", F.size(F.filter("__bounds", lambda b: b <= F.col("__x")))).drop("__bounds")
-    else:
-        split = counts.withColumn("__split", bucket("__x", width))
-    cum = running_sum(split, keys, ["__x"], F.col("__split"), {"__cum": F.col("__c")})
-    size = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    rows = cum.join(size, keys) if keys else cum.withColumn("__n", size.scalar())
-
-    def at(index: Column) -> Column:
-        return F.min(F.when(F.col("__cum") > index, F.col("__x")))
-
-    def fraction(f: float) -> Column:
-        return at(F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(float(f)))))
-
-    middle = (at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2
-    shown = {
-        "min": F.min("__x"), "p25": fraction(0.25), "median": middle,
-        "p75": fraction(0.75), "p90": fraction(0.90), "max": F.max("__x"),
+    rows = cut(counts.repartitionByRange(*keys, "__x").withColumn("__split", F.spark_partition_id()))
+    totals = rows.groupBy(*keys, "__split").agg(F.sum("__c").alias("__t"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumns({"__base": F.coalesce(F.sum("__t").over(before), F.lit(0)), "__n": F.sum("__t").over(whole)})
+    n = F.col("__n")
+    index = {
+        "min": F.lit(0), "p25": F.least(n - 1, F.floor(n * F.lit(0.25))), "low": F.floor((n - 1) / 2), "high": F.floor(n / 2),
+        "p75": F.least(n - 1, F.floor(n * F.lit(0.75))), "p90": F.least(n - 1, F.floor(n * F.lit(0.90))), "max": n - 1,
     }
+    holds = reduce(lambda x, y: x | y, [(F.col("__base") <= i) & (i < F.col("__base") + F.col("__t")) for i in index.values()])
+    needed = placed.filter(holds).select(*keys, "__split", "__base", "__n")
+    inside = Window.partitionBy(*keys, "__split").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = join_on(rows, needed, [*keys, "__split"]).filter(n.isNotNull()).withColumn("__cum", F.col("__base") + F.sum("__c").over(inside))
+    at = {k: F.min(F.when(F.col("__cum") > i, F.col("__x"))) for k, i in index.items()}
+    shown = {"min": at["min"], "p25": at["p25"], "median": (at["low"] + at["high"]) / 2, "p75": at["p75"], "p90": at["p90"], "max": at["max"]}
     if digits is not None:
         shown = {k: F.bround(v, digits) for k, v in shown.items()}
-    return rows.groupBy(*keys).agg(F.max("__n").alias("n"), *[v.alias(k) for k, v in shown.items()])
+    return scanned.groupBy(*keys).agg(F.max("__n").alias("n"), *[v.alias(k) for k, v in shown.items()])
 
 
 def page(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:

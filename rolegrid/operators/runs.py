@@ -99,7 +99,7 @@ def run_order(sort: str) -> list[Column]:
     }[sort]
 
 
-def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float | None = None, digits: int | None = 1) -> DataFrame:
+def run_stats(runs: DataFrame, traced: DataFrame | None = None, digits: int | None = 1) -> DataFrame:
     """One row: runs, wall hours, runs without duration, traced runs, and duration percentiles."""
     timed = with_duration(runs)
     head = timed.agg(
@@ -107,7 +107,7 @@ def run_stats(runs: DataFrame, traced: DataFrame | None = None, width: float | N
         F.round(F.coalesce(F.sum(F.round(F.col("duration_s") * 1e6).cast("bigint")), F.lit(0)) / F.lit(3.6e9), 1).alias("total_wall_hours"),
         F.count_if(F.col("duration_s").isNull()).alias("runs_without_duration"),
     )
-    pct = percentiles(timed, "duration_s", width=width, digits=digits).withColumnRenamed("n", "timed_runs")
+    pct = percentiles(timed, "duration_s", digits=digits).withColumnRenamed("n", "timed_runs")
     out = attach_row(head, pct)
     if traced is not None:
         seen = runs.join(traced.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").agg(F.count("*").alias("traced"))

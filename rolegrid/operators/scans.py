@@ -28,7 +28,7 @@ def time_bucket(ts: str | Column, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts)
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on null-safe keys, keeping the left key columns."""
     renamed = right
     for k in keys:
@@ -49,7 +49,7 @@ def running_sum(
     totals = base.groupBy(*keys, _B).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, _B, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    joined = _join_on(local, offsets, [*keys, _B])
+    joined = join_on(local, offsets, [*keys, _B])
     out = joined.withColumns({n: (F.col(f"__l_{n}") + F.col(f"__o_{n}")).cast("bigint") for n in sums})
     return out.drop(_B, *[f"__{p}_{n}" for n in sums for p in "vlo"])
 
@@ -62,7 +62,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], by: Column, value
     local = base.withColumn("__p", F.lag(row).over(inside))
     lasts = base.groupBy(*keys, _B).agg(F.max_by(row, F.struct(*order)).alias("__last"))
     carried = lasts.select(*keys, _B, F.lag("__last").over(Window.partitionBy(*keys).orderBy(_B)).alias("__carry"))
-    joined = _join_on(local, carried, [*keys, _B])
+    joined = join_on(local, carried, [*keys, _B])
     prev = F.coalesce(F.col("__p"), F.col("__carry"))
     return joined.withColumns({f"{prefix}{v}": prev[v] for v in values}).drop(_B, "__p", "__carry")
 

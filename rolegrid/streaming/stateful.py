@@ -1,7 +1,7 @@
 """Keyed state over event streams: the run ledger and the per-sweep failure breaker.
 
-Both keep a few scalars per key. Rows of one key arrive at its task in bounded micro-batch chunks
-(an Arrow batch at a time) and are folded one chunk at a time, never gathered.
+Both keep a few scalars per key. The rows of one key in one micro-batch are put in order before they are
+folded, whatever chunks they arrive in; the trigger's batch size bounds them. Folding is on whole columns.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,17 +49,17 @@ def run_ledger(events: DataFrame, stale_after: str = "6 hours", lateness: str =
                 state.update((status, started, finished, found, error))
                 yield _ledger_row(key, status, started, finished, found, error)
             return
+        events = pd.concat(chunks).sort_values(["at", "kind"], ascending=[True, False])
+        starts, ends, cancels = (events[events["kind"] == k] for k in ("start", "finish", "cancel"))
         changed = False
-        for chunk in chunks:
-            for e in chunk.sort_values(["at", "kind"], ascending=[True, False]).itertuples(index=False):
-                at = _micros(e.at)
-                if e.kind == "start" and started < 0:
-                    started, changed = at, True
-                elif e.kind == "finish":
-                    status, finished, found = e.status, at, int(e.items_found or 0)
-                    error, changed = e.error_text, True
-                elif e.kind == "cancel" and status == "running":
-                    status, finished, error, changed = "error", at, CANCEL_TEXT, True
+        if len(starts) and started < 0:
+            started, changed = _micros(starts["at"].iloc[0]), True
+        if len(ends):  # the last finish rules over everything before it, cancels included
+            e = ends.iloc[-1]
+            found = 0 if pd.isna(e["items_found"]) else int(e["items_found"])
+            status, finished, error, changed = e["status"], _micros(e["at"]), e["error_text"], True
+        elif len(cancels) and status == "running":
+            status, finished, error, changed = "error", _micros(cancels["at"].iloc[0]), CANCEL_TEXT, True
         state.update((status, started, finished, found, error))
         if status == "running" and started >= 0:
             deadline = started // 1000 + stale_ms
@@ -82,22 +83,31 @@ def _ledger_row(key, status, started, finished, found, error) -> pd.DataFrame:
 def failure_breaker(outcomes: DataFrame, stop_after: int) -> DataFrame:
     """One row per sweep when it has to stop: ``stop_after`` failures in a row, or the host is down.
 
-    outcomes(sweep_id, seq, ok, host_down) in order of seq per sweep.
+    outcomes(sweep_id, seq, ok, host_down). Inside a batch rows may come in any order. A row of a later
+    batch whose seq lies before one already folded cannot mend the streak any more; a dead host it reports
+    still stops the sweep.
     """
 
     def fold(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, stop_at, last = state.get if state.exists else (0, -1, -1)
         reason = None
-        for chunk in chunks:
-            for o in chunk.sort_values("seq").itertuples(index=False):
-                if stop_at >= 0 or o.seq <= last:
-                    continue
-                last = int(o.seq)
-                streak = 0 if o.ok else streak + 1
-                if not o.ok and o.host_down:
-                    stop_at, reason = last, "host_down"
-                elif stop_after > 0 and streak >= stop_after:
-                    stop_at, reason = last, "failures"
+        rows = pd.concat(chunks).sort_values("seq")
+        if stop_at < 0 and len(rows):
+            late = rows[rows["seq"] <= last]
+            down = late[~late["ok"].astype(bool) & late["host_down"].fillna(False).astype(bool)]
+            if len(down):
+                stop_at, reason = int(down["seq"].iloc[0]), "host_down"
+            rows = rows[rows["seq"] > last].drop_duplicates("seq")
+            if stop_at < 0 and len(rows):
+                ok, place = rows["ok"].to_numpy(bool), np.arange(len(rows))
+                since = np.maximum.accumulate(np.where(ok, place, -1))
+                run = np.where(since >= 0, place - since, place + 1 + streak)
+                dead = ~ok & rows["host_down"].fillna(False).to_numpy(bool)
+                hit = np.flatnonzero(dead | (~ok & (stop_after > 0) & (run >= stop_after)))
+                at = hit[0] if len(hit) else len(rows) - 1
+                streak, last = int(run[at]), int(rows["seq"].iloc[at])
+                if len(hit):
+                    stop_at, reason = last, "host_down" if dead[at] else "failures"
         state.update((streak, stop_at, last))
         if reason:
             yield pd.DataFrame({"sweep_id": [key[0]], "stop_at": [stop_at], "reason": [reason]})

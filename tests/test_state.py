@@ -242,7 +242,7 @@ def test_percentiles_are_nearest_index(spark):
 
     values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0]
     s = sorted(values)
-    r = ranking.percentiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", width=2.0).collect()[0]
+    r = ranking.percentiles(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect()[0]
     assert (r["n"], r["min"], r["p25"], r["median"], r["p75"], r["p90"], r["max"]) == (10, 1.0, s[2], statistics.median(values), s[7], s[9], 9.0)
 
 

@@ -41,6 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# Folders made for single-machine sessions without the setting, by application.
+_own_folders: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and intermediate tables.
 
@@ -55,8 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
-        configured = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="spark-ckpt-")
+        configured = _own_folders[app]
     return configured.rstrip("/")
 
 

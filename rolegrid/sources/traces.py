@@ -28,9 +28,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(run_of_path("path").alias("run_id")).filter(F.col("run_id").isNotNull())
 
 
-def file_order() -> Column:
+def file_order(spark: SparkSession) -> Column:
     """Order of a line within its file, also when the file is read in splits: the split's offset in
-    MiB (a split is never smaller), then the row within the task."""
+    MiB, then the row within the task. Splits below 1 MiB would share a number, so settings that allow
+    them are refused."""
+    conf = spark._jsparkSession.sessionState().conf()
+    if min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()) < 1 << 20:
+        raise ValueError("line order needs spark.sql.files.maxPartitionBytes and openCostInBytes of 1 MiB or more")
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33) + within
 
@@ -44,14 +48,14 @@ def parse_trace_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, seq, event, ...) of every trace file."""
-    text = spark.read.text(path).select(run_of_path("_metadata.file_path").alias("run_id"), file_order().alias("seq"), "value")
+    text = spark.read.text(path).select(run_of_path("_metadata.file_path").alias("run_id"), file_order(spark).alias("seq"), "value")
     return parse_trace_lines(text)
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, line_no, line) of run log files; line_no orders the lines of a file."""
     return spark.read.text(path).select(
-        run_of_path("_metadata.file_path").alias("run_id"), file_order().alias("line_no"), F.col("value").alias("line")
+        run_of_path("_metadata.file_path").alias("run_id"), file_order(spark).alias("line_no"), F.col("value").alias("line")
     )
 
 

@@ -103,6 +103,17 @@ def trace_dir(tmp_path):
     return str(tmp_path)
 
 
+def test_line_order_refuses_small_splits(spark, trace_dir):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100k")
+    try:
+        with pytest.raises(ValueError, match="1 MiB"):
+            traces.read_traces(spark, trace_dir)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_traces(spark, trace_dir):
     events, files = traces.read_traces(spark, trace_dir), traces.list_files(spark, trace_dir)
     r = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")

@@ -7,9 +7,7 @@ from rolegrid.llm.registry import ship
 
 
 @pytest.fixture(scope="session", autouse=True)
-def shared(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+def shared(spark):
     ship(spark)
 
 

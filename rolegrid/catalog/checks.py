@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 from rolegrid.catalog.registry import Tables, query
 from rolegrid.operators import consolidate, quality, reads
 
-# Two stores to consolidate: customers as one, suppliers as the other, sharing part of their slugs.
-_OTHER = """other AS (SELECT CAST(s_suppkey AS BIGINT) AS company_id, 'customer-' || substring(s_name, 10) AS slug, s_name AS name,
+# Two whole stores to consolidate: customers as one, suppliers as the other, sharing part of their slugs.
+_SLUG = "CASE WHEN s_acctbal < 1500 THEN 'supplier-' ELSE 'customer-' END || substring(s_name, 10)"
+_OTHER = f"""other AS (SELECT CAST(s_suppkey AS BIGINT) AS company_id, {_SLUG} AS slug, s_name AS name,
   CASE WHEN s_acctbal > 3000 THEN 'https://o.example.com/' || CAST(s_suppkey AS STRING) END AS career_site_url,
   CASE WHEN s_acctbal > 6000 THEN 'https://w.example.com/' END AS website,
   CASE WHEN s_nationkey < 12 THEN CAST(s_nationkey AS BIGINT) END AS verdict_run_id FROM supplier),
-mine AS (SELECT company_id, slug, name, career_site_url, website, verdict_run_id FROM companies WHERE company_id >= 40)"""
+mine AS (SELECT company_id, slug, name, career_site_url, website, verdict_run_id FROM companies)"""
 _COLS = ["company_id", "slug", "name", "career_site_url", "website", "verdict_run_id"]
 
 
 def other_store(t: Tables):
     return t.supplier.selectExpr(
-        "CAST(s_suppkey AS BIGINT) AS company_id", "'customer-' || substring(s_name, 10) AS slug", "s_name AS name",
+        "CAST(s_suppkey AS BIGINT) AS company_id", f"{_SLUG} AS slug", "s_name AS name",
         "CASE WHEN s_acctbal > 3000 THEN 'https://o.example.com/' || CAST(s_suppkey AS STRING) END AS career_site_url",
         "CASE WHEN s_acctbal > 6000 THEN 'https://w.example.com/' END AS website",
         "CASE WHEN s_nationkey < 12 THEN CAST(s_nationkey AS BIGINT) END AS verdict_run_id")
 
 
 def my_store(t: Tables):
-    return t.companies.filter("company_id >= 40").select(*_COLS)
+    return t.companies.select(*_COLS)
 
 
 @query("j9_insert_only_new", f"WITH {_OTHER} SELECT slug, name FROM other o WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.slug = o.slug)")
@@ -191,8 +192,8 @@ def _a34(t: Tables):
 
 @query("a35_exit_class", """
 SELECT company_id, CAST(CASE WHEN count(*) FILTER (validation_status = 'error') > 0 THEN 1 WHEN count(*) FILTER (validation_status = 'accepted') > 0 THEN 0 ELSE 4 END AS BIGINT) AS exit_code
-  FROM attempts WHERE source <> 'nav_anchor' GROUP BY company_id""")
+  FROM attempts GROUP BY company_id""")
 def _a35(t: Tables):
-    sums = t.attempts.filter("source <> 'nav_anchor'").groupBy("company_id").agg(
+    sums = t.attempts.groupBy("company_id").agg(
         F.count_if(F.col("validation_status") == "error").alias("failed"), F.count_if(F.col("validation_status") == "accepted").alias("good"))
     return sums.select("company_id", quality.exit_class("failed", "good").alias("exit_code"))

@@ -195,22 +195,27 @@ def _p14(t: Tables):
     return merge.fetchable(t.companies, "listings_url_remote_confirmed").select("company_id")
 
 
-_VENDOR = "SELECT company_id, platform_id, base_url || '/new' AS base_url FROM company_platforms WHERE company_id >= 300"
+_VENDOR = "SELECT company_id, platform_id, base_url || '/new' AS base_url FROM (SELECT CASE WHEN platform_id % 2 = 0 THEN company_id + 1000000 ELSE company_id END AS company_id, platform_id, base_url FROM company_platforms)"
+
+
+def _vendor_batch(t: Tables):
+    """The whole table again: known pairs with a new address, and, for even platforms, pairs of other companies."""
+    moved = F.when(F.col("platform_id") % 2 == 0, F.col("company_id") + 1000000).otherwise(F.col("company_id"))
+    return t.company_platforms.withColumns({"company_id": moved, "base_url": F.concat("base_url", F.lit("/new"))})
 
 
 @query("d9_vendor_upsert", f"""
-WITH s AS (SELECT * FROM company_platforms WHERE company_id < 900),
+WITH s AS (SELECT * FROM company_platforms),
 b AS (SELECT v.* FROM ({_VENDOR}) v JOIN platforms p USING (platform_id) WHERE platform_type = 'application_system')
 SELECT coalesce(s.company_id, b.company_id) AS company_id, coalesce(s.platform_id, b.platform_id) AS platform_id, coalesce(b.base_url, s.base_url) AS base_url
   FROM s FULL OUTER JOIN b ON s.company_id = b.company_id AND s.platform_id = b.platform_id""")
 def _d9(t: Tables):
-    batch = t.company_platforms.filter("company_id >= 300").withColumn("base_url", F.concat("base_url", F.lit("/new")))
-    return merge.vendor_upsert(t.company_platforms.filter("company_id < 900"), batch, t.platforms)[0].drop("merge_action")
+    return merge.vendor_upsert(t.company_platforms, _vendor_batch(t), t.platforms)[0].drop("merge_action")
 
 
 @query("d9_vendor_rejects", f"SELECT company_id, platform_id, platform_type FROM ({_VENDOR}) JOIN platforms USING (platform_id) WHERE platform_type <> 'application_system'")
 def _d9r(t: Tables):
-    return merge.vendor_upsert(t.company_platforms, t.company_platforms.filter("company_id >= 300"), t.platforms)[1]
+    return merge.vendor_upsert(t.company_platforms, _vendor_batch(t), t.platforms)[1]
 
 
 _RES = """res AS (SELECT o_custkey AS company_id, arg_max(o_orderpriority, o_orderkey) AS pr FROM orders GROUP BY 1)"""

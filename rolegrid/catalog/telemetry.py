@@ -466,13 +466,13 @@ def _f34(t: Tables):
     return out.select("event_id", "external_id", "reason", "salary_min_cents", "location_text", F.array_join("tags", ",").alias("tags"), F.unix_micros("posted_at").alias("posted_at"))
 
 
-@query("a29_feed_profile", f"""WITH {_EL}, ok AS (SELECT element FROM el WHERE k >= 15),
+@query("a29_feed_profile", f"""WITH {_EL}, ok AS (SELECT element FROM el WHERE json_type(element) = 'OBJECT'),
 kv AS (SELECT unnest(json_keys(element)) AS key, element FROM ok), v AS (SELECT key, json_type(element, '$.' || key) AS jt, json_extract_string(element, '$.' || key) AS value FROM kv)
 SELECT key, CASE WHEN jt IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN jt = 'VARCHAR' THEN 'STRING' WHEN jt = 'NULL' THEN 'VOID' WHEN jt = 'DOUBLE' THEN 'DECIMAL' ELSE jt END AS type,
        count(*) AS present, count(*) FILTER (coalesce(value, '') IN ('', '0', '[]')) AS empty, CAST(min(length(value)) AS BIGINT) AS min_len, CAST(max(length(value)) AS BIGINT) AS max_len FROM v GROUP BY 1, 2""")
 def _a29(t: Tables):
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    el = t.events.withColumn("k", k).filter("k >= 15").select(F.expr(_ELEMENT).alias("element"))
+    el = t.events.withColumn("k", k).select(F.expr(_ELEMENT).alias("element"))
     return feed.feed_profile(el)
 
 

@@ -177,6 +177,19 @@ def test_rekey_titles(spark):
     assert got == {"AT&T": "aT&T", "Meta": "FB", "Solo": "Solo", "Gone": "Gone"}
 
 
+def test_repeated_captures_do_not_multiply_requests(spark):
+    schema = "url string, final_url string, status int, content_type string, body string, truncated boolean, transport_error string, timed_out boolean, captured_at string"
+    rows = [("u", "", 500, "t", "late failure", False, None, False, "2"), ("u", "", 200, "t", "early", False, None, False, "1"), ("v", "", 200, "t", "one", False, None, False, "1")]
+    responses = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, "u"), (2, "v"), (3, "w")], "k int, url string")
+
+    def got(table):
+        return sorted((r["k"], r["body"]) for r in discover.fetch(asked, discover.single_responses(table)).collect())
+
+    assert got(responses) == [(1, "late failure"), (2, "one"), (3, None)]
+    assert got(responses.drop("captured_at")) == [(1, "early"), (2, "one"), (3, None)]
+
+
 def test_rekey_long_chains_and_cycles(spark):
     names = spark.createDataFrame([("n200",), ("n0",), ("c1",), ("lone",)], "title string")
     chain = [(f"n{k}", f"n{k + 1}", k) for k in range(200)] + [("c1", "c2", 1), ("c2", "c1", 2)]

@@ -130,3 +130,10 @@ def test_failure_breaker(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = drain(stateful.failure_breaker(stream, 2), "fb", "update", tmp_path)
     assert sorted((r["sweep_id"], r["stop_at"], r["reason"]) for r in got.collect()) == [(1, 3, "failures"), (2, 1, "host_down")]
+
+
+def test_a_gap_splits_a_run_into_sessions(spark):
+    rows = [("r", "2026-01-01 00:00:00", "agent step"), ("r", "2026-01-01 00:19:59", "summary"), ("r", "2026-01-01 05:00:00", "agent step")]
+    lines = spark.createDataFrame(rows, "run_id string, ts string, msg string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r["session_start"].hour, r["lines"], r["finished"]) for r in slogs.run_sessions(lines).collect())
+    assert got == [(0, 2, True), (5, 1, False)]

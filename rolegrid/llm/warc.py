@@ -1,7 +1,9 @@
 """A content-addressed WARC archive.
 
-``write_archive`` keeps two tables in the shared folder:
+``write_archive`` keeps three tables in the shared folder:
 
+* ``dictionary``: one row with a zstandard dictionary shared by all payloads, and its SHA-256. It is fitted on at most
+  2 x SAMPLE pages of at most SAMPLE_BYTES bytes chosen by the hash of their ids (a documented bound on fitting);
 * ``payloads``: each distinct payload once, under its SHA-256, with its length and its bytes in a zstandard frame;
 * ``headers``: one row per record with the exact bytes of its WARC header and HTTP header, the payload's SHA-256,
   and the part of the payload's references it belongs to.
@@ -33,6 +35,9 @@ from rolegrid.llm.shared import as_bytes, narrow, new_path, stash
 MIN_BYTES = 0
 REFERENCES = 500
 LEVEL = 3
+DICTIONARY_BYTES = 32_768
+SAMPLE = 300
+SAMPLE_BYTES = 16_384
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -100,17 +105,41 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES, path: str | None
         F.pmod(F.xxhash64("page_id"), _parts(F.col("n_refs"))).cast("int").alias("part"))
     _headers(rows).write.parquet(f"{path}/headers")
     # A payload's copies meet in one row per task before they are sent anywhere.
-    once = _packed(pages).groupBy("sha256").agg(F.any_value("n_bytes").alias("n_bytes"), F.any_value("packed").alias("packed"))
+    shared = _train(pages)
+    spark.createDataFrame([(hashlib.sha256(shared).hexdigest(), shared)], "hash string, dictionary binary").write.parquet(f"{path}/dictionary")
+    once = _packed(pages, shared).groupBy("sha256").agg(F.any_value("n_bytes").alias("n_bytes"), F.any_value("packed").alias("packed"))
     counted = once.join(owners.select("sha256", _parts(F.col("n_refs")).alias("parts")), "sha256")
     counted.select("sha256", "parts", "n_bytes", "packed").write.option("compression", "none").parquet(f"{path}/payloads")
     return path
 
 
-def _packed(pages: DataFrame) -> DataFrame:
+def _train(pages: DataFrame) -> bytes:
+    held = narrow(pages, "page_id", "html")
+    every = max(1, held.count() // SAMPLE)
+    some = held.where((F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & F.octet_length("html").between(64, SAMPLE_BYTES))
+    samples = [r.html.encode() for r in some.select("html").limit(2 * SAMPLE).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 20 else b""
+    except zstandard.ZstdError:  # samples too alike or too short to train on
+        return b""
+
+
+def _read_dictionary(spark: SparkSession, path: str) -> bytes:
+    row = spark.read.parquet(f"{path}/dictionary").first()
+    if hashlib.sha256(row.dictionary).hexdigest() != row.hash:
+        raise ValueError(f"the dictionary of {path} does not have its hash")
+    return bytes(row.dictionary)
+
+
+def _data(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def _packed(pages: DataFrame, dictionary: bytes) -> DataFrame:
     """(sha256, n_bytes, packed): payloads as zstandard frames."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_data(dictionary))
         for part in parts:
             bodies = as_bytes(part.column(0))
             yield pa.RecordBatch.from_arrays([
@@ -136,9 +165,10 @@ def parse_header(block: bytes) -> tuple[str, dict[str, str]]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record, parsed from its header
     and checked against its payload."""
+    dictionary = _read_dictionary(spark, path)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=_data(dictionary))
         for part in parts:
             out = []
             for r in part.to_pylist():
@@ -161,9 +191,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def record_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record): the exact WARC record, headers and block, with the empty lines that end it."""
+    dictionary = _read_dictionary(spark, path)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=_data(dictionary))
         for part in parts:
             records = []
             for r in part.to_pylist():

@@ -31,8 +31,8 @@ from rolegrid.llm.perfect_hash import PerfectHash
 from rolegrid.llm.shared import SPACE, as_bytes, narrow, shuffle_partitions, stash
 
 MIN_CHARS = 10
-#: Rows that one task probes against one shard's arrays.
-PROBE_ROWS = 200_000
+#: A shard asked for by more than twice the mean rows, and more than these, is split over several tasks.
+PROBE_ROWS = 1_000
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -107,8 +107,9 @@ def _slot_key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def probe(keys: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, h1, h2) of the keys that lose their lines in doc_id."""
+    mean = index.agg(F.coalesce(F.avg("n_rows"), F.lit(0.0))).first()[0]
     # As many rows as there are shards, a parameter: small enough to send to every task.
-    split = index.select("shard", F.ceil(F.col("n_rows") / PROBE_ROWS).cast("int").alias("parts"))
+    split = index.select("shard", F.ceil(F.col("n_rows") / F.lit(max(2 * mean, PROBE_ROWS))).cast("int").alias("parts"))
     asked = keys.join(F.broadcast(split), "shard").withColumn(
         "part", F.pmod(F.xxhash64("doc_id", "h1"), F.col("parts")).cast("int"))
     arrays = index.drop("n_rows").join(F.broadcast(split), "shard").withColumn(

@@ -30,7 +30,7 @@ def test_matches_sql_on_repeats_ties_and_odd_texts(spark, docs_of, sql, prose):
 def test_hot_line_is_split_over_tasks(spark, docs_of, sql, monkeypatch):
     monkeypatch.setattr("rolegrid.llm.line_dedup.PROBE_ROWS", 10)
     docs = docs_of([f"the same line everywhere\nown line number {k}" for k in range(200)])
-    same(dedup_lines(docs, shards=2), sql, docs)
+    same(dedup_lines(docs, shards=16), sql, docs)
 
 
 def test_empty_table_null_and_repeated_ids(spark, docs_of):

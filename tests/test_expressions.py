@@ -149,8 +149,9 @@ BLOCKS = [
 
 
 def test_block_classifier(spark):
-    got = many(spark, [b[:3] for b in BLOCKS], text.block_verdict("s", "t", "b"), "s int, t string, b string")
+    got = many(spark, [b[:3] for b in BLOCKS], text.block_verdict("s", "t", "b", 60_000), "s int, t string, b string")
     assert [g["reason"] for g in got] == [b[3] for b in BLOCKS]
+    assert many(spark, [BLOCKS[-1][:3]], text.block_verdict("s", "t", "b"), "s int, t string, b string")[0]["reason"] == "captcha"
     assert [g["blocked"] for g in got] == [bool(b[3]) for b in BLOCKS]
     assert got[0]["evidence"] == "HTTP 403" and got[5]["evidence"] == "please verify you are human"
     answers = [(True, "captcha", "x"), (False, "junk", "hit a CAPTCHA"), (None, "junk", "three open roles")]

@@ -140,7 +140,7 @@ def test_sitemap_limits(spark):
     responses = spark.createDataFrame(rows, "url string, status int, body string")
     origins = spark.createDataFrame([(1, "https://a.com")], "company_id bigint, origin string")
     none = spark.createDataFrame([], "company_id bigint, ref_no bigint, ref string")
-    got = sorted(r["url"] for r in discover.sitemap_candidates(origins, none, responses).collect())
+    got = sorted(r["url"] for r in discover.sitemap_candidates(origins, none, responses, max_sitemaps=5).collect())
     assert got == [f"https://a.com/jobs/{i}" for i in range(5)]
 
 

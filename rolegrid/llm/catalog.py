@@ -72,7 +72,15 @@ def _chat_format(read):
     return digests(read_chats(format_chats(chats.unionByName(probe))))
 
 
-@register("op8_warc")
+@register("op8_warc", r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner, sha1(coalesce(html, '')) AS s FROM pages),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(s, g * 5 + 1, 5) AS BIGINT)) AS parts FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda n: array_to_string(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n >> b) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < owner THEN owner END AS refers_to
+FROM v""")
 def _warc(read):
     pages = read("pages")
     return read_archive(pages.sparkSession, write_archive(pages)).drop("url")
@@ -152,6 +160,22 @@ def _piece_scan(read):
     return piece_scan.digests(piece_scan.decode(piece_scan.encode(read("documents"), model), model))
 
 
-@register("op1_repeat_spans")
+@register("op1_repeat_spans", r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (
+  SELECT doc_id, k, md5(substr(x, 2 * k + 1, 400)) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS k FROM d WHERE length(x) >= 400)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+i AS (
+  SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS s
+  FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM r)),
+b AS (SELECT doc_id, s, min(k) AS a, max(k) + 200 AS e FROM i GROUP BY doc_id, s),
+p AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM b),
+c AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS f,
+    string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS y FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(f, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)""")
 def _repeat_spans(read):
     return remove_repeats(read("documents")).drop("kept")

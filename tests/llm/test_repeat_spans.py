@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rolegrid.llm.catalog import QUERIES
+from rolegrid.llm.catalog import ORACLES, QUERIES
 from rolegrid.llm.repeat_spans import remove_repeats
 from rolegrid.llm.run_index import RunIndex, suffix_order
 
@@ -85,3 +85,10 @@ def test_null_and_repeated_ids_and_empty(docs_of, prose):
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     assert got(QUERIES["op1_repeat_spans"](spark, "/root/testdata/sf0.001")) == brute([(r.doc_id, r.text) for r in docs])
+
+
+def test_the_sql_gives_the_same_rows(docs_of, prose, rng, sql):
+    texts = corpus(prose, rng)
+    cols, want = sql(ORACLES["op1_repeat_spans"], documents=docs_of(texts).select("doc_id", "text"))
+    assert cols == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(want, key=repr) == brute(list(enumerate(texts)))

@@ -5,7 +5,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from rolegrid.llm.catalog import QUERIES
+from rolegrid.llm.catalog import ORACLES, QUERIES
 from rolegrid.llm.warc import parse_header, read_archive, record_bytes, write_archive
 
 
@@ -71,3 +71,10 @@ def test_empty_table_and_query(spark, pages):
     assert read_archive(spark, write_archive(pages([]))).count() == 0
     rows = [(r.page_id, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     assert got(QUERIES["op8_warc"](spark, "/root/testdata/sf0.001")) == brute(rows)
+
+
+def test_the_sql_gives_the_same_rows(pages, sql):
+    rows = [r for r in ROWS if r[0] is not None]
+    cols, want = sql(ORACLES["op8_warc"], pages=pages(rows).select("page_id", "url", "html"))
+    assert cols == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(want, key=repr) == brute(rows)

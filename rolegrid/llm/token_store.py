@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,8 @@ class PieceEncoder:
 
     The vocabulary splits letters from everything else and ends each word with a mark of its own, so pieces of
     letters only are encoded many in one call and cut apart after the ids that end a word; a piece of letters and one
-    comma or full stop is put together from both. Any other piece is encoded by itself. Known pieces live in two
+    comma or full stop is put together from both. Words of a-z, which no normaliser changes, go to the library's model
+    directly. Any other piece is encoded by itself. Known pieces live in two
     generations; a full young one becomes the old one."""
 
     def __init__(self, path: str):
@@ -67,6 +69,9 @@ class PieceEncoder:
         self.tails = {mark: self._ids(mark).tobytes() for mark in ",."}
         if self._ids("ab,").tobytes() != self._ids("ab").tobytes() + self.tails[","]:
             self.tails = {}
+        self.model = self.tokenizer.model
+        probes = ["a", "the", "probes", "internationalisation", "zyxwvut"]
+        self.direct = all([t.id for t in self.model.tokenize(w)] == self._ids(w).tolist() for w in probes)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -92,6 +97,11 @@ class PieceEncoder:
                     words.add(core)
             else:
                 self.young[p] = self._ids(p).tobytes()
+        if self.direct:
+            tokenize, plain = self.model.tokenize, {w for w in words if w.isascii()}
+            for w in plain:
+                self.young[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            words -= plain
         if words:
             ordered = list(words)
             ids = self._ids(" ".join(ordered))

@@ -135,9 +135,6 @@ def probe(keys: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-KEPT = "doc_id bigint, text string, n_lines bigint, n_dropped bigint, kept_sha256 string"
-
-
 def apply_drops(docs: DataFrame, drops: DataFrame, extra: list[str], min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines of the dropped keys gone, n_lines, n_dropped and kept_sha256."""
     lists = drops.groupBy(F.col("doc_id").alias("_doc")).agg(

@@ -144,7 +144,7 @@ base AS (
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND removed_words <= 0.5 * n_words AS kept FROM judged""")
 def _line_rules(read):
-    return quality_rules(read("documents"))
+    return quality_rules(read("documents")).drop("text")
 
 
 @register("op7_site_bayes")

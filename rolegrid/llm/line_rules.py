@@ -4,7 +4,8 @@ Words are maximal runs without ASCII space. Per document: word_chars, n_symbols,
 base verdict (``base_failed``). Across documents: a line is normalised (ASCII space stripped at both ends, A-Z
 lower-cased) and hashed; ``line_frequency`` counts the distinct documents of a host that have it. A line in more
 documents of a host than ``max(MIN_DOCS, SHARE x the host's documents)`` is removed from that host's documents, and a
-document that loses more than DEPLETED of its words is rejected.
+document that loses more than DEPLETED of its words is rejected. ``quality_rules`` returns the kept documents' texts
+without such lines.
 
 Long texts: everything of one document is computed inside its row, over arrays; nothing is exploded but lines.
 Repeated windows come from sorted 64-bit window hashes; a text with few repeated values takes a short list of them,
@@ -45,17 +46,18 @@ def _covered(starts: Column, span: int) -> Column:
     return F.aggregate(starts, zero, lambda a, s: F.struct(s.alias("last"), (a["n"] + F.least(s - a["last"], F.lit(span))).alias("n")))["n"]
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+def base_rules(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed), and text and source with carry."""
+    held = ["text", "source"] if carry else []
     text = F.coalesce("text", F.lit(""))
-    one = narrow(docs, "doc_id", "text").select(
-        "doc_id", _words(text).alias("w"),
+    one = narrow(docs, "doc_id", "text", *held[1:]).select(
+        "doc_id", *held, _words(text).alias("w"),
         (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     grams = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(
         F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     two = one.select(
-        "doc_id", F.size("w").alias("n"), F.char_length(F.array_join("w", "")).cast("bigint").alias("word_chars"), "n_symbols",
+        "doc_id", *held, F.size("w").alias("n"), F.char_length(F.array_join("w", "")).cast("bigint").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), grams.alias("grams"))
     three = two.withColumn("sorted", F.sort_array("grams"))
     four = three.withColumn("again", F.array_distinct(F.filter("sorted", lambda x, i: (i > 0) & (F.get("sorted", i - 1) == x)))).drop("sorted")
@@ -68,11 +70,11 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
     five = four.withColumn("pairs", F.when(F.size("again") > _SHORT, pairs))
     six = five.select(
-        "doc_id", F.col("n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", *held, F.col("n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.size("again") == 0, F.array().cast("array<int>")).when(F.size("again") <= _SHORT, spots).otherwise(
             repeated(F.col("pairs"))).alias("starts"))
     done = six.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("starts"), 3).cast("bigint").alias("n_repeat_words"))
+        "doc_id", *held, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("starts"), 3).cast("bigint").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return done.withColumn("base_failed", failed)
 
@@ -80,9 +82,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def document_lines(docs: DataFrame) -> DataFrame:
     """(host, h1, h2, doc_id, words): each line with a word once per document, with the words of all its repeats."""
     held = narrow(docs, "doc_id", "text", "source").where("doc_id is not null and text is not null")
-    lines = held.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("host"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
-    key = F.regexp_replace(lower_ascii(F.col("line")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    keyed = lines.select("doc_id", "host", key.alias("key"), F.size(_words(F.col("line"))).alias("words"))
+    lines = held.select("doc_id", host_name().alias("host"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
+    keyed = lines.select("doc_id", "host", line_key(F.col("line")).alias("key"), F.size(_words(F.col("line"))).alias("words"))
     return keyed.select("host", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "words").groupBy(
         "host", "h1", "h2", "doc_id").agg(F.sum("words").alias("words"))
 
@@ -92,24 +93,49 @@ def line_frequency(lines: DataFrame) -> DataFrame:
     return lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def depleted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(doc_id, total, removed): words in all lines, and in lines above their host's limit, where there are any."""
-    lines = stash(document_lines(docs), "document-lines")
+def line_key(line: Column) -> Column:
+    return F.regexp_replace(lower_ascii(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+
+def host_name(source: str = "source") -> Column:
+    return F.coalesce(source, F.lit("\u0000"))
+
+
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """(host, h1, h2) of the lines above their host's limit."""
     hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = stash(
-        line_frequency(lines).where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs"))
-        .select("host", "h1", "h2"), "frequent-lines")
-    removed = lines.join(often, ["host", "h1", "h2"], "left_semi").groupBy("doc_id").agg(F.sum("words").alias("removed"))
+    return line_frequency(lines).where(F.col("n_docs") > min_docs).join(hosts, "host").where(
+        F.col("n_docs") > share * F.col("host_docs")).select("host", "h1", "h2")
+
+
+def depleted(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(doc_id, total, removed, away): words in all lines, and in lines of often, where there are any; away holds
+    those lines as (host, h1, h2)."""
+    removed = lines.join(often, ["host", "h1", "h2"], "left_semi").groupBy("doc_id").agg(
+        F.sum("words").alias("removed"), F.collect_set(F.struct("host", "h1", "h2")).alias("away"))
     total = lines.groupBy("doc_id").agg(F.sum("words").alias("total"))
     return total.join(removed, "doc_id")
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """base_rules and the verdict kept, with removed_words (those in lines above the limits)."""
-    lost = depleted(docs).select(F.col("doc_id").alias("lost_doc"), "total", "removed")
-    joined = base_rules(docs).join(lost, F.col("doc_id") == F.col("lost_doc"), "left")
+def without_lines(text: Column, host: Column, away: Column) -> Column:
+    """text without the lines whose (host, h1, h2) away holds."""
+    def gone(line: Column) -> Column:
+        key = line_key(line)
+        return line.rlike(WORD) & F.array_contains(away, F.struct(host.alias("host"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+
+    return F.when(away.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~gone(x)), "\n"))
+
+
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """base_rules, the verdict kept, removed_words (those in lines above the limits) and text: a kept document's text
+    without those lines, null for the others."""
+    lines = stash(document_lines(docs), "document-lines")
+    often = stash(frequent_lines(lines, min_docs, share), "frequent-lines")
+    lost = depleted(lines, often).select(F.col("doc_id").alias("lost_doc"), "total", "removed", "away")
+    joined = base_rules(docs, carry=True).join(lost, F.col("doc_id") == F.col("lost_doc"), "left")
     gone = F.coalesce("removed", F.lit(0).cast("bigint"))
     verdict = ~F.col("base_failed") & (gone <= DEPLETED * F.coalesce("total", F.lit(0)))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("total").isNull(), ~F.col("base_failed")).otherwise(verdict).alias("kept"), gone.alias("removed_words"))
+    judged = joined.withColumn("kept", F.when(F.col("total").isNull(), ~F.col("base_failed")).otherwise(verdict))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", gone.alias("removed_words"),
+        F.when(F.col("kept"), without_lines(F.col("text"), host_name(), F.col("away"))).alias("text"))

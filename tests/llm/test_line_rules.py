@@ -38,3 +38,17 @@ def test_query_and_plan(spark, sql, docs_of):
     plan = quality_rules(docs_of(["a b"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert base_rules(docs_of(["a b"])).first().n_words == 2
+
+
+def test_kept_texts_lose_their_frequent_lines(docs_of, sql, prose):
+    bar = "Home | About us | Contact"
+    own = [prose(60).replace("\n", " ") + f" own{k}\n\nlast {k}" for k in range(30)]
+    texts = [f" {bar.upper()}\t\n{t}\n{bar}" for t in own] + [f"{bar}\n{own[0]}", "\n".join([bar] * 40 + [own[1]]), None]
+    docs = docs_of(texts, source=["a"] * 30 + ["b", "a", "a"])
+    rows = same(docs, sql)
+    out = {r.doc_id: r.text for r in quality_rules(docs).collect()}
+    assert rows[30]["kept"] and out[30] == texts[30] and out[31] is None and out[32] is None
+    kept = [i for i in range(30) if rows[i]["kept"]]
+    assert kept and [out[i] for i in kept] == [own[i] for i in kept]
+    lost = {i: len((texts[i] or "").split()) - len(out[i].split()) for i in out if rows[i]["kept"]}
+    assert lost == {i: rows[i]["removed_words"] for i in lost}

@@ -6,6 +6,7 @@ from rolegrid.llm import piece_scan
 from rolegrid.llm.chat import digests, format_chats, read_chats
 from rolegrid.llm.line_dedup import dedup_lines
 from rolegrid.llm.line_rules import quality_rules
+from rolegrid.llm.lm_score import score_texts
 from rolegrid.llm.phrase_index import decontaminate
 from rolegrid.llm.registry import ORACLES, QUERIES, register
 from rolegrid.llm.repeat_spans import remove_repeats
@@ -179,3 +180,8 @@ SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM d LEFT JOIN c USING (doc_id)""")
 def _repeat_spans(read):
     return remove_repeats(read("documents")).drop("kept")
+
+
+@register("op13_lm_score")
+def _lm_score(read):
+    return score_texts(read("documents"))

@@ -8,12 +8,14 @@ from rolegrid.llm.line_dedup import dedup_lines
 from rolegrid.llm.line_rules import quality_rules
 from rolegrid.llm.lm_score import score_texts
 from rolegrid.llm.phrase_index import decontaminate
+from rolegrid.llm.pivot_codes import vector_codes
 from rolegrid.llm.registry import ORACLES, QUERIES, register
 from rolegrid.llm.repeat_spans import remove_repeats
 from rolegrid.llm.simhash import near_duplicates
 from rolegrid.llm.site_bayes import classify
 from rolegrid.llm.token_store import read_store, write_store
 from rolegrid.llm.warc import read_archive, write_archive
+from rolegrid.llm.whitening import whiten
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -185,3 +187,41 @@ def _repeat_spans(read):
 @register("op13_lm_score")
 def _lm_score(read):
     return score_texts(read("documents"))
+
+
+def _codes_sql() -> str:
+    """Two rounds of integer means and the last assignment, every entry tried for every part."""
+    rounds = ["c0 AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id, x) - 1 AS e, part FROM p QUALIFY e < 64)"]
+    for k in range(3):
+        rounds.append(f"""a{k} AS (
+  SELECT vec_id, label, j, part, min(d * 64 + e) AS best FROM (
+    SELECT p.vec_id, p.label, p.j, p.part, c.e, list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM p JOIN c{k} AS c ON p.j = c.j) GROUP BY ALL)""")
+        if k < 2:
+            rounds.append(f"""m{k} AS (
+  SELECT j, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS part FROM (
+    SELECT j, best % 64 AS e, i, sum(part[i]) AS s, count(*) AS n FROM (SELECT j, best, part, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL)
+  GROUP BY j, e),
+c{k + 1} AS (SELECT c.j, c.e, coalesce(m.part, c.part) AS part FROM c{k} AS c LEFT JOIN m{k} AS m ON m.j = c.j AND m.e = c.e)""")
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS (SELECT vec_id, label, x, j, x[j * len(x) // 16 + 1:(j + 1) * len(x) // 16] AS part FROM v, range(16) AS t(j)),
+{", ".join(rounds)},
+r AS (
+  SELECT vec_id, label, string_agg(lpad(lower(hex(best % 64)), 2, '0'), '' ORDER BY j) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY j, e)) FROM c2) AS codebooks_sha256
+FROM r"""
+
+
+@register("op11_pivot_codes", _codes_sql())
+def _pivot_codes(read):
+    return vector_codes(read("embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@register("op12_feast_whitening")
+def _feast_whitening(read):
+    return whiten(read("embeddings")).drop("deviation_exact")

@@ -283,15 +283,42 @@ SELECT run_id, arg_min(k, (at_, seq)) FILTER (s) AS platform_id, epoch_us(min(at
        CAST(coalesce(arg_max(k, (at_, seq)) FILTER (NOT s), 0) AS BIGINT) AS items_found
   FROM ev GROUP BY run_id""")
 def _d13(t: Tables):
+    out = merge.fold_runs(run_events(t).filter("kind <> 'cancel'"))
+    return out.select("run_id", "platform_id", F.unix_micros("started_at").alias("started_at"), F.unix_micros("finished_at").alias("finished_at"), "status", "items_found")
+
+
+def run_events(t: Tables):
+    """Signups start a run, purchases finish it, errors are cancels."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    start = F.col("event_type") == "signup"
-    ev = t.events.filter("event_type IN ('signup', 'purchase')").select(
-        F.col("user_id").alias("run_id"), F.when(start, "start").otherwise("finish").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "cancel").otherwise("finish")
+    return t.events.filter("event_type IN ('signup', 'purchase', 'error')").select(
+        F.col("user_id").alias("run_id"), kind.alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         k.alias("platform_id"), F.lit(None).cast("bigint").alias("company_id"), F.when(k < 50, "ok").otherwise("error").alias("status"),
         k.alias("items_found"), *[F.lit(0).alias(n) for n in ("items_inserted", "items_updated", "items_wrong", "items_unverifiable")],
         F.lit(None).cast("string").alias("error_text"), F.lit(False).alias("dry_run"))
-    out = merge.fold_runs(ev)
-    return out.select("run_id", "platform_id", F.unix_micros("started_at").alias("started_at"), F.unix_micros("finished_at").alias("finished_at"), "status", "items_found")
+
+
+# Runs of a quarter of the users and hours never see their finish, so that cancels and deadlines decide some.
+@query("t5_run_ledger_batch_twin", """
+WITH ev AS (SELECT user_id AS run_id, event_type AS e, epoch_us(ts) AS at_, event_id AS seq, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k
+              FROM events WHERE event_type IN ('signup', 'error') OR (event_type = 'purchase' AND user_id % 4 > 0)),
+r AS (SELECT run_id, arg_min(k, (at_, seq)) FILTER (e = 'signup') AS platform_id, min(at_) FILTER (e = 'signup') AS started, max(at_) FILTER (e = 'purchase') AS done,
+             arg_max(CASE WHEN k < 50 THEN 'ok' ELSE 'error' END, (at_, seq)) FILTER (e = 'purchase') AS status, arg_max(k, (at_, seq)) FILTER (e = 'purchase') AS found,
+             min(at_) FILTER (e = 'error') AS cancelled FROM ev GROUP BY run_id),
+d AS (SELECT *, started + 6 * 3600000000 AS due, (SELECT max(at_) - 600000000 FROM ev) AS mark FROM r),
+c AS (SELECT *, CASE WHEN done IS NOT NULL THEN 'finish' WHEN started IS NULL THEN 'running' WHEN cancelled < due THEN 'cancel'
+                     WHEN cancelled >= due OR due <= mark THEN 'late' ELSE 'running' END AS how FROM d)
+SELECT run_id, platform_id, started AS started_at, CASE how WHEN 'finish' THEN done WHEN 'cancel' THEN cancelled WHEN 'late' THEN due END AS finished_at,
+       CASE how WHEN 'finish' THEN status WHEN 'running' THEN 'running' ELSE 'error' END AS status, coalesce(found, 0) AS items_found,
+       CASE how WHEN 'cancel' THEN 'cancelled by user' WHEN 'late' THEN 'interrupted by restart' END AS error_text
+  FROM c""")
+def _t5(t: Tables):
+    from rolegrid.streaming.stateful import run_ledger_batch
+
+    events = run_events(t).filter("kind <> 'finish' OR run_id % 4 > 0")
+    mark = events.agg(F.max("at") - F.expr("INTERVAL 10 MINUTES")).scalar()
+    out = run_ledger_batch(events, mark)
+    return out.select("run_id", "platform_id", F.unix_micros("started_at").alias("started_at"), F.unix_micros("finished_at").alias("finished_at"), "status", "items_found", "error_text")
 
 
 @query("d14_cancel_running_only", """

@@ -203,6 +203,23 @@ def _w7(t: Tables):
     return runs.stop_point(o, "sweep", "pos", 5, F.floor(F.col("pos") / 1000))
 
 
+@query("t6_failure_breaker_batch_twin", """
+WITH e AS (SELECT user_id AS sweep_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type NOT IN ('error', 'view') AS ok,
+                  event_type = 'error' AND value > 150 AS down FROM events),
+g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY sweep_id ORDER BY seq) AS island FROM e),
+s AS (SELECT *, CASE WHEN NOT ok THEN sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY sweep_id, island ORDER BY seq) END AS streak FROM g),
+x AS (SELECT sweep_id, min(seq) AS stop_at, arg_min(down, seq) AS down FROM s WHERE streak >= 5 OR down GROUP BY sweep_id)
+SELECT sweep_id, stop_at, CASE WHEN down THEN 'host_down' ELSE 'failures' END AS reason FROM x""")
+def _t6(t: Tables):
+    from rolegrid.operators.scans import number_rows
+    from rolegrid.streaming.stateful import failure_breaker_batch
+
+    e = t.events.select(F.col("user_id").alias("sweep_id"), F.col("event_id").alias("at"), (~F.col("event_type").isin("error", "view")).alias("ok"),
+                        ((F.col("event_type") == "error") & (F.col("value") > 150)).alias("host_down"))
+    numbered = number_rows(e, ["sweep_id"], ["at"], F.floor(F.col("at") / 1000), "seq").drop("at")
+    return failure_breaker_batch(numbered, 5, F.floor(F.col("seq") / 1000))
+
+
 @query("w7_companies_not_run", """
 WITH e AS (SELECT user_id AS sweep, event_id AS pos, event_type NOT IN ('error', 'view') AS ok FROM events),
 g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY sweep ORDER BY pos) AS island FROM e),

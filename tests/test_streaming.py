@@ -1,12 +1,14 @@
 """Streams against their batch twins."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolegrid.operators import logs
+from rolegrid.operators import logs, merge, runs
 from rolegrid.streaming import ingest, stateful
 from rolegrid.streaming import logs as slogs
 
@@ -104,32 +106,112 @@ def test_posting_merge_per_batch(spark, tmp_path):
     assert v == 2 and got == {"a": (1, "A2", "closed"), "b": (2, "B2", "open"), "c": (3, "C", "closed")}
 
 
-def test_run_ledger(spark, tmp_path):
-    schema = "run_id bigint, kind string, at timestamp, status string, items_found bigint, error_text string"
+EVENTS = (
+    "run_id bigint, kind string, at timestamp, seq bigint, platform_id bigint, company_id bigint, status string, items_found bigint, "
+    "items_inserted bigint, items_updated bigint, items_wrong bigint, items_unverifiable bigint, error_text string, dry_run boolean"
+)
+
+
+def event(run, kind, minute, seq=0, status=None, found=None, error=None, platform=None, dry=False):
+    return (run, kind, T0 + timedelta(minutes=minute), seq, platform, None, status, found, None, found and found - 1, None, 0, error, dry)
+
+
+RUNS = [
+    event(1, "start", 0, platform=4), event(1, "finish", 5, 2, "error", 0, "late to arrive"), event(1, "finish", 9, 1, "ok", 7), event(1, "cancel", 90),
+    event(2, "start", 0, 5, platform=8), event(2, "start", 0, 4, platform=7, dry=True), event(2, "cancel", 6), event(2, "cancel", 3),
+    event(3, "start", 0), event(3, "cancel", 400), event(4, "start", 300), event(4, "cancel", 310),
+    event(5, "start", 2), event(6, "finish", 3, 1, "ok", 2), event(6, "start", 1), event(6, "finish", 3, 2, "error", 1, "same time"), event(7, "cancel", 1),
+    event(8, "start", 105, 1, platform=2), event(8, "start", 100, 9, platform=3),
+]
+
+
+def waves(spark, path, rows, schema, cuts):
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_run_ledger_in_any_order_over_any_cut(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = RUNS[:] if seed else RUNS[::-1]
+    rng.shuffle(rows)
+    rows.append(event(99, "start", 800))  # moves the watermark past run 5's deadline, not past run 8's
+    src = str(tmp_path / "ev")
+    waves(spark, src, [*rows, event(98, "start", 801)], EVENTS, sorted({*rng.sample(range(1, len(rows)), 3 if seed else 1), len(rows)}))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    # Every row reaches the state, as lateness covers all of them; the watermark ends at minute 400.
+    got = {r["run_id"]: r for r in drain_in_order(stateful.run_ledger(stream, "6 hours", "401 minutes"), tmp_path)}
+    table = spark.createDataFrame([*rows, event(98, "start", 801)], EVENTS)
+    want = {r["run_id"]: r for r in stateful.run_ledger_batch(table, F.lit(T0 + timedelta(minutes=400)), "6 hours").collect()}
+    assert {k: tuple(r) for k, r in got.items()} == {k: tuple(r) for k, r in want.items()}
+    assert (want[1]["status"], want[1]["items_found"], want[1]["platform_id"]) == ("ok", 7, 4)
+    assert (want[2]["error_text"], want[2]["finished_at"].minute, want[2]["platform_id"], want[2]["dry_run"]) == ("cancelled by user", 3, 7, True)
+    assert want[3]["error_text"] == want[5]["error_text"] == "interrupted by restart" and want[5]["finished_at"] == T0 + timedelta(minutes=362)
+    assert (want[4]["error_text"], want[6]["error_text"], want[7]["status"], want[8]["status"]) == ("cancelled by user", "same time", "running", "running")
+    finished = table.filter("kind <> 'cancel' AND run_id IN (1, 6)")
+    assert sorted(merge.fold_runs(finished).collect()) == sorted(want[k] for k in (1, 6))
+
+
+def test_a_finish_after_the_deadline_mends_the_run(spark, tmp_path):
     src = str(tmp_path / "ev")
-    waves = [
-        [(1, "start", T0, None, None, None), (2, "start", T0, None, None, None), (3, "start", T0, None, None, None)],
-        [(1, "finish", T0 + timedelta(minutes=5), "ok", 7, None), (2, "cancel", T0 + timedelta(minutes=6), None, None, None)],
-        [(1, "cancel", T0 + timedelta(hours=9), None, None, None), (9, "start", T0 + timedelta(hours=9), None, None, None)], [(9, "finish", T0 + timedelta(hours=10), "error", 0, "bad")]]
-    for wave in waves:
-        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = drain(stateful.run_ledger(stream, "1 hour"), "rl", "update", tmp_path)
-    last = {r["run_id"]: r for r in got.groupBy("run_id").agg(F.max_by(F.struct("status", "error_text", "items_found"), F.coalesce("finished_at", F.lit(T0 - timedelta(days=1)))).alias("x")).select("run_id", "x.*").collect()}
-    assert (last[1]["status"], last[1]["items_found"]) == ("ok", 7)
-    assert (last[2]["status"], last[2]["error_text"]) == ("error", "cancelled by user")
-    assert (last[3]["status"], last[3]["error_text"]) == ("error", "interrupted by restart")
-    assert (last[9]["status"], last[9]["error_text"]) == ("error", "bad")
-
-
-def test_failure_breaker(spark, tmp_path):
-    schema = "sweep_id bigint, seq bigint, ok boolean, host_down boolean"
+    rows = [event(1, "start", 0), event(2, "start", 500), event(3, "start", 501), event(1, "finish", 499, 3, "ok", 5), event(1, "finish", 498, 4, "error", 1)]
+    waves(spark, src, rows, EVENTS, [1, 2, 3])
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    seen = [(r["status"], r["items_found"]) for r in drain_in_order(stateful.run_ledger(stream, "1 hour", "1 hour"), tmp_path) if r["run_id"] == 1]
+    assert seen == [("running", 0), ("error", 0), ("ok", 5)]
+
+
+def drain_in_order(df, tmp_path):
+    """Rows of an update stream, micro-batch by micro-batch."""
+    out = []
+    q = df.writeStream.foreachBatch(lambda batch, _: out.extend(batch.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return out
+
+
+OUTCOMES = "sweep_id bigint, seq bigint, ok boolean, host_down boolean"
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_failure_breaker_in_any_order_over_any_cut(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(s, q, rng.random() < 0.55, False) for s in range(30) for q in range(s, s + rng.randrange(1, 25))]
+    rows = [(s, q, ok, not ok and rng.random() < 0.03) for s, q, ok, _ in rows]
+    again = rng.sample(rows, 40)
+    want = sorted(tuple(r) for r in stateful.failure_breaker_batch(spark.createDataFrame(rows, OUTCOMES), 3).collect())
+    stops = sorted((r["sweep_id"], r["stop_at"]) for r in runs.stop_point(spark.createDataFrame(rows, OUTCOMES), "sweep_id", "seq", 3).collect() if r["stop_at"] is not None)
+    rows += again
+    rng.shuffle(rows)
     src = str(tmp_path / "o")
-    for wave in [[(1, 1, True, False), (1, 2, False, False), (2, 1, False, True)], [(1, 3, False, False), (1, 4, False, False), (3, 1, False, False)], [(3, 2, True, False), (3, 3, False, False)]]:
-        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = drain(stateful.failure_breaker(stream, 2), "fb", "update", tmp_path)
-    assert sorted((r["sweep_id"], r["stop_at"], r["reason"]) for r in got.collect()) == [(1, 3, "failures"), (2, 1, "host_down")]
+    waves(spark, src, rows, OUTCOMES, sorted(rng.sample(range(1, len(rows)), 3)))
+    stream = spark.readStream.schema(OUTCOMES).option("maxFilesPerTrigger", 1).parquet(src)
+    last = {}
+    for r in drain_in_order(stateful.failure_breaker(stream, 3), tmp_path):
+        assert r["sweep_id"] not in last or (r["stop_at"], r["reason"]) < last[r["sweep_id"]][1:]
+        last[r["sweep_id"]] = tuple(r)
+    assert sorted(last.values()) == want and [w[:2] for w in want] == stops and {w[2] for w in want} == {"failures", "host_down"}
+
+
+@pytest.mark.parametrize("stop_after", [0, 1, 2, 3])
+def test_ranges_join_alike_in_every_order(stop_after):
+    rng = random.Random(stop_after)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        ok = [rng.random() < 0.5 for _ in range(n)]
+        down = [not x and rng.random() < 0.2 for x in ok]
+        streak, want = 0, None
+        for k in range(n):
+            streak = 0 if ok[k] else streak + 1
+            if want is None and (down[k] or (stop_after and streak >= stop_after)):
+                want = (k + 5, down[k])
+        order, held = rng.sample(range(n), n), []
+        while order:
+            size = rng.randrange(1, 4)
+            take, order = sorted(order[:size]), order[size:]
+            held = stateful.join_all([*held, *stateful.summarise(np.array(take) + 5, np.array([ok[k] for k in take]), np.array([down[k] for k in take]), stop_after)], stop_after)
+        whole = stateful.summarise(np.arange(n) + 5, np.array(ok), np.array(down), stop_after)
+        assert held == whole and (held[0][4], held[0][5]) == (want or (None, False))
 
 
 def test_a_gap_splits_a_run_into_sessions(spark):

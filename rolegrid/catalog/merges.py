@@ -386,4 +386,4 @@ def _d26(t: Tables):
         F.expr("CASE l_returnflag WHEN 'A' THEN 'html_careers' WHEN 'N' THEN 'http_404' ELSE 'http_500' END").alias("rejection_reason"))
     taken = t.orders.select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("company_id"), F.expr("CAST(substring(o_orderpriority, 1, 1) AS BIGINT)").alias("attempt_index"))
-    return merge.attempt_rows(cand, taken).select("company_id", "run_id", "attempt_index", "http_status", "validation_status", "rejection_reason")
+    return merge.attempt_rows(cand, taken, by=F.col("position.l_linenumber").cast("bigint")).select("company_id", "run_id", "attempt_index", "http_status", "validation_status", "rejection_reason")

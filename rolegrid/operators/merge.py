@@ -17,7 +17,7 @@ from rolegrid.functions import text as T
 from rolegrid.functions.base import ColumnOrName, blank_to_null, c
 from rolegrid.functions.jsonld import parse_posting
 from rolegrid.operators.ranking import first_per_group, last_wins
-from rolegrid.operators.scans import number_rows, running_sum
+from rolegrid.operators.scans import bucket, number_rows, running_sum
 
 JOB_KEY = ["discovery_platform_id", "external_id"]
 # The columns a re-observation replaces.
@@ -29,13 +29,15 @@ JOB_CONTENT = [
 NUMBER_BUCKETS = 4096
 
 
-def assign_ids(fresh: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS) -> DataFrame:
-    """Dense new ids after the highest existing one. Rows are numbered inside hash buckets and offset
+def assign_ids(
+    fresh: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS, top: Column | None = None
+) -> DataFrame:
+    """Dense new ids after the highest existing one (or ``top``). Rows are numbered inside hash buckets and offset
     by bucket totals, so no single task numbers the whole table."""
     spread = F.pmod(F.xxhash64(*key), F.lit(buckets))
     numbered = number_rows(fresh, [], [F.col(k) for k in key], spread, "__n")
-    top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return numbered.withColumn(id_col, top.scalar() + F.col("__n")).drop("__n")
+    after = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top")).scalar() if top is None else top
+    return numbered.withColumn(id_col, after + F.col("__n")).drop("__n")
 
 
 def keyed(key: list[str]) -> Column:
@@ -43,17 +45,20 @@ def keyed(key: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key])
 
 
-def number_fresh(batch: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS) -> DataFrame:
+def number_fresh(
+    batch: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS, top: Column | None = None
+) -> DataFrame:
     """batch (unique on key) with ids for the keys that state does not hold, NULL for the others: dense ids
-    after the highest one, found before the merge so that the merge itself is planned once."""
+    after the highest one (``top`` where state is only a part of the table), found before the merge so that the
+    merge itself is planned once."""
     known = state.filter(keyed(key)).select(*key).distinct().withColumn("__known", F.lit(True))
     flagged = batch.filter(keyed(key)).join(known, key, "left").unionByName(
         batch.filter(~keyed(key)).withColumn("__known", F.lit(None).cast("boolean")))
     spread = F.pmod(F.xxhash64(*key), F.lit(buckets))
     fresh = F.col("__known").isNull()
     counted = running_sum(flagged, [], [F.col(k) for k in key], spread, {"__n": fresh.cast("int")})
-    top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return counted.withColumn(id_col, F.when(fresh, top.scalar() + F.col("__n"))).drop("__n", "__known")
+    after = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top")).scalar() if top is None else top
+    return counted.withColumn(id_col, F.when(fresh, after + F.col("__n"))).drop("__n", "__known")
 
 
 def upsert(
@@ -119,14 +124,16 @@ def upsert(
     )
 
 
-def upsert_jobs(state: DataFrame, batch: DataFrame, now: ColumnOrName, replace_raw: bool = False, ordinal: str | None = "ordinal") -> DataFrame:
+def upsert_jobs(
+    state: DataFrame, batch: DataFrame, now: ColumnOrName, replace_raw: bool = False, ordinal: str | None = "ordinal", top: Column | None = None
+) -> DataFrame:
     """Posting upsert: content replaced, reopened, last_seen moved; first_seen, created and (unless
-    told otherwise) raw_data kept. New rows get ids after the highest one."""
+    told otherwise) raw_data kept. New rows get ids after the highest one (``top``, if given)."""
     content = JOB_CONTENT + (["raw_data"] if replace_raw else [])
     last = last_wins(batch, JOB_KEY, ordinal) if ordinal else batch
     ids = "job_id" in state.columns
     if ids:
-        last = number_fresh(last.drop("job_id"), state, JOB_KEY, "job_id")
+        last = number_fresh(last.drop("job_id"), state, JOB_KEY, "job_id", top=top)
     return upsert(
         state, last, JOB_KEY, content, now,
         insert_only=([] if replace_raw else ["raw_data"]) + (["job_id"] if ids else []),
@@ -361,17 +368,16 @@ def check_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("problem", problem)
 
 
-def attempt_rows(candidates: DataFrame, existing: DataFrame, run: str = "run_id") -> DataFrame:
+def attempt_rows(candidates: DataFrame, existing: DataFrame, run: str = "run_id", by: Column | None = None) -> DataFrame:
     """Attempt rows to append: slots continue from the company's first free one in the run; accepted
-    carries no reason; status 0 and blanks are NULL. One company's attempts in one run are few
-    (the ladder caps candidates), so the slot window is small by construction."""
-    from pyspark.sql import Window
-
+    carries no reason; status 0 and blanks are NULL. Positions are numbered inside buckets of ``position``
+    (``by``, which never falls while it rises; a number's own bucket by default), so that the attempts of one
+    company in one run, or of rows without either, spread over tasks."""
     taken = existing.groupBy(run, "company_id").agg((F.max("attempt_index") + 1).alias("__first"))
-    slot = F.row_number().over(Window.partitionBy(run, "company_id").orderBy("position")) - 1
-    j = candidates.withColumn("__slot", slot).join(taken, [run, "company_id"], "left")
+    numbered = number_rows(candidates, [run, "company_id"], ["position"], bucket("position") if by is None else by, "__slot")
+    j = numbered.join(taken, [run, "company_id"], "left")
     return j.select(
-        "company_id", run, (F.coalesce("__first", F.lit(0)) + F.col("__slot")).cast("bigint").alias("attempt_index"),
+        "company_id", run, (F.coalesce("__first", F.lit(0)) + F.col("__slot") - 1).cast("bigint").alias("attempt_index"),
         "source", "candidate_url", "candidate_kind", F.nullif(F.col("http_status"), F.lit(0)).cast("bigint").alias("http_status"),
         blank_to_null("final_url").alias("final_url"), blank_to_null("title").alias("title"), "validation_status",
         F.when(F.col("validation_status") != "accepted", F.col("rejection_reason")).alias("rejection_reason"),

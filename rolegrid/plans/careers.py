@@ -12,6 +12,7 @@ from rolegrid.functions.base import ColumnOrName, map_lookup
 from rolegrid.operators import merge
 from rolegrid.operators.discover import climb, fetch, homepage_attempts, ladder_candidates, next_hop, single_responses
 from rolegrid.operators.gate import attempt_state, board_check, category, gate, should_escalate
+from rolegrid.operators.scans import bucket
 from rolegrid.session import cut
 
 ATTEMPT = ["company_id", "position", "source", "candidate_url", "candidate_kind", "http_status", "final_url", "title", "validation_status", "rejection_reason", "evidence"]
@@ -160,5 +161,6 @@ def publish(resolved: dict[str, DataFrame], companies: DataFrame, attempts: Data
     res = resolved["resolutions"].withColumns({"dry_run": F.lit(dry_run), "new_verdict": F.lit(None).cast("string"), "new_verdict_url": F.lit(None).cast("string")})
     checked = merge.check_resolutions(res)
     new = merge.write_resolutions(companies, checked.filter(F.col("problem").isNull()), now)
-    rows = merge.attempt_rows(resolved["attempts"].withColumn("run_id", F.lit(run_id).cast("bigint")), attempts)
+    place = F.col("position.g") * F.lit(1 << 40) + bucket("position.n")
+    rows = merge.attempt_rows(resolved["attempts"].withColumn("run_id", F.lit(run_id).cast("bigint")), attempts, by=place)
     return {"companies": new, "attempts": rows, "rejects": checked.filter(F.col("problem").isNotNull())}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.text import slugify
-from rolegrid.operators import merge, quality, runs
+from rolegrid.operators import merge, quality, runs, slots
 from rolegrid.operators.discover import annotate_blocks, fetch, posting_links, robots_allowed, single_responses
 from rolegrid.operators.reads import cached_listings
 from rolegrid.operators.wikitext import constituents
@@ -19,27 +19,72 @@ from rolegrid.sources.postings import posting_batch
 
 
 def feed_ingest(captures: DataFrame, companies: DataFrame, jobs: DataFrame, platform_id: int, now: ColumnOrName) -> dict[str, DataFrame]:
-    """One feed run: scan, normalise, create companies, upsert postings, close what is gone.
+    """One feed run over whole snapshots: scan, normalise, create companies, upsert postings, close what is gone.
 
     Returns the new ``companies`` and ``jobs``, and a one-row ``report`` whose outcome is ok, no_jobs
-    or normalize_failed. Without an accepted posting nothing is written.
+    or normalize_failed. Without an accepted posting nothing is written. ``feed_ingest_into`` does the same on slot tables.
     """
     elements, rejects = feed.scan_feed(captures)
     # The elements feed companies, postings, the seen set and the report: parsed once, kept once.
     parsed = cut(feed.normalise_feed(elements))
-    accepted = feed.feed_jobs(parsed)
-    fresh, bad_names = merge.resolve_companies(companies, accepted.select(F.col("company_name").alias("name"), F.col("idx").alias("ordinal")))
-    numbered = merge.assign_ids(fresh, companies, ["slug"], "company_id")
-    new_companies = cut(companies.unionByName(numbered.withColumns({
-        x: F.lit(None).cast(companies.schema[x].dataType) for x in companies.columns if x not in numbered.columns}).select(*companies.columns)))
-    keyed = accepted.withColumn("slug", slugify("company_name")).join(new_companies.select("slug", "company_id"), "slug")
-    batch = keyed.withColumns({"discovery_platform_id": F.lit(platform_id).cast("bigint"), "ordinal": F.col("idx")})
-    merged = merge.upsert_jobs(jobs, batch, now)
-    seen = feed.feed_seen(parsed).withColumn("discovery_platform_id", F.lit(platform_id).cast("bigint"))
+    fresh, bad_names = _new_companies(parsed, companies)
+    new_companies = cut(companies.unionByName(fresh))
+    merged = merge.upsert_jobs(jobs, _feed_batch(parsed, new_companies, platform_id), now)
+    new_jobs = cut(merge.mark_stale(merged, _feed_seen(parsed, platform_id), ["discovery_platform_id"], now))
+    return {
+        "companies": new_companies, "jobs": new_jobs.drop("merge_action", "newly_closed"), "changes": new_jobs,
+        "report": _feed_report(parsed, new_jobs, rejects), "bad_names": bad_names, "rejects": rejects,
+    }
+
+
+def feed_ingest_into(captures: DataFrame, companies: slots.SlotTable, jobs: slots.SlotTable, platform_id: int, now: ColumnOrName) -> dict[str, DataFrame]:
+    """One feed run on slot tables: a new version of ``companies`` where a company is new, one of ``jobs`` always.
+
+    Read and written are the slots of the feed's companies and postings, and of the platform's slots those in which a
+    posting closes. Returns the ``report``, the ``changes`` (rewritten postings with their action), ``bad_names``, ``rejects``.
+    """
+    elements, rejects = feed.scan_feed(captures)
+    parsed = cut(feed.normalise_feed(elements))
+    names = feed.feed_jobs(parsed).select(slugify("company_name").alias("slug")).distinct()
+    at, base = companies.slots_of(names), companies.latest()
+    known = companies.read(at, base).drop(slots.SLOT)
+    fresh, bad_names = _new_companies(parsed, known, companies.top(base))
+    fresh = cut(fresh)
+    added = companies.slots_of(fresh)
+    now_known = cut(known.unionByName(fresh))
+    if added:
+        companies.replace(now_known.withColumn(slots.SLOT, companies.layout.slot()).filter(F.col(slots.SLOT).isin(sorted(added))), added, base, base + 1)
+    batch = cut(_feed_batch(parsed, now_known, platform_id))
+    changes = slots.merge_postings(jobs, batch, now, observed=_feed_seen(parsed, platform_id))
+    return {"report": _feed_report(parsed, changes, rejects), "changes": changes, "bad_names": bad_names, "rejects": rejects}
+
+
+def _new_companies(parsed: DataFrame, companies: DataFrame, top: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(companies that the feed names first, in the columns of the table; names without a slug)."""
+    accepted = feed.feed_jobs(parsed).select(F.col("company_name").alias("name"), F.col("idx").alias("ordinal"))
+    fresh, bad_names = merge.resolve_companies(companies, accepted)
+    numbered = merge.assign_ids(fresh, companies, ["slug"], "company_id", top=top)
+    return _as(numbered, companies), bad_names
+
+
+def _as(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows in the columns of a table, NULL where they have none."""
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+
+
+def _feed_batch(parsed: DataFrame, companies: DataFrame, platform_id: int) -> DataFrame:
+    accepted = feed.feed_jobs(parsed).withColumn("slug", slugify("company_name")).join(companies.select("slug", "company_id"), "slug")
+    return accepted.withColumns({"discovery_platform_id": F.lit(platform_id).cast("bigint"), "ordinal": F.col("idx")})
+
+
+def _feed_seen(parsed: DataFrame, platform_id: int) -> DataFrame:
+    """The feed's keys, taken before any filter; none where no posting was accepted, so that nothing closes."""
     some = parsed.agg(F.coalesce(F.bool_or(F.col("reason").isNull()), F.lit(False)).alias("some"))
-    closable = seen.filter(some.scalar())
-    new_jobs = cut(merge.mark_stale(merged, closable, ["discovery_platform_id"], now))
-    counted = new_jobs.agg(F.count_if("newly_closed").alias("closed"), F.count_if(F.col("merge_action") == "inserted").alias("inserted"))
+    return feed.feed_seen(parsed).withColumn("discovery_platform_id", F.lit(platform_id).cast("bigint")).filter(some.scalar())
+
+
+def _feed_report(parsed: DataFrame, changes: DataFrame, rejects: DataFrame) -> DataFrame:
+    counted = changes.agg(F.count_if("newly_closed").alias("closed"), F.count_if(F.col("merge_action") == "inserted").alias("inserted"))
     read = parsed.agg(
         F.count("*").alias("found"), F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("external_id").isNotNull()).alias("identified"),
@@ -47,16 +92,15 @@ def feed_ingest(captures: DataFrame, companies: DataFrame, jobs: DataFrame, plat
     )
     report = attach_row(attach_row(read, counted), rejects.agg(F.count("*").alias("rejected_bodies")))
     outcome = F.when(F.col("accepted") > 0, "ok").when(F.col("identified") == 0, "no_jobs").otherwise("normalize_failed")
-    report = report.withColumns({"outcome": outcome, "updated": F.col("accepted") - F.col("inserted")})
-    return {
-        "companies": new_companies, "jobs": new_jobs.drop("merge_action", "newly_closed"), "changes": new_jobs,
-        "report": report, "bad_names": bad_names, "rejects": rejects,
-    }
+    return report.withColumns({"outcome": outcome, "updated": F.col("accepted") - F.col("inserted")})
 
 
-def index_ingest(pages: DataFrame, companies: DataFrame, now: ColumnOrName) -> dict[str, DataFrame]:
+def index_ingest(pages: DataFrame, companies: DataFrame | slots.SlotTable, now: ColumnOrName) -> dict[str, DataFrame]:
     """Index pages (index, position, wikitext) into companies. A company on several pages ends on the
-    last one, as if the pages were read in order. The report flags empty pages (exit 4)."""
+    last one, as if the pages were read in order. The report flags empty pages (exit 4).
+
+    On a slot table only the slots of the pages' companies are read and, as its next version, written; ``changes`` are then
+    the rows of those slots."""
     rows, problems = constituents(pages.select("index", "wikitext"))
     rows = cut(rows.join(pages.select("index", F.col("position").alias("page_no")), "index"))
     named = rows.withColumns({"name": F.trim("name"), "slug": slugify(F.trim("name"))})
@@ -71,9 +115,17 @@ def index_ingest(pages: DataFrame, companies: DataFrame, now: ColumnOrName) -> d
         blank("sub_industry").alias("gics_sub_industry"), blank("headquarters").alias("headquarters_location"),
         F.col("index").alias("index_membership"), blank("article").alias("article_title"),
     )
-    merged = cut(merge.index_upsert(companies, batch, now))
-    fresh = merge.assign_ids(merged.filter("merge_action = 'created'").drop("company_id"), companies, ["slug"], "company_id")
+    held, top, touched = companies, None, set()
+    if isinstance(companies, slots.SlotTable):
+        batch, base = cut(batch), companies.latest()
+        touched, top = companies.slots_of(batch), companies.top(base)
+        held = companies.read(touched, base).drop(slots.SLOT)
+    merged = cut(merge.index_upsert(held, batch, now))
+    fresh = merge.assign_ids(merged.filter("merge_action = 'created'").drop("company_id"), held, ["slug"], "company_id", top=top)
     out = merged.filter("merge_action <> 'created'").unionByName(fresh.select(*merged.columns))
+    if touched:
+        out = cut(out)
+        companies.replace(out.drop("merge_action"), touched, base, base + 1)
     found = rows.groupBy("index").agg(F.count("*").alias("found"))
     exit_code = F.when(F.col("problem").isNotNull(), 1).when(F.col("found") == 0, 4).otherwise(0)
     report = (

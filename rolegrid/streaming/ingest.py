@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.operators import merge
+from rolegrid.operators import slots
 from rolegrid.sources.traces import parse_trace_lines, run_of_path
 
 
@@ -16,43 +16,24 @@ def tail_traces(spark: SparkSession, path: str) -> DataFrame:
     return parse_trace_lines(text)
 
 
-def snapshot_path(root: str, version: int) -> str:
-    return f"{root}/v={version:010d}"
-
-
-def latest_version(spark: SparkSession, root: str) -> int:
-    """Highest complete snapshot version under a root, -1 when there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return -1
-    versions = [-1]
-    for status in fs.listStatus(hadoop):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            versions.append(int(name[2:]))
-    return max(versions)
-
-
-def start_posting_merge(batches: DataFrame, root: str, checkpoint: str, now, scope: list[str] | None = None):
-    """Upsert and staleness per micro-batch. State is a sequence of snapshots under ``root``: batch n
-    reads the newest snapshot below n and writes n, so a batch run again writes the same version.
+def start_posting_merge(batches: DataFrame, table: slots.SlotTable, checkpoint: str, now, scope: list[str] | None = None):
+    """Upsert and staleness per micro-batch into a slot table that has a version 0. Batch n reads the newest version
+    up to n and writes n + 1, so a batch run again writes the same version; what it reads and writes follows the
+    batch's keys and the scopes it shows, not the table.
 
     ``batches`` carries the content columns plus ``ordinal``; the batch itself is the seen set.
     """
-    keys = scope or ["discovery_platform_id"]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = min(latest_version(spark, root), batch_id)
+        base = table.latest(below=batch_id + 1)
         if base < 0:
-            raise ValueError(f"no snapshot under {root}: write version 0 first")
-        target = batch_id + 1
-        state = spark.read.parquet(snapshot_path(root, base if base < target else target - 1))
+            raise ValueError(f"no version under {table.root}: create the table first")
         instant = now(batch_id) if callable(now) else now
-        merged = merge.upsert_jobs(state, batch, instant).drop("merge_action")
-        out = merge.mark_stale(merged, merge.observed_keys(batch, keys), keys, instant).drop("newly_closed")
-        out.write.mode("overwrite").parquet(snapshot_path(root, target))
+        # The batch is read several times: its keys, its seen set, its content.
+        kept = batch.persist()
+        try:
+            slots.merge_postings(table, kept, instant, scope=scope, base=base, version=batch_id + 1)
+        finally:
+            kept.unpersist()
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

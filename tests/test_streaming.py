@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolegrid.operators import logs, merge, runs
+from rolegrid.operators import logs, merge, runs, slots
 from rolegrid.streaming import ingest, stateful
 from rolegrid.streaming import logs as slogs
 
@@ -90,20 +90,30 @@ BATCH = "company_id bigint, discovery_platform_id bigint, external_id string, ti
 
 def test_posting_merge_per_batch(spark, tmp_path):
     root, src, ck = str(tmp_path / "state"), str(tmp_path / "src"), str(tmp_path / "ck")
-    spark.createDataFrame([(1, 1, 1, "a", "A", "open", "r", T0, T0, T0, T0), (2, 1, 1, "b", "B", "open", "r", T0, T0, T0, T0)], JOBS).write.parquet(ingest.snapshot_path(root, 0))
+    table = slots.SlotTable(spark, root, slots.Layout(key=slots.POSTINGS.key, scope=slots.POSTINGS.scope, ids="job_id", groups=4, parts=6))
+    rows = [(k, 1, p, f"{p}-{k}", "A", "open", "r", T0, T0, T0, T0) for k, p in enumerate([1] * 3 + [2] * 60, 1)] + [(90, 1, 1, None, "N", "open", "r", T0, T0, T0, T0)]
+    table.create(spark.createDataFrame(rows, JOBS))
 
     def step(rows):
         spark.createDataFrame(rows, BATCH).coalesce(1).write.mode("append").json(src)
-        q = ingest.start_posting_merge(spark.readStream.schema(BATCH).json(src), root, ck, lambda _: F.lit("2026-01-02").cast("timestamp"))
+        q = ingest.start_posting_merge(spark.readStream.schema(BATCH).json(src), table, ck, lambda _: F.lit("2026-01-02").cast("timestamp"))
         q.awaitTermination(240)
         assert q.exception() is None
-        v = ingest.latest_version(spark, root)
-        return v, {r["external_id"]: (r["job_id"], r["title"], r["status"]) for r in spark.read.parquet(ingest.snapshot_path(root, v)).collect()}
-
-    v, got = step([(1, 1, "a", "A2", None, 1), (1, 1, "c", "C", None, 2)])
-    assert v == 1 and got == {"a": (1, "A2", "open"), "b": (2, "B", "closed"), "c": (3, "C", "open")}
-    v, got = step([(1, 1, "b", "B2", None, 1)])
-    assert v == 2 and got == {"a": (1, "A2", "closed"), "b": (2, "B2", "open"), "c": (3, "C", "closed")}
+        return table.latest(), {r["external_id"]: (r["job_id"], r["title"], r["status"]) for r in table.rows().filter("discovery_platform_id = 1").collect()}
+
+    v, got = step([(1, 1, "1-1", "A2", None, 1), (1, 1, "c", "C", None, 2)])
+    assert v == 1 and got == {"1-1": (1, "A2", "open"), "1-2": (2, "A", "closed"), "1-3": (3, "A", "closed"), "c": (91, "C", "open"), None: (90, "N", "open")}
+    written = {m["slot"] for m in table.manifest() if m["written"] == 1}
+    assert written and len(written) <= 4  # of the slots of 64 rows
+    files = sorted(p.name for p in (tmp_path / "state/data/v=0").rglob("*.parquet"))
+    v, got = step([(1, 1, "1-2", "B2", None, 1)])
+    assert v == 2 and got["1-1"] == (1, "A2", "closed") and got["1-2"] == (2, "B2", "open") and got["c"] == (91, "C", "closed")
+    assert sorted(p.name for p in (tmp_path / "state/data/v=0").rglob("*.parquet")) == files
+    assert table.rows().filter("discovery_platform_id = 2 AND status = 'open'").count() == 60
+    # A batch that runs again writes the same version.
+    before = sorted(table.rows().collect(), key=repr)
+    slots.merge_postings(table, spark.createDataFrame([(1, 1, "1-2", "B2", None, 1)], BATCH), F.lit("2026-01-02").cast("timestamp"), base=1, version=2)
+    assert sorted(table.rows().collect(), key=repr) == before and table.latest() == 2
 
 
 EVENTS = (

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rolegrid.catalog.registry import Tables, query
 from rolegrid.catalog.telemetry import _EL, _ELEMENT
 from rolegrid.functions import urls as U
+from rolegrid.operators import slots
 from rolegrid.plans import careers, ingest
+from rolegrid.session import checkpoint_dir
 from rolegrid.sources import registry
 
 
@@ -90,6 +95,77 @@ def _d21(t: Tables):
     return report.select("outcome", "found", "accepted", "inserted", "closed", "skipped")
 
 
+def slot_table(t: Tables, rows, layout: slots.Layout) -> slots.SlotTable:
+    """rows as version 0 of a slot table in the shared folder."""
+    out = slots.SlotTable(t.spark, f"{checkpoint_dir(t.spark)}/slots/{uuid.uuid4().hex}", layout)
+    out.create(rows)
+    return out
+
+
+def few_slots(layout: slots.Layout) -> slots.Layout:
+    """The layout with slots for tables of these sizes."""
+    return replace(layout, groups=4, parts=4)
+
+
+def ingested(t: Tables) -> tuple[slots.SlotTable, slots.SlotTable]:
+    """(companies, postings) after a feed run on slot tables."""
+    k = t.events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    captures = k.select(F.concat(F.lit("["), F.expr(_ELEMENT), F.lit("]")).alias("body"))
+    companies = slot_table(t, t.companies.select("company_id", "slug", "name"), few_slots(slots.COMPANIES))
+    jobs = t.jobs.withColumns({"created_at": F.col("first_seen_at"), "updated_at": F.col("last_seen_at"), "tags": F.array().cast("array<string>"), "is_remote": F.col("is_remote") == 1})
+    postings = slot_table(t, jobs, few_slots(slots.POSTINGS))
+    ingest.feed_ingest_into(captures, companies, postings, 1, now())
+    return companies, postings
+
+
+@query("d21_feed_ingest_postings", f"""WITH {_EL}
+SELECT external_id, discovery_platform_id AS platform_id, title, CASE WHEN status = 'open' AND discovery_platform_id = 1 AND external_id IS NOT NULL THEN 'closed' ELSE status END AS status,
+       salary_min_cents, CAST(NULL AS VARCHAR) AS slug FROM jobs
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), 1, 'Dev ' || k, 'open', CASE WHEN k >= 38 THEN k * 100 END, 'co-' || user_id FROM el WHERE k >= 15 AND NOT (k >= 30 AND k < 38)""")
+def _d21p(t: Tables):
+    companies, postings = ingested(t)
+    named = companies.rows().filter("slug LIKE 'co-%'").select("company_id", "slug")
+    return postings.rows().join(named, "company_id", "left").select("external_id", F.col("discovery_platform_id").alias("platform_id"), "title", "status", "salary_min_cents", "slug")
+
+
+@query("d21_feed_ingest_companies", f"""WITH {_EL}
+SELECT slug, name FROM companies UNION ALL SELECT DISTINCT 'co-' || user_id, 'Co ' || user_id FROM el WHERE k >= 15 AND NOT (k >= 30 AND k < 38)""")
+def _d21c(t: Tables):
+    return ingested(t)[0].rows().select("slug", "name")
+
+
+def _step(before: str, after: str, batch: str, tag: str) -> str:
+    """One merge as SQL: upsert by key, reopen, and close what the batch's platforms no longer show."""
+    return f"""{after} AS (
+  SELECT coalesce(s.p, b.p) AS p, coalesce(s.x, b.x) AS x, CASE WHEN b.x IS NOT NULL THEN b.title ELSE s.title END AS title,
+         CASE WHEN b.x IS NOT NULL THEN 'open' WHEN s.status = 'open' AND s.x IS NOT NULL AND s.p IN (SELECT p FROM {batch}) THEN 'closed' ELSE s.status END AS status,
+         CASE WHEN b.x IS NOT NULL THEN '{tag}' ELSE s.seen END AS seen, s.kept
+    FROM {before} s FULL OUTER JOIN {batch} b ON s.p = b.p AND s.x = b.x)"""
+
+
+_BATCHES = (("a", "discovery_platform_id IN (1, 10) AND o > 3"), ("b", "discovery_platform_id IN (10, 11) AND job_id % 3 = 0"))
+
+
+@query("t4_posting_merge_batch_twin", f"""
+WITH j AS (SELECT *, CAST(right(CAST(job_id AS VARCHAR), 1) AS BIGINT) AS o FROM jobs),
+s0 AS (SELECT discovery_platform_id AS p, external_id AS x, title, status, 'never' AS seen, job_id AS kept FROM j WHERE o < 7),
+{", ".join(f"{n} AS (SELECT discovery_platform_id AS p, external_id AS x, title || ' {n}' AS title FROM j WHERE {where} AND external_id IS NOT NULL)" for n, where in _BATCHES)},
+{_step("s0", "s1", "a", "a")}, {_step("s1", "s2", "b", "b")}
+SELECT p AS platform_id, x AS external_id, title, status, seen, kept, (SELECT count(*) FROM s2) AS n_ids FROM s2""")
+def _t4(t: Tables):
+    jobs = t.jobs.withColumns({"created_at": F.col("first_seen_at"), "updated_at": F.col("last_seen_at"), "o": F.right(F.col("job_id").cast("string"), F.lit(1)).cast("bigint")})
+    state = jobs.filter("o < 7").drop("o")
+    table = slot_table(t, state, few_slots(slots.POSTINGS))
+    for day, (name, where) in enumerate(_BATCHES, 2):
+        batch = jobs.filter(where).filter("external_id IS NOT NULL").select(*[c for c in state.columns if c not in ("job_id", "status", "title")], F.concat("title", F.lit(f" {name}")).alias("title"), F.col("job_id").alias("ordinal"))
+        slots.merge_postings(table, batch, F.lit(f"2024-06-0{day} 00:00:00").cast("timestamp"))
+    out, top = table.rows(), state.agg(F.max("job_id")).scalar()
+    seen = F.when(F.col("last_seen_at") == F.lit("2024-06-02 00:00:00").cast("timestamp"), "a").when(F.col("last_seen_at") == F.lit("2024-06-03 00:00:00").cast("timestamp"), "b").otherwise("never")
+    return out.select(F.col("discovery_platform_id").alias("platform_id"), "external_id", "title", "status", seen.alias("seen"), F.when(F.col("job_id") <= top, F.col("job_id")).alias("kept"),
+                      out.agg(F.countDistinct("job_id")).scalar().alias("n_ids"))
+
+
 @query("d22_index_ingest_job", """
 SELECT 'idx' || c_custkey AS index, CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS found, CAST(CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END AS INTEGER) AS exit_code FROM customer""")
 def _d22(t: Tables):
@@ -101,6 +177,25 @@ def _d22(t: Tables):
     return ingest.index_ingest(pages, state, now())["report"].select("index", F.col("found").cast("int").alias("found"), "exit_code")
 
 
+@query("d22_index_ingest_companies", """
+WITH firm AS (SELECT c_custkey AS n, c_mktsegment AS sector, unnest([c_nationkey, (c_nationkey + 7) % 25]) AS page FROM customer),
+last AS (SELECT n, max(page) AS page, any_value(sector) AS sector FROM firm GROUP BY n)
+SELECT slug, name, industry, index_membership FROM companies UNION ALL SELECT 'firm-' || n, 'Firm ' || n, sector, 'idx' || page FROM last""")
+def _d22c(t: Tables):
+    n = F.col("c_custkey").cast("string")
+    row = F.concat(F.lit("|-\n| {{NyseSymbol|T"), n, F.lit("}} || [[Firm "), n, F.lit("]] || "), "c_mktsegment")
+    firms = t.customer.select(row.alias("row"), F.explode(F.array("c_nationkey", (F.col("c_nationkey") + 7) % 25)).alias("page"))
+    # A whole table per page: hundreds of constituents, most of them on another page too.
+    pages = firms.groupBy("page").agg(F.array_join(F.collect_list("row"), "\n").alias("rows")).select(
+        F.concat(F.lit("idx"), F.col("page").cast("string")).alias("index"), F.col("page").cast("bigint").alias("position"),
+        F.concat(F.lit("{|\n! Symbol !! Security !! GICS Sector\n"), "rows", F.lit("\n|}")).alias("wikitext"))
+    blank = F.lit(None).cast("string")
+    state = t.companies.select("company_id", "slug", "name", "industry", blank.alias("cik"), blank.alias("gics_sub_industry"), blank.alias("headquarters_location"), "index_membership", "article_title", "created_at", "updated_at")
+    table = slot_table(t, state, few_slots(slots.COMPANIES))
+    ingest.index_ingest(pages, table, now())
+    return table.rows().select("slug", "name", "industry", "index_membership")
+
+
 @query("d25_listings_job", f"""WITH {_SITES}
 SELECT page_id, CASE size % 5 WHEN 0 THEN 'no_remote_roles' WHEN 1 THEN 'agent_failed' WHEN 2 THEN 'blocked' ELSE 'fetched' END AS outcome,
        CAST(CASE WHEN size % 5 >= 3 THEN 3 ELSE 0 END AS BIGINT) AS found, CAST(CASE WHEN size % 5 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS inserted,

@@ -358,6 +358,20 @@ def _d15c(t: Tables):
     return merge.backfill_counts(t.jobs, now())
 
 
+@query("d15_backfill_in_slots", _BACKFILL + """,
+r AS (SELECT job_id, coalesce(new_type, employment_type) AS employment_type, epoch_us(coalesce(new_time, posted_at)) AS posted_at FROM q)
+SELECT *, CAST(0 AS BIGINT) AS second_pass FROM r""")
+def _d15s(t: Tables):
+    from rolegrid.catalog.jobs import few_slots, slot_table
+    from rolegrid.operators import slots
+
+    table = slot_table(t, t.jobs, few_slots(slots.POSTINGS))
+    backfill = lambda df: merge.posting_backfill(df, now())
+    slots.maintain(table, backfill, ["employment_type", "posted_at"])
+    again = slots.maintain(table, backfill, ["employment_type", "posted_at"])[1]
+    return table.rows().select("job_id", "employment_type", F.unix_micros("posted_at").alias("posted_at"), F.lit(len(again)).cast("bigint").alias("second_pass"))
+
+
 @query("d16_column_backfills", """
 SELECT company_id, CAST(CASE index_membership WHEN 'sp500' THEN 20 WHEN 'sp400' THEN 21 WHEN 'sp600' THEN 22 END AS BIGINT) AS platform_id,
        CASE WHEN listings_url IS NOT NULL THEN true ELSE listings_url_remote_confirmed END AS confirmed FROM companies""")

@@ -11,10 +11,12 @@ has value 0 and all others minus infinity.
   gives a chunk's matrix: which state at its right cut follows from which at its left. Words wholly inside are encoded
   by the library once, whatever the states; only the parts of words at the ends (or a chunk without a word beginning)
   are searched.
-* ``resolve`` combines matrices associatively, forwards and backwards, and leaves one state per cut. It handles only
-  the matrices of one document, a few hundred bytes per chunk of a text that is itself one row.
+* ``combine`` is the associative product of two matrices. Each RANGE neighbouring chunks are combined by a task of their
+  own; the products of a document leave one state at each border of the ranges, and ``resolve`` one at each cut inside a range.
 * ``backtrace`` then finds each chunk's pieces by itself.
 
+A model that is not BPE, or that normalises texts, is refused.
+
 Decoding joins the pieces' bytes (byte pieces included), turns U+2581 into a blank and drops the first one.
 
 Edge cases: null or empty text has no ids; U+2581 in a text counts as a blank, as in the library; characters outside
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,32 @@ from pyspark.sql import functions as F
 
 from rolegrid.llm.shared import narrow, stash
 
-CHUNK = 65_536
+CHUNK = 16_384
+#: Chunks whose matrices one task combines.
+RANGE = 256
 #: Documents whose ids are held as Python numbers at a time.
-ROWS = 256
+ROWS = 128
 BLANK = "▁"
 EDGE = (0, 0)
 State = tuple[int, int]
 _models: dict[str, Pieces] = {}
 
 
+def check_model(serialized: bytes) -> None:
+    """Raise unless the scan gives this model's ids: BPE, texts taken as they are but for blanks."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(serialized)
+    norm, train = model.normalizer_spec, model.trainer_spec
+    if train.model_type != train.BPE:
+        raise ValueError("not a BPE model: its pieces are not decided by their neighbours alone")
+    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces or train.treat_whitespace_as_suffix:
+        raise ValueError("the model changes texts before it cuts them")
+    if not train.byte_fallback:
+        raise ValueError("the model has no byte pieces for characters outside its vocabulary")
+
+
 class Pieces:
     """A BPE model file: its pieces, and which pieces may stand side by side."""
 
@@ -51,6 +71,7 @@ class Pieces:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_model(sp.serialized_model_proto())
         plain = [n for n in range(sp.vocab_size()) if not (sp.is_control(n) or sp.is_unknown(n) or sp.is_byte(n) or sp.is_unused(n))]
         self.ids = {sp.id_to_piece(n): n for n in plain}
         self.scores = {p: sp.get_score(n) for p, n in self.ids.items()}
@@ -88,7 +109,7 @@ class Pieces:
     def beside(self, a: str, b: str) -> bool:
         key = (a, b)
         if key not in self._pairs:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 100_000:
                 self._pairs.clear()
             self._pairs[key] = self.merge(a + b) == [a, b]
         return self._pairs[key]
@@ -236,13 +257,18 @@ def combine(a: list[tuple[State, State]], b: list[tuple[State, State]]) -> list[
     return sorted({(x, z) for x, y in a for z in after.get(y, ())})
 
 
-def resolve(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The one state at every cut, ends included, that lies on a path of value 0 through all matrices."""
-    reach: list[set[State]] = [{EDGE}]
+def product(matrices: list[list[tuple[State, State]]]) -> list[tuple[State, State]]:
+    """All matrices combined, in order."""
+    return reduce(combine, matrices)
+
+
+def resolve(matrices: list[list[tuple[State, State]]], came: State = EDGE, goes: State = EDGE) -> list[State]:
+    """The one state at every cut, ends included, that lies on a path of value 0 from came to goes."""
+    reach: list[set[State]] = [{came}]
     for m in matrices:
         reach.append({y for x, y in m if x in reach[-1]})
-    back: set[State] = {EDGE}
-    out = [EDGE]
+    back: set[State] = {goes}
+    out = [goes]
     for k in range(len(matrices) - 1, -1, -1):
         back = {x for x, y in matrices[k] if y in back} & reach[k]
         if len(back) != 1:
@@ -290,6 +316,18 @@ def _part(model: Pieces, r: dict) -> Part:
     return Part(model, r["body"], r["left"], r["right"], r["k"] == 0, r["k"] == r["n"] - 1)
 
 
+def _packed(matrix: list[tuple[State, State]]) -> list[list[int]]:
+    return [[*a, *b] for a, b in matrix]
+
+
+def _matrices(table: pa.Table) -> list[list[tuple[State, State]]]:
+    return [[((a, b), (c, d)) for a, b, c, d in m] for m in table["matrix"].to_pylist()]
+
+
+def _states(found: list[State]) -> pa.Array:
+    return pa.array([list(x) for x in found], pa.list_(pa.int32()))
+
+
 def _giants(docs: DataFrame, model: str, size: int) -> DataFrame:
     """(doc_id, ids, n_chunks) of documents that are cut into chunks."""
     rows = stash(_chunks(docs, model, size), "chunks")
@@ -297,49 +335,67 @@ def _giants(docs: DataFrame, model: str, size: int) -> DataFrame:
 
     def transfers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [_part(pieces(model), r).transfer() for r in part.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part["mark"], part["k"], pa.array([[[*a, *b] for a, b in m] for m in got], pa.list_(pa.list_(pa.int32())))], names=["mark", "k", "matrix"])
+            got = [_packed(_part(pieces(model), r).transfer()) for r in part.to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["mark"], part["k"], pa.array(got, pa.list_(pa.list_(pa.int32())))], names=["mark", "k", "matrix"])
+
+    def products(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        return pa.table({"mark": table["mark"][:1], "r": table["r"][:1], "matrix": pa.array([_packed(product(_matrices(table)))], pa.list_(pa.list_(pa.int32())))})
+
+    def borders(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        found = resolve(_matrices(table))
+        return pa.table({"mark": table["mark"], "r": table["r"], "first": _states(found[:-1]), "last": _states(found[1:])})
 
     def states(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        found = resolve([[((a, b), (c, d)) for a, b, c, d in m] for m in table["matrix"].to_pylist()])
-        return pa.table({"mark": table["mark"], "k": table["k"], "came": pa.array([list(x) for x in found[:-1]], pa.list_(pa.int32())),
-                         "goes": pa.array([list(x) for x in found[1:]], pa.list_(pa.int32()))})
+        found = resolve(_matrices(table), tuple(table["first"][0].as_py()), tuple(table["last"][0].as_py()))
+        return pa.table({"mark": table["mark"], "k": table["k"], "came": _states(found[:-1]), "goes": _states(found[1:])})
 
     def traces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             got = [np.array(_part(pieces(model), r).backtrace(tuple(r["came"]), tuple(r["goes"])), "<i4").tobytes() for r in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([part["mark"], part["k"], pa.array(got, pa.binary())], names=["mark", "k", "ids"])
 
-    matrices = once.mapInArrow(transfers, "mark string, k int, matrix array<array<int>>")
-    resolved = matrices.groupBy("mark").applyInArrow(states, "mark string, k int, came array<int>, goes array<int>")
+    matrices = stash(once.mapInArrow(transfers, "mark string, k int, matrix array<array<int>>").withColumn("r", F.floor(F.col("k") / RANGE).cast("int")), "matrices")
+    ranges = matrices.groupBy("mark", "r").applyInArrow(products, "mark string, r int, matrix array<array<int>>")
+    ends = ranges.groupBy("mark").applyInArrow(borders, "mark string, r int, first array<int>, last array<int>")
+    resolved = matrices.join(ends, ["mark", "r"]).groupBy("mark", "r").applyInArrow(states, "mark string, k int, came array<int>, goes array<int>")
     found = once.join(resolved, ["mark", "k"]).mapInArrow(traces, "mark string, k int, ids binary")
     whole = found.groupBy("mark").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("parts"))
     return rows.where("k = 0").select("doc_id", "mark", F.col("n").alias("n_chunks")).join(whole, "mark").select("doc_id", "parts", "n_chunks")
 
 
-def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
-    """(doc_id, ids array<int>, n_chunks) of every row of docs."""
+ENCODED = "doc_id bigint, ids array<int>, n_chunks int"
+
+
+def encode(docs: DataFrame, model: str, size: int = CHUNK, with_text: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>, n_chunks) of every row of docs; with_text: and the text that its ids stand for, as
+    ``decode`` gives it, made by the same task."""
     held = narrow(docs, "doc_id", "text")
     long = F.char_length(F.coalesce("text", F.lit(""))) >= size
 
+    def rows(some: pa.RecordBatch, ids: list[np.ndarray], n_chunks: pa.Array) -> pa.RecordBatch:
+        columns, names = [some["doc_id"], pa.array(ids, pa.list_(pa.int32())), n_chunks], ["doc_id", "ids", "n_chunks"]
+        if with_text:
+            columns.append(pa.array([pieces(model).decode(x.tolist()) for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names + ["text"] * with_text)
+
     def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(0, part.num_rows, ROWS):
                 some = part.slice(k, ROWS)
-                got = [np.array(pieces(model).encode(t or ""), np.int32) for t in some["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(got, pa.list_(pa.int32())), pa.array([1] * len(got), pa.int32())], names=["doc_id", "ids", "n_chunks"])
+                ids = [np.array(pieces(model).encode(t or ""), np.int32) for t in some["text"].to_pylist()]
+                yield rows(some, ids, pa.array([1] * len(ids), pa.int32()))
 
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for k in range(0, part.num_rows, ROWS):
-                some = part.slice(k, ROWS)
-                got = [np.frombuffer(b"".join(p), "<i4") for p in some["parts"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(got, pa.list_(pa.int32())), some["n_chunks"]], names=["doc_id", "ids", "n_chunks"])
+            # A giant document at a time.
+            for k in range(part.num_rows):
+                some = part.slice(k, 1)
+                yield rows(some, [np.frombuffer(b"".join(p), "<i4") for p in some["parts"].to_pylist()], some["n_chunks"])
 
-    out = "doc_id bigint, ids array<int>, n_chunks int"
+    out = ENCODED + ", text string" * with_text
     return held.where(~long).mapInArrow(short, out).unionByName(_giants(held.where(long), model, size).mapInArrow(join, out))
 
 

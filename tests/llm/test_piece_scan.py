@@ -5,8 +5,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from rolegrid.llm import piece_scan
 from rolegrid.llm.catalog import QUERIES
-from rolegrid.llm.piece_scan import Part, combine, decode, encode, normal, pieces, resolve, split
+from rolegrid.llm.piece_scan import Part, check_model, combine, decode, encode, normal, pieces, product, resolve, split
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BITS = ["the", "internationalization", "\n", "  ", " ", "x", "é", "日本語", "aaaaaaa", "==========", "ing", "1234", "http://a.b/c", "   ", "\t", "𝔘", "▁", "ed and"]
@@ -38,7 +39,34 @@ def test_combining_is_associative_and_leaves_one_path():
     assert left == right == [((0, 0), (0, 0))]
 
 
-def test_documents_against_the_library(spark, docs_of, prose):
+@pytest.mark.parametrize("size,width", [(3, 2), (5, 3), (9, 4)])
+def test_products_of_ranges_leave_the_same_states(size, width):
+    ms = [p.transfer() for p in parts_of("aaaaaaaatheinternational==========1234ing and more" * 3, size)]
+    ranges = [ms[k : k + width] for k in range(0, len(ms), width)]
+    ends = resolve([product(r) for r in ranges])
+    inner = [resolve(r, a, b) for r, a, b in zip(ranges, ends, ends[1:])]
+    assert [x for r in inner for x in r[:-1]] + [inner[-1][-1]] == resolve(ms)
+
+
+def test_other_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    def changed(change):
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(pieces(MODEL).library.serialized_model_proto())
+        change(model)
+        return model.SerializeToString()
+
+    check_model(changed(lambda m: None))
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", m.trainer_spec.UNIGRAM), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"),
+                   lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False),
+                   lambda m: setattr(m.trainer_spec, "byte_fallback", False)):
+        with pytest.raises(ValueError):
+            check_model(changed(change))
+
+
+def test_documents_against_the_library(spark, docs_of, prose, monkeypatch):
+    monkeypatch.setattr(piece_scan, "RANGE", 3)
     texts = [None, "", " ", "  a", "▁▁", "a\x00b", "<s> <0x0A> </s>", prose(400), "x" * 900, prose(300) + "q" * 700 + prose(200), "é" * 333, prose(90), prose(90)]
     docs = docs_of(texts)
     m = pieces(MODEL)
@@ -47,6 +75,7 @@ def test_documents_against_the_library(spark, docs_of, prose):
         assert {k: list(r.ids) for k, r in got.items()} == {k: m.library.encode(t or "") for k, t in enumerate(texts)}
         assert all(got[k].text == (t or "").replace("▁", " ") for k, t in enumerate(texts))
         assert all(got[k].text == m.library.decode(list(got[k].ids)) for k, t in enumerate(texts))
+        assert sorted(encode(docs, MODEL, size, with_text=True).collect()) == sorted(got.values())
     assert got[7].n_chunks == 1
 
 

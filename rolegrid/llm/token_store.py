@@ -9,13 +9,13 @@ leaves no second copy):
   index), and data (the frames one after the other). A frame holds the ids as little-endian unsigned 32-bit
   integers. Parquet's statistics of first_doc and last_doc let ``read_documents`` open only the blocks it needs.
 
-Encoding: the tokenizers library, special tokens not added. The vocabulary's normaliser and splitter never join
-across a blank or line feed, so a text is encoded piece by piece and the ids of a piece are kept in a bounded
-per-worker cache; ids are those of the whole text (tests compare them).
+Encoding: the tokenizers library, special tokens not added. Where the file's normaliser and splitter never join
+across a blank or line feed (``cuts_at_blanks``), a text is encoded piece by piece and the ids of a piece are kept in a
+bounded per-worker cache; other files encode whole texts. Either way ids are those of the whole text (tests compare them).
 
 Edge cases: null or empty text is the end id alone; null doc_ids sort first; rows that repeat a doc_id each get an
 entry, ordered by text; an empty table gives an empty store. The dictionary is fitted on at most SAMPLE_DOCS
-documents (twice that at most) of at most SAMPLE_BYTES bytes, chosen by the hash of their ids: a documented bound for
+documents (twice that at most), SAMPLE_CHARS characters of each, chosen by the hash of their ids: a documented bound for
 fitting; every document is compressed. With too few of them there is none, and frames stand alone.
 """
 
@@ -40,11 +40,11 @@ END_ID = 1
 LEVEL = 3
 DICTIONARY_BYTES = 32_768
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 4_096
+SAMPLE_CHARS = 4_096
 BLOCK_BYTES = 1 << 20
 CACHE_PIECES = 500_000
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder | WholeTexts] = {}
 
 
 class PieceEncoder:
@@ -129,19 +129,49 @@ class PieceEncoder:
         return b"".join(map(self.young.__getitem__, pieces))
 
 
-def encoder(path: str) -> PieceEncoder:
+class WholeTexts:
+    """Ids of whole texts by any tokenizers file, a text at a time."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the ids of a text are those of its pieces between blanks and line feeds, one after the other: the file's
+    normaliser and splitter drop both, whatever stands beside them, and its model marks the end of each word."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if tokenizer.pre_tokenizer is None or getattr(tokenizer.model, "end_of_word_suffix", None) != "</w>":
+        return False
+    probe = "ab  c\nde. \n, f"
+    text = tokenizer.normalizer.normalize_str(probe) if tokenizer.normalizer else probe
+    return [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] == ["ab", "c", "de", ".", ",", "f"]
+
+
+def encoder(path: str) -> PieceEncoder | WholeTexts:
     """One encoder per Python worker and file."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path) if cuts_at_blanks(path) else WholeTexts(path)
     return _encoders[path]
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     held = narrow(docs, "doc_id", "text")
     every = max(1, held.count() // SAMPLE_DOCS)  # a bounded sample at every size; it only shapes the dictionary
+    # Of a longer text a part that starts anywhere, so that long texts shape it too.
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     rows = (
-        held.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & F.octet_length("text").between(1, SAMPLE_BYTES))
-        .select("text").limit(2 * SAMPLE_DOCS).collect()
+        held.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (F.octet_length("text") > 0))
+        .select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text")).limit(2 * SAMPLE_DOCS).collect()
     )
     encode = encoder(vocabulary)
     samples = [s for s in (encode(r.text) for r in rows) if s]

@@ -3,7 +3,7 @@
 ``write_archive`` keeps three tables in the shared folder:
 
 * ``dictionary``: one row with a zstandard dictionary shared by all payloads, and its SHA-256. It is fitted on at most
-  2 x SAMPLE pages of at most SAMPLE_BYTES bytes chosen by the hash of their ids (a documented bound on fitting);
+  2 x SAMPLE pages, SAMPLE_CHARS characters of each, chosen by the hash of their ids (a documented bound on fitting);
 * ``payloads``: each distinct payload once, under its SHA-256, with its length and its bytes in a zstandard frame;
 * ``headers``: one row per record with the exact bytes of its WARC header and HTTP header, the payload's SHA-256,
   and the part of the payload's references it belongs to.
@@ -37,7 +37,7 @@ REFERENCES = 500
 LEVEL = 3
 DICTIONARY_BYTES = 32_768
 SAMPLE = 300
-SAMPLE_BYTES = 16_384
+SAMPLE_CHARS = 16_384
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -102,7 +102,7 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES, path: str | None
     again = (F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("owner"))
     rows = owned.select(
         "page_id", "url", "sha256", "sha1", "n_bytes", F.when(again, F.col("owner")).alias("refers_to"),
-        F.pmod(F.xxhash64("page_id"), _parts(F.col("n_refs"))).cast("int").alias("part"))
+        F.pmod(F.xxhash64("page_id", "url", F.when(F.col("page_id").isNull(), F.rand())), _parts(F.col("n_refs"))).cast("int").alias("part"))
     _headers(rows).write.parquet(f"{path}/headers")
     # A payload's copies meet in one row per task before they are sent anywhere.
     shared = _train(pages)
@@ -116,8 +116,10 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES, path: str | None
 def _train(pages: DataFrame) -> bytes:
     held = narrow(pages, "page_id", "html")
     every = max(1, held.count() // SAMPLE)
-    some = held.where((F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & F.octet_length("html").between(64, SAMPLE_BYTES))
-    samples = [r.html.encode() for r in some.select("html").limit(2 * SAMPLE).collect()]
+    # Of a longer page a part that starts anywhere, so that long pages shape it too.
+    at = F.pmod(F.xxhash64("page_id", F.lit(1)), F.greatest(F.char_length("html") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    some = held.where((F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & (F.octet_length("html") >= 64))
+    samples = [r.html.encode() for r in some.select(F.substring("html", at, F.lit(SAMPLE_CHARS)).alias("html")).limit(2 * SAMPLE).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 20 else b""
     except zstandard.ZstdError:  # samples too alike or too short to train on

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rolegrid.llm.catalog import QUERIES
-from rolegrid.llm.token_store import read_documents, read_store, write_store
+from rolegrid.llm.token_store import cuts_at_blanks, read_documents, read_store, train_dictionary, write_store
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,3 +49,17 @@ def test_null_and_repeated_ids_and_empty_table(spark, docs_of):
 def test_query_against_whole_encodes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(QUERIES["op2_token_store"](spark, "/root/testdata/sf0.001")) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_another_vocabulary_gives_its_own_ids(spark, docs_of, prose):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert cuts_at_blanks(PATH) and not cuts_at_blanks(path)
+    texts = [prose(80), "  two  blanks \n and a line", "a b", "é ü 日本", "", None, prose(30)]
+    tok = Tokenizer.from_file(path)
+    want = {k: zlib.crc32(np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in read_store(spark, write_store(docs_of(texts), path)).collect()} == want
+
+
+def test_long_texts_get_a_dictionary_too(docs_of, prose):
+    docs = docs_of([prose(20_000) for _ in range(24)])
+    assert len(train_dictionary(docs, PATH)) > 1000

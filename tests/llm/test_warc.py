@@ -78,3 +78,10 @@ def test_the_sql_gives_the_same_rows(pages, sql):
     cols, want = sql(ORACLES["op8_warc"], pages=pages(rows).select("page_id", "url", "html"))
     assert cols == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(want, key=repr) == brute(rows)
+
+
+def test_copies_without_a_page_id_are_dealt_to_several_parts(spark):
+    pages = spark.createDataFrame([(None, "http://a/", "same payload " * 20)] * 3000, "page_id bigint, url string, html string")
+    path = write_archive(pages)
+    assert spark.read.parquet(f"{path}/headers").select("part").distinct().count() > 1
+    assert read_archive(spark, path).count() == 3000

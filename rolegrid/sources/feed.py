@@ -2,79 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.base import attach_row, let
+from rolegrid.sources.arrays import BLOCK, split_arrays
 
 # Element fields that must be text when present.
 TEXT_FIELDS = ["slug", "company", "position", "description", "location", "url", "apply_url", "company_logo", "date"]
 
 
-def _splitter():
-    """Splits JSON arrays into the texts of their elements exactly as written; None for anything else.
-
-    One pass over strings, brackets and commas, so neither depth nor size changes the result. Everything it
-    needs is local, so that it reaches the executors by value."""
-    import json
-    import re
-
-    mark = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}",]', re.DOTALL)
-    space = " \t\n\r"
-
-    def refuse(name):
-        raise ValueError(name)
-
-    def valid(text):
-        try:
-            json.loads(text, parse_constant=refuse)
-        except RecursionError:
-            return True  # nested beyond the parser; its brackets were matched one by one
-        except ValueError:
-            return False
-        return True
-
-    def split(body):
-        body = (body or "").strip(space)
-        if not body.startswith("[") or not body.endswith("]") or len(body) < 2:
-            return None
-        parts, start, open_ = [], 1, []
-        last = len(body) - 1
-        for m in mark.finditer(body, 1, last):
-            t = body[m.start()]
-            if t in "[{":
-                open_.append(t)
-            elif t in "]}":
-                if not open_ or open_.pop() + t not in ("[]", "{}"):
-                    return None
-            elif t == "," and not open_:
-                parts.append(body[start : m.start()].strip(space))
-                start = m.end()
-            elif m.end() - m.start() == 1 and t == '"':
-                return None  # a string without an end
-        tail = body[start:last].strip(space)
-        if open_:
-            return None
-        if tail or parts:
-            parts.append(tail)
-        return parts if all(map(valid, parts)) else None
-
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(split)
-
-    return F.pandas_udf(run, "array<string>")
-
-
-def scan_feed(captures: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+def scan_feed(captures: DataFrame, body: str = "body", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(elements, rejects). Each array element comes out as its own text with its index, uninspected;
-    a JSON null is an empty feed; anything but a valid array is a reject."""
-    others = [x for x in captures.columns if x != body]
-    split = captures.withColumn("__parts", _splitter()(F.col(body)))
-    elements = split.filter("__parts is not null").select(*others, F.posexplode("__parts").alias("idx", "element"))
+    a JSON null is an empty feed; anything but a valid array is a reject. A body larger than ``block``
+    bytes is scanned by many tasks."""
+    elements, rest = split_arrays(captures, body, block)
     blank = F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"^\s+|\s+$", "")
-    rejects = split.filter(F.col("__parts").isNull() & (blank != "null")).drop("__parts")
-    return elements.withColumn("idx", F.col("idx").cast("bigint")), rejects
+    return elements, rest.filter(blank != "null").select(*captures.columns)
 
 
 def _kind(v: Column) -> Column:

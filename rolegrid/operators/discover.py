@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from rolegrid.functions.base import ColumnOrName, c, let
 from rolegrid.operators.gate import gate
 from rolegrid.operators.ranking import best_anchor, first_per_group, top_k
 from rolegrid.operators.scans import bucket, running_sum
+from rolegrid.session import cut
 
 RESPONSE_COLUMNS = ["status", "response_url", "content_type", "body", "truncated", "transport_error", "timed_out"]
 
@@ -112,8 +115,8 @@ def robots_lines(robots: DataFrame, host: str = "host", body: str = "body") -> D
     """(host, line_no, field, value) of usable robots lines; comments are cut."""
     lines = robots.select(host, F.posexplode(F.split(body, "\n")).alias("line_no", "raw"))
     line = F.trim(F.regexp_replace(F.regexp_replace("raw", "#[\\s\\S]*$", ""), "[\\r\\t]", " "))
-    cut = lines.withColumn("line", line).filter(F.col("line").contains(":"))
-    return cut.select(
+    usable = lines.withColumn("line", line).filter(F.col("line").contains(":"))
+    return usable.select(
         host, F.col("line_no").cast("bigint").alias("line_no"),
         F.lower(F.trim(F.regexp_extract("line", "^([^:]*):", 1))).alias("field"),
         F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"),
@@ -156,11 +159,12 @@ def pattern_regex(pattern: ColumnOrName) -> Column:
 
 
 def robots_rules(robots: DataFrame, agent: str, host: str = "host", body: str = "body") -> DataFrame:
-    """Rules and crawl delay of the group an agent falls under, one row per host.
+    """The rules of the group an agent falls under, a row per rule: host, crawl_delay, len, allow, head, regex.
 
-    The first group named by the agent wins, else the first ``*`` group. One host's rules stay one
-    array: a robots body is read up to 1 MiB, which bounds it. ``status`` (when there) decides
-    unreadable hosts: 404 and 410 allow everything, anything but 200 denies everything.
+    The first group named by the agent wins, else the first ``*`` group. ``head`` is what a matching path has to begin
+    with: all of a plain pattern, the text before the wildcard or anchor of another, which ``regex`` then decides. A host
+    without rules has one row without ``head``. ``status`` (when there) decides unreadable hosts: 404 and 410
+    allow everything, anything but 200 denies everything.
     """
     lines = robots_groups(robots, host, body)
     want = agent.lower()
@@ -169,39 +173,48 @@ def robots_rules(robots: DataFrame, agent: str, host: str = "host", body: str =
     heads = lines.filter(F.col("field") == "user-agent").groupBy(host).agg(
         F.coalesce(F.min(F.when(named, F.col("grp"))), F.min(F.when(value == "*", F.col("grp")))).alias("__grp")
     )
-    delay = F.col("value").try_cast("double")
     chosen = lines.join(heads, host).filter((F.col("grp") == F.col("__grp")) & (F.col("field") != "user-agent"))
-    # Most rules are plain prefixes; only those with a wildcard or an anchor are regular expressions.
+    said = F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))
+    delay = F.when(said >= 0, said)
+    delays = chosen.groupBy(host).agg(F.max_by(delay, F.when(delay.isNotNull(), F.col("line_no"))).alias("__delay"))
     plain = ~F.col("value").contains("*") & ~F.col("value").endswith("$")
-    rule = F.when(F.col("field").isin("allow", "disallow") & (F.col("value") != ""), F.struct(
-        F.length("value").alias("len"), (F.col("field") == "allow").alias("allow"),
-        F.when(plain, F.col("value")).alias("prefix"), F.when(~plain, pattern_regex("value")).alias("regex"),
-    ))
-    rules = chosen.groupBy(host).agg(
-        F.collect_list(rule).alias("rules"),
-        F.max_by(F.when((F.col("field") == "crawl-delay") & (delay >= 0), delay), F.when((F.col("field") == "crawl-delay") & (delay >= 0), F.col("line_no"))).alias("crawl_delay"),
+    rules = chosen.filter(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).select(
+        host, F.length("value").alias("len"), (F.col("field") == "allow").alias("allow"),
+        F.regexp_extract(F.regexp_replace("value", r"\$$", ""), r"^([^*]*)", 1).alias("head"), F.when(~plain, pattern_regex("value")).alias("regex"),
     )
-    everyone = robots.select(host, *[x for x in ["status"] if x in robots.columns]).join(rules, host, "left")
-    deny = F.array(F.struct(F.lit(1).alias("len"), F.lit(False).alias("allow"), F.lit("/").alias("prefix"), F.lit(None).cast("string").alias("regex")))
-    none = F.array().cast("array<struct<len:int,allow:boolean,prefix:string,regex:string>>")
-    if "status" in robots.columns:
-        st = F.coalesce(F.col("status"), F.lit(0))
-        kept = F.when(st == 200, F.coalesce("rules", none)).when(st.isin(404, 410), none).otherwise(deny)
-        wait = F.when(st == 200, F.col("crawl_delay"))
-    else:
-        kept, wait = F.coalesce("rules", none), F.col("crawl_delay")
-    return everyone.select(host, kept.alias("rules"), F.coalesce(wait, F.lit(0.0)).alias("crawl_delay"))
+    status = F.coalesce(F.col("status"), F.lit(0)) if "status" in robots.columns else F.lit(200)
+    hosts = robots.select(host, status.alias("__status")).join(delays, host, "left")
+    wait = F.coalesce(F.when(F.col("__status") == 200, F.col("__delay")), F.lit(0.0)).alias("crawl_delay")
+    read = hosts.filter("__status = 200").join(rules, host, "left")
+    denied = ~F.col("__status").isin(404, 410)
+    unread = hosts.filter("__status <> 200").select(
+        host, wait, F.when(denied, 1).alias("len"), F.when(denied, F.lit(False)).alias("allow"), F.when(denied, "/").alias("head"), F.lit(None).cast("string").alias("regex"))
+    return read.select(host, wait, "len", "allow", "head", "regex").unionByName(unread)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host") -> DataFrame:
-    """Adds ``allowed``: the longest matching pattern wins, allow wins ties, no match allows. A host
-    without a rules row was never readable and is denied."""
+    """Adds ``allowed`` and ``crawl_delay``: the longest matching pattern wins, allow wins ties, no match allows. A host
+    without a rules row was never readable and is denied.
+
+    A longest-prefix join: each distinct path of a host is looked up under its beginnings, of the lengths only that
+    the host's rules have, by equality on host and beginning. So a host with very many rules or URLs spreads over tasks,
+    and a path meets only rules that begin like it. The lengths per host stay few: n different ones take n^2 / 2 bytes of rules.
+    """
     path = F.coalesce(F.nullif(U.decoded_path(url), F.lit("")), F.lit("/"))
-    j = urls.withColumn("__path", path).join(rules.select(host, "rules", "crawl_delay"), host, "left")
-    hits = F.filter("rules", lambda r: F.when(r["prefix"].isNotNull(), F.col("__path").startswith(r["prefix"])).otherwise(F.regexp_like(F.col("__path"), r["regex"])))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
-    allowed = F.when(F.col("rules").isNull(), F.lit(False)).otherwise(F.coalesce(best["allow"], F.lit(True)))
-    return j.withColumn("allowed", allowed).drop("__path", "rules")
+    placed = urls.withColumn("__path", path)
+    asked = placed.select(F.col(host).alias("__host"), F.col("__path").alias("__at")).distinct()
+    r = rules.filter(F.col("head").isNotNull()).select(F.col(host).alias("__host"), F.col("head").alias("__head"), "regex", F.struct("len", "allow").alias("__rule"))
+    lengths = r.select("__host", F.length("__head").alias("n")).distinct().groupBy("__host").agg(F.collect_list("n").alias("__lengths"))
+    beginnings = asked.join(lengths, "__host").select(
+        "__host", "__at", F.explode(F.filter("__lengths", lambda n: n <= F.length("__at"))).alias("__n"))
+    probes = beginnings.select("__host", "__at", F.left("__at", F.col("__n")).alias("__head"))
+    hits = probes.join(r, ["__host", "__head"]).filter(F.col("regex").isNull() | F.regexp_like("__at", F.col("regex")))
+    best = hits.groupBy("__host", "__at").agg(F.max("__rule")["allow"].alias("__best"))
+    known = rules.groupBy(F.col(host).alias("__known")).agg(F.max("crawl_delay").alias("crawl_delay"))
+    decided = placed.join(best, (F.col(host) == F.col("__host")) & (F.col("__path") == F.col("__at")), "left").drop("__host", "__at")
+    j = decided.join(known, F.col(host) == F.col("__known"), "left")
+    allowed = F.when(F.col("__known").isNull(), F.lit(False)).otherwise(F.coalesce("__best", F.lit(True)))
+    return j.withColumn("allowed", allowed).drop("__path", "__best", "__known")
 
 
 # --- sitemaps -----------------------------------------------------------------------------------
@@ -306,13 +319,26 @@ def ladder_candidates(homes: DataFrame, responses: DataFrame, max_candidates: in
 
 def climb(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """Judge candidates; the first accepted one ends a company's ladder and later ones are not
-    attempts. Adds ``gate`` and ``is_answer``."""
-    judged = gate(fetch(candidates, responses), strict=False)
-    stop = judged.groupBy("company_id").agg(F.min(F.when(F.col("gate.status") == "accepted", F.col("rank"))).alias("__stop"))
-    j = judged.join(stop, "company_id")
-    return j.filter(F.col("__stop").isNull() | (F.col("rank") <= F.col("__stop"))).withColumn(
-        "is_answer", F.coalesce(F.col("rank") == F.col("__stop"), F.lit(False))
-    ).drop("__stop")
+    attempts. Adds ``gate`` and ``is_answer``.
+
+    Candidates are taken in rounds by rank: the first, the next two, the next four and so on, each time of companies
+    without an answer yet. So a company's candidates after its answer are neither joined nor judged, but for those of the
+    round that found it, and the number of rounds is the logarithm of the longest ladder.
+    """
+    open_ = cut(candidates)
+    # The responses that any candidate asks for; the rounds do not shuffle the others.
+    asked = cut(responses.join(open_.select("url").distinct(), "url", "left_semi"))
+    out, low = [], 1
+    while True:
+        high = 2 * low - 1
+        judged = cut(gate(fetch(open_.filter(F.col("rank").between(low, high)), asked), strict=False))
+        stop = judged.filter(F.col("gate.status") == "accepted").groupBy("company_id").agg(F.min("rank").alias("__stop"))
+        j = judged.join(stop, "company_id", "left").filter(F.col("__stop").isNull() | (F.col("rank") <= F.col("__stop")))
+        out.append(j.withColumn("is_answer", F.coalesce(F.col("rank") == F.col("__stop"), F.lit(False))).drop("__stop"))
+        open_ = cut(open_.filter(F.col("rank") > high).join(stop, "company_id", "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        low = high + 1
 
 
 def first_accepted(ranked: DataFrame, key: str, rank: str, accepted: ColumnOrName, cap: int | None = None) -> DataFrame:

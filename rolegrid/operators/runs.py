@@ -182,10 +182,14 @@ def step_histogram(per_run: DataFrame) -> DataFrame:
 
 def step_latency(events: DataFrame, order: str = "seq", by: Column | None = None) -> DataFrame:
     """Seconds since the previous stamped step of the run in ``order``, which stamps need not follow:
-    (run_id, step, latency_s). ``by`` must rise with ``order``."""
-    stamped = events.filter((F.col("event") == "step") & F.col("ts").isNotNull()).select("run_id", order, "step", "ts")
+    (run_id, step, latency_s). ``by`` must rise with ``order``.
+
+    A step is stamped if it has any text for a stamp (``ts_text``, where the table has it); a stamp that is no
+    instant gives neither its own step nor the next one a latency, and is not bridged."""
+    stamp = F.nullif(F.col("ts_text"), F.lit("")) if "ts_text" in events.columns else F.col("ts")
+    stamped = events.filter((F.col("event") == "step") & stamp.isNotNull()).select("run_id", order, "step", "ts")
     gaps = previous(stamped, ["run_id"], [order], by if by is not None else bucket(order), ["ts"])
-    return gaps.filter(F.col("prev_ts").isNotNull()).select(
+    return gaps.filter(F.col("prev_ts").isNotNull() & F.col("ts").isNotNull()).select(
         "run_id", "step", times.duration_seconds("prev_ts", "ts").alias("latency_s")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolegrid.functions.base import ColumnOrName, attach_row, c
 from rolegrid.functions.text import log_int
 from rolegrid.functions.times import parse_instant
+from rolegrid.sources.lines import read_lines
 
 TRACE_SCHEMA = (
     "event string, step bigint, url string, thinking string, evaluation_previous_goal string, memory string, "
@@ -28,35 +29,24 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(run_of_path("path").alias("run_id")).filter(F.col("run_id").isNotNull())
 
 
-def file_order(spark: SparkSession) -> Column:
-    """Order of a line within its file, also when the file is read in splits: the split's offset in
-    MiB, then the row within the task. Splits below 1 MiB would share a number, so settings that allow
-    them are refused."""
-    conf = spark._jsparkSession.sessionState().conf()
-    if min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()) < 1 << 20:
-        raise ValueError("line order needs spark.sql.files.maxPartitionBytes and openCostInBytes of 1 MiB or more")
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33) + within
-
-
 def parse_trace_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Events of trace lines; blank and invalid lines are skipped."""
+    """Events of trace lines; blank and invalid lines are skipped. ``ts_text`` is the stamp as written, also where it
+    is no instant."""
     others = [x for x in lines.columns if x != line]
     valid = lines.filter((F.trim(line) != "") & F.try_parse_json(line).isNotNull())
-    return valid.select(*others, F.from_json(line, TRACE_SCHEMA).alias("e")).select(*others, "e.*").withColumn("ts", parse_instant("ts"))
+    return valid.select(*others, F.from_json(line, TRACE_SCHEMA).alias("e")).select(*others, "e.*").withColumns({"ts": parse_instant("ts"), "ts_text": F.col("ts")})
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, seq, event, ...) of every trace file."""
-    text = spark.read.text(path).select(run_of_path("_metadata.file_path").alias("run_id"), file_order(spark).alias("seq"), "value")
-    return parse_trace_lines(text)
+def read_traces(spark: SparkSession, path: str, run: Column | None = None) -> DataFrame:
+    """(run_id, seq, event, ...) of every trace file; seq is the line's number. ``run`` reads the run off ``path``
+    where files are not named by it."""
+    lines = read_lines(spark, path).select((run_of_path("path") if run is None else run).alias("run_id"), F.col("line_no").alias("seq"), "value")
+    return parse_trace_lines(lines)
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, line_no, line) of run log files; line_no orders the lines of a file."""
-    return spark.read.text(path).select(
-        run_of_path("_metadata.file_path").alias("run_id"), file_order(spark).alias("line_no"), F.col("value").alias("line")
-    )
+def read_log_lines(spark: SparkSession, path: str, run: Column | None = None) -> DataFrame:
+    """(run_id, line_no, line) of run log files."""
+    return read_lines(spark, path).select((run_of_path("path") if run is None else run).alias("run_id"), "line_no", F.col("value").alias("line"))
 
 
 def grep_log(lines: DataFrame, grep: str | None = None, max_lines: int | None = None) -> DataFrame:

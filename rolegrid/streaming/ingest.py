@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rolegrid.operators import slots
+from rolegrid.sources.lines import tail_lines
 from rolegrid.sources.traces import parse_trace_lines, run_of_path
 
 
-def tail_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace events as they are written: a file source over trace files, append output. Only closed
-    files are seen, so writers roll files per flush."""
-    text = spark.readStream.format("text").load(path).select(run_of_path(F.input_file_name()).alias("run_id"), "value")
+def tail_traces(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Trace events as they are written, append output: (run_id, seq, event, ...) of every finished line, ``seq`` in the
+    order of the file. Files may grow; a stream that is started again goes on where it stopped inside each."""
+    text = tail_lines(spark, path, suffix).select(run_of_path("path").alias("run_id"), "seq", "value")
     return parse_trace_lines(text)
 
 

@@ -1,5 +1,7 @@
 """Gate decision tables, robots, sitemaps, ladder, homepages, wikitext."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,62 @@ def test_robots(spark):
     assert delay["crawl_delay"] == 2.5
 
 
+def test_a_host_with_many_rules_and_urls(spark):
+    """The join gives what one rule after the other gives, and one row per URL row."""
+    rng = random.Random(5)
+    parts = ["/a", "/b", "/ab", "/a/b", "/x.pdf", "*", "/*.pdf", "$", "/a*b", "/jobs/"]
+    rules = [(rng.random() < 0.4, "".join(rng.sample(parts, rng.randrange(1, 4))).replace("$", "") + rng.choice(["", "", "$"])) for _ in range(300)]
+    rules = [(ok, p) for ok, p in rules if p]
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if ok else 'Disallow'}: {p}" for ok, p in rules)
+    paths = ["".join(rng.choice(["/a", "/b", "b", "/x.pdf", "/jobs/", "1"]) for _ in range(rng.randrange(0, 6))) for _ in range(200)]
+    paths = [p if p.startswith("/") else "/" + p for p in paths] + ["/a", "/a"]
+
+    def matches(pattern, path):
+        bare, end = pattern.removesuffix("$"), pattern.endswith("$")
+        if "*" not in bare:
+            return path == bare if end else path.startswith(bare)
+        segments, at = bare.split("*"), 0
+        for k, s in enumerate(segments):
+            found = path.find(s, at)
+            if s and (found < 0 or (k == 0 and found > 0)):
+                return False
+            at = found + len(s) if s else at
+        return path.endswith(segments[-1]) if end else True
+
+    def verdict(path):
+        hits = [(len(p), ok) for ok, p in rules if matches(p, path)]
+        return max(hits)[1] if hits else True
+
+    urls = [f"https://a.com{p}" for p in paths]
+    assert allowed(spark, body, urls) == [verdict(p) for p in paths]
+    u = spark.createDataFrame([("https://b.com/x", "b.com"), ("https://c.com/x", None)], "url string, host string")
+    unknown = discover.robots_allowed(u, discover.robots_rules(spark.createDataFrame([("a.com", body)], "host string, body string"), "bot"))
+    assert [r["allowed"] for r in unknown.collect()] == [False, False]
+
+
+def test_climbing_stops_at_the_answer(spark, monkeypatch):
+    rng = random.Random(6)
+    good = "<title>Careers at Acme</title>open positions"
+    answers = {1: 1, 2: 2, 3: 5, 4: None, 5: 13, 6: 3}
+    ranks = {1: 9, 2: 4, 3: 5, 4: 7, 5: 20, 6: 3}
+    fine = {(c, k): bool(answers[c]) and (k == answers[c] or k > answers[c] and rng.random() < 0.5) for c, n in ranks.items() for k in range(1, n + 1)}
+    urls = lambda c, k: f"https://acme.com/{'careers' if fine[c, k] else 'p'}/{c}/{k}"
+    cands = spark.createDataFrame(
+        [(c, "Acme", urls(c, k), "https://acme.com/", "career_site", "sitemap", 2, k) for c, n in ranks.items() for k in range(1, n + 1)],
+        "company_id int, company_name string, url string, base string, kind string, source string, tier int, rank int")
+    responses = spark.createDataFrame(
+        [(urls(c, k), "", 200, "text/html", good if fine[c, k] else "<title>Nothing</title>", False, None, False) for c, n in ranks.items() for k in range(1, n + 1)],
+        "url string, final_url string, status int, content_type string, body string, truncated boolean, transport_error string, timed_out boolean")
+    judged, whole = [], discover.gate(discover.fetch(cands, responses), strict=False)
+    monkeypatch.setattr(discover, "gate", lambda rows, **kw: (judged.append(rows.count()), gate(rows, **kw))[1])
+    got = discover.climb(cands, responses)
+    assert {r["company_id"]: r["rank"] for r in got.filter("is_answer").collect()} == {c: k for c, k in answers.items() if k}
+    want = discover.first_accepted(whole, "company_id", "rank", F.col("gate.status") == "accepted")
+    same = ["company_id", "rank", "gate"]
+    assert sorted(map(repr, got.select(*same).collect())) == sorted(map(repr, want.select(*same).collect()))
+    assert sum(judged) < 2 * want.count() and len(judged) == 4 and judged[0] == 6
+
+
 def test_robots_hints(spark):
     body = ROBOTS + "\nDisallow: /JOBS/internal # x\nsitemap:\nAllow: /vacancies"
     got = discover.robots_hints(spark.createDataFrame([("a", body)], "host string, body string")).orderBy("line_no").collect()

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.operators import logs, merge, runs, slots
+from rolegrid.sources import lines
 from rolegrid.streaming import ingest, stateful
 from rolegrid.streaming import logs as slogs
 
@@ -76,12 +77,43 @@ def test_collector_resumes(spark, tmp_path):
     assert sorted((r["run_id"] or "-", r["level"] or "-") for r in got.collect()) == [("-", "-"), ("1", "error"), ("3", "error")]
 
 
-def test_trace_tail(spark, tmp_path):
-    d = tmp_path / "tr"
+def test_trace_tail_goes_on_inside_a_growing_file(spark, tmp_path):
+    d, ck = tmp_path / "tr", str(tmp_path / "ck")
     d.mkdir()
-    (d / "5.jsonl").write_text('{"event":"step","step":1}\nnot json\n\n{"event":"done","success":true}\n')
-    got = drain(ingest.tail_traces(spark, str(d)).select("run_id", "event", "step"), "tt", "append", tmp_path)
-    assert sorted((r["run_id"], r["event"]) for r in got.collect()) == [(5, "done"), (5, "step")]
+    seen = []
+
+    def follow():
+        q = ingest.tail_traces(spark, str(d), ".jsonl").select("run_id", "seq", "event", "step").writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", ck).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r["run_id"], r["seq"], r["event"], r["step"]) for r in seen)
+
+    (d / "5.jsonl").write_text('{"event":"step","step":1}\nnot json\n\n{"event":"st')
+    (d / "note.txt").write_text('{"event":"done"}\n')
+    assert follow() == [(5, 0, "step", 1)]
+    with (d / "5.jsonl").open("a") as f:
+        f.write('ep","step":2}\n{"event":"done","success":true}\n')
+    (d / "6.jsonl").write_text("".join('{"event":"step","step":%d}\n' % k for k in range(50)))
+    got = follow()
+    assert got[:3] == [(5, 0, "step", 1), (5, 36, "step", 2), (5, 62, "done", None)]
+    assert [(r[0], r[3]) for r in got[3:]] == [(6, k) for k in range(50)]
+    assert follow() == got
+
+
+def test_ranges_of_bytes_give_every_ended_line_once(tmp_path):
+    rng = random.Random(2)
+    text = b"".join(bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 200]))) + b"\n" for _ in range(60)) + b"no end"
+    path = tmp_path / "x.log"
+    path.write_bytes(text)
+    want, at = [], 0
+    for line in text.split(b"\n")[:-1]:
+        want.append((at, line))
+        at += len(line) + 1
+    for size in (1, 2, 7, 64, 150, len(text)):
+        got = [x for a in range(0, len(text), size) for x in lines.ended_lines(str(path), a, min(a + size, len(text)))]
+        assert got == want
 
 
 JOBS = "job_id bigint, company_id bigint, discovery_platform_id bigint, external_id string, title string, status string, raw_data string, first_seen_at timestamp, last_seen_at timestamp, created_at timestamp, updated_at timestamp"

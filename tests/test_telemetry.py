@@ -103,15 +103,31 @@ def trace_dir(tmp_path):
     return str(tmp_path)
 
 
-def test_line_order_refuses_small_splits(spark, trace_dir):
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "100k")
+def test_line_numbers_at_any_split_size(spark, tmp_path):
+    texts = {k: [f"line {i} " + "x" * (i * k % 97) if i % 11 else "" for i in range(200 * k)] for k in (1, 2, 3)}
+    for k, lines in texts.items():
+        (tmp_path / f"{k}.log").write_text("\n".join(lines) + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in sizes}
     try:
-        with pytest.raises(ValueError, match="1 MiB"):
-            traces.read_traces(spark, trace_dir)
+        for small in (True, False):
+            for k, v in sizes.items():
+                spark.conf.set(k, v if small else before[k])
+            frame = traces.read_log_lines(spark, str(tmp_path))
+            got = {}
+            for r in frame.collect():
+                got.setdefault(r["run_id"], []).append((r["line_no"], r["line"]))
+            assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v, 1)) for k, v in texts.items()}
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_stamp_that_is_no_instant_is_not_bridged(spark, tmp_path):
+    stamps = ["2026-01-01T00:00:00Z", "not a time", "2026-01-01T00:00:30Z", "", "2026-01-01T00:00:31Z"]
+    (tmp_path / "4.jsonl").write_text("".join(json.dumps({"event": "step", "step": k, "ts": t}) + "\n" for k, t in enumerate(stamps, 1)))
+    got = runs.step_latency(traces.read_traces(spark, str(tmp_path))).collect()
+    assert [(r["step"], r["latency_s"]) for r in got] == [(5, 1.0)]
 
 
 def test_traces(spark, trace_dir):
@@ -179,7 +195,7 @@ def test_log_attribution_and_grep(spark):
 
 def test_read_log_files(spark, tmp_path):
     (tmp_path / "5.log").write_text("a\nb")
-    assert [(r["run_id"], r["line_no"], r["line"]) for r in traces.read_log_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(5, 0, "a"), (5, 1, "b")]
+    assert [(r["run_id"], r["line_no"], r["line"]) for r in traces.read_log_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(5, 1, "a"), (5, 2, "b")]
 
 
 # --- logs ---------------------------------------------------------------------------------------

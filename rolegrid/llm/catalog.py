@@ -133,10 +133,7 @@ keyed AS (
   SELECT doc_id, host, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines),
-hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM keyed GROUP BY host),
-often AS (
-  SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n_docs FROM keyed GROUP BY host, key) JOIN hosts USING (host)
-  WHERE n_docs > 20 AND n_docs > 0.01 * host_docs),
+often AS (SELECT host, key FROM keyed GROUP BY host, key HAVING count(DISTINCT doc_id) > 20),
 lost AS (
   SELECT doc_id, CAST(sum(words) AS BIGINT) AS removed FROM keyed SEMI JOIN often USING (host, key) GROUP BY doc_id),
 base AS (

@@ -3,7 +3,7 @@
 Words are maximal runs without ASCII space. Per document: word_chars, n_symbols, n_dup_lines, n_repeat_words and the
 base verdict (``base_failed``). Across documents: a line is normalised (ASCII space stripped at both ends, A-Z
 lower-cased) and hashed; ``line_frequency`` counts the distinct documents of a host that have it. A line in more
-documents of a host than ``max(MIN_DOCS, SHARE x the host's documents)`` is removed from that host's documents, and a
+than MIN_DOCS documents of a host, however large the host, is removed from that host's documents, and a
 document that loses more than DEPLETED of its words is rejected. ``quality_rules`` returns the kept documents' texts
 without such lines.
 
@@ -30,7 +30,6 @@ GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MIN_DOCS = 20
-SHARE = 0.01
 DEPLETED = 0.5
 #: Up to so many distinct repeated windows a list is searched for each window.
 _SHORT = 24
@@ -101,11 +100,9 @@ def host_name(source: str = "source") -> Column:
     return F.coalesce(source, F.lit("\u0000"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, h1, h2) of the lines above their host's limit."""
-    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return line_frequency(lines).where(F.col("n_docs") > min_docs).join(hosts, "host").where(
-        F.col("n_docs") > share * F.col("host_docs")).select("host", "h1", "h2")
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, h1, h2) of the lines in more than min_docs documents of the host."""
+    return line_frequency(lines).where(F.col("n_docs") > min_docs).select("host", "h1", "h2")
 
 
 def depleted(lines: DataFrame, often: DataFrame) -> DataFrame:
@@ -126,11 +123,11 @@ def without_lines(text: Column, host: Column, away: Column) -> Column:
     return F.when(away.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~gone(x)), "\n"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """base_rules, the verdict kept, removed_words (those in lines above the limits) and text: a kept document's text
     without those lines, null for the others."""
     lines = stash(document_lines(docs), "document-lines")
-    often = stash(frequent_lines(lines, min_docs, share), "frequent-lines")
+    often = stash(frequent_lines(lines, min_docs), "frequent-lines")
     lost = depleted(lines, often).select(F.col("doc_id").alias("lost_doc"), "total", "removed", "away")
     joined = base_rules(docs, carry=True).join(lost, F.col("doc_id") == F.col("lost_doc"), "left")
     gone = F.coalesce("removed", F.lit(0).cast("bigint"))

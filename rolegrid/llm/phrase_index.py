@@ -14,10 +14,11 @@ consecutive words of an item; an item with fewer words (but some) is one window
 
 ``proximity_matches`` finds the places where all terms of a query lie within a number of words.
 
-Edge cases: null text has no words; items or documents without words match nothing; rows without a doc_id are
-returned without hits; rows that repeat a doc_id are one document and share its hits; items that repeat an item_id
-count once; empty tables give no hits, and every document is still returned. Terms are compared as strings; hashes
-only route them.
+Edge cases: null text has no words; items or documents without words match nothing; a row without a doc_id is a
+document of its own text (``doc_key``) and searched like others; rows that repeat a doc_id are one document and share its
+hits; items that repeat an item_id count once; an item without an id makes words hit and documents contaminated, but is
+not among the items counted and named; empty tables give no hits, and every document is still returned. Terms are
+compared as strings; hashes only route them.
 """
 
 from __future__ import annotations
@@ -42,9 +43,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lower_ascii(text), GAPS), ""), F.array().cast("array<string>"))
 
 
+def doc_key() -> Column:
+    """What rows of one document share: the doc_id, or the text of a row without one."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(window, terms, items): distinct windows with the ids of the items that have them."""
-    held = narrow(items, "item_id", "text").where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    held = narrow(items, "item_id", "text").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
     each = held.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("w", k + 1, size))).alias("terms"))
     # The items that share a window are part of the stated query set.
@@ -69,35 +75,35 @@ def rank_terms(asked: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, wanted: DataFrame, around: int = 0) -> DataFrame:
-    """(term, doc_id, pos, left, context) of the wanted terms. wanted: (term, with_context). context holds the words
+    """(term, doc, pos, left, context) of the wanted terms; doc is the document's key. wanted: (term, with_context). context holds the words
     from pos - around to pos + around where asked for, left how many of them stand before pos."""
-    held = narrow(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    each = held.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    held = narrow(docs, "doc_id", "text").select(doc_key().alias("doc"), words(F.col("text")).alias("w"))
+    each = held.select("doc", "w", F.posexplode("w").alias("pos", "term"))
     left = F.least("pos", F.lit(around))
     return each.join(wanted, "term").select(
-        "term", "doc_id", "pos", left.alias("left"),
+        "term", "doc", "pos", left.alias("left"),
         F.when(F.col("with_context"), F.slice("w", F.col("pos") - left + 1, left + around + 1)).alias("context"))
 
 
 def phrase_matches(found: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(doc_id, start, len, items) of every exact occurrence of a window."""
+    """(doc, start, len, items) of every exact occurrence of a window."""
     at1, at2 = F.col("first")["at"], F.col("second")["at"]
     lead = (
         found.where("context is not null").join(ranked.withColumn("term", F.col("first")["term"]), "term")
         .where((F.col("pos") >= at1) & (F.slice("context", F.col("left") - at1 + 1, F.size("terms")) == F.col("terms")) & (F.col("left") >= at1))
-        .select("window", "doc_id", (F.col("pos") - at1).alias("start"), F.size("terms").alias("len"), "items", "second")
+        .select("window", "doc", (F.col("pos") - at1).alias("start"), F.size("terms").alias("len"), "items", "second")
     )
     follow = (
         found.join(ranked.where("second is not null").withColumn("term", F.col("second")["term"]), "term")
-        .select("window", "doc_id", (F.col("pos") - at2).alias("start"))
+        .select("window", "doc", (F.col("pos") - at2).alias("start"))
     )
-    both = lead.where("second is not null").join(follow, ["window", "doc_id", "start"], "left_semi")
-    return lead.where("second is null").unionByName(both).select("doc_id", "start", "len", "items")
+    both = lead.where("second is not null").join(follow, ["window", "doc", "start"], "left_semi")
+    return lead.where("second is null").unionByName(both).select("doc", "start", "len", "items")
 
 
 def hits(matches: DataFrame) -> DataFrame:
-    """(doc_id, n_hit, items): words inside any match, and the items with matches as sorted strings."""
-    spans = matches.groupBy("doc_id", "start").agg(F.max("len").alias("len"))
+    """(doc, n_hit, items): words inside any match, and the items with matches as sorted strings."""
+    spans = matches.groupBy("doc", "start").agg(F.max("len").alias("len"))
     reach = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -105,11 +111,12 @@ def hits(matches: DataFrame) -> DataFrame:
         more = F.greatest(end - F.greatest(s["start"], acc["end"]), F.lit(0))
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + more).alias("n"))
 
-    covered = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("s")).select(
-        "doc_id", F.aggregate("s", reach, step)["n"].alias("n_hit"))
-    named = matches.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(
+    covered = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("s")).select(
+        "doc", F.aggregate("s", reach, step)["n"].alias("n_hit"))
+    named = matches.select("doc", F.explode("items").alias("item")).groupBy("doc").agg(
         F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    return covered.join(named, "doc_id")
+    none = F.array().cast("array<string>")
+    return covered.join(named, "doc", "left").select("doc", "n_hit", F.coalesce("items", none).alias("items"))
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -126,9 +133,9 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFra
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
-    found = find_items(docs, items, size).withColumnRenamed("doc_id", "hit_doc")
-    sized = narrow(docs, "doc_id", "text").select("doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    joined = sized.join(found, F.col("doc_id") == F.col("hit_doc"), "left")
+    found = find_items(docs, items, size).withColumnRenamed("doc", "hit_doc")
+    sized = narrow(docs, "doc_id", "text").select("doc_id", doc_key().alias("doc"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    joined = sized.join(found, F.col("doc") == F.col("hit_doc"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     names = F.coalesce("items", F.array().cast(T.ArrayType(T.StringType())))
     return joined.select(
@@ -138,7 +145,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     """(query, doc_id, pos): places pos of a query's rarest term that have all its other terms at most ``within``
-    words away. queries: (query, terms array<string>), terms lower-cased; repeated terms count once.
+    words away. queries: (query, terms array<string>), terms lower-cased; repeated terms count once. Rows without a
+    doc_id have no name to be returned under and are not searched.
 
     Positions are put in bins of ``within`` words and a bin is only compared with its neighbours."""
     asked = stash(queries.select("query", F.array_distinct("terms").alias("terms")), "queries")
@@ -146,13 +154,14 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataF
     terms = stash(each.select("term").distinct(), "terms")
     counts = term_counts(docs, terms)
     rarest = each.join(counts, "term").groupBy("query", "n_terms").agg(F.min(F.struct("n", "term"))["term"].alias("rarest")).where("n_terms > 0")
-    found = stash(postings(docs, terms.withColumn("with_context", F.lit(False))).select("term", "doc_id", "pos"), "postings")
+    named = narrow(docs, "doc_id", "text").where("doc_id is not null")
+    found = stash(postings(named, terms.withColumn("with_context", F.lit(False))).select("term", "doc", "pos"), "postings")
     bins = F.floor(F.col("pos") / max(within, 1))
-    lead = found.join(stash(rarest, "rarest"), found["term"] == F.col("rarest")).select("query", "n_terms", "rarest", "doc_id", F.col("pos").alias("lead"))
+    lead = found.join(stash(rarest, "rarest"), found["term"] == F.col("rarest")).select("query", "n_terms", "rarest", "doc", F.col("pos").alias("lead"))
     near = lead.withColumn("bin", F.explode(F.array(*[F.floor(F.col("lead") / max(within, 1)) + d for d in (-1, 0, 1)])))
-    rest = found.join(each.select("query", "term"), "term").select("query", "term", "doc_id", "pos", bins.alias("bin"))
-    met = near.join(rest, ["query", "doc_id", "bin"]).where(F.abs(F.col("pos") - F.col("lead")) <= within)
+    rest = found.join(each.select("query", "term"), "term").select("query", "term", "doc", "pos", bins.alias("bin"))
+    met = near.join(rest, ["query", "doc", "bin"]).where(F.abs(F.col("pos") - F.col("lead")) <= within)
     return (
-        met.select("query", "n_terms", "doc_id", "lead", "term").distinct().groupBy("query", "n_terms", "doc_id", "lead")
-        .agg(F.count(F.lit(1)).alias("n")).where("n = n_terms").select("query", "doc_id", F.col("lead").alias("pos"))
+        met.select("query", "n_terms", "doc", "lead", "term").distinct().groupBy("query", "n_terms", "doc", "lead")
+        .agg(F.count(F.lit(1)).alias("n")).where("n = n_terms").select("query", F.col("doc").cast(named.schema["doc_id"].dataType).alias("doc_id"), F.col("lead").alias("pos"))
     )

@@ -24,6 +24,13 @@ def test_rare_lines_cost_nothing(docs_of, sql, prose):
     assert all(r["removed_words"] == 0 for r in rows.values())
 
 
+def test_the_limit_does_not_loosen_with_the_host(docs_of, sql):
+    bar = "one line that stands in twenty-five documents of a large host"
+    texts = [f"{bar if k < 25 else 'own line'} {'' if k < 25 else k}\n" + " ".join(f"w{k}x{j}" for j in range(60)) for k in range(2_600)]
+    rows = same(docs_of(texts, source=["big"] * len(texts)), sql)
+    assert all((rows[k]["removed_words"] > 0) == (k < 25) for k in rows)
+
+
 def test_null_and_repeated_ids_and_empty(docs_of, prose):
     assert quality_rules(docs_of([])).count() == 0
     text = prose(60)

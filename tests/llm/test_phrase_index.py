@@ -39,7 +39,13 @@ def test_empty_tables_null_and_repeated_ids(docs_of, items_of, sql):
     assert [r.contaminated for r in decontaminate(docs_of(["a b"]), items_of([])).collect()] == [False]
     docs = docs_of(["say a b now", "say a b now", "a b"], ids=[1, 1, None])
     got = sorted((r.doc_id or -1, r.n_hit) for r in decontaminate(docs, items_of(["a b", "a b"], ids=[4, 4])).collect())
-    assert got == [(-1, 0), (1, 2), (1, 2)]
+    assert got == [(-1, 2), (1, 2), (1, 2)]
+
+
+def test_rows_and_items_without_an_id_are_searched(docs_of, items_of):
+    docs = docs_of(["clean text here", "say a b now", "say a b now", "x y", None], ids=[None, None, 3, None, None])
+    got = sorted((r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, items_of(["a b", "x y"], ids=[None, 8])).collect())
+    assert got == [(0, 0, 0, False), (2, 2, 1, True), (3, 0, 0, False), (4, 2, 0, True), (4, 2, 0, True)]
 
 
 def test_proximity_against_brute_force(spark, docs_of, prose):

@@ -74,6 +74,24 @@ def _s5(t: Tables):
     return traces.read_log_lines(t.spark, _run_files(t), _run())
 
 
+@query("t2_trace_tail", f"""WITH {_LINES},
+t AS (SELECT run_id, n, event_type, k, CASE event_type WHEN 'error' THEN 7 WHEN 'view' THEN 2 ELSE length('{{"event":"' || event_type || '","step":' || k || ',"ts":"' || ts || '"}}') END AS size FROM l),
+o AS (SELECT *, coalesce(sum(size + 1) OVER (PARTITION BY run_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM t)
+SELECT run_id, CAST(seq AS BIGINT) AS seq, event_type AS event, k AS step FROM o WHERE event_type NOT IN ('error', 'view')""")
+def _t2(t: Tables):
+    """The stream over the files until it has caught up, and what its sink then holds."""
+    from rolegrid.streaming.ingest import tail_traces
+
+    files, out = _run_files(t), f"{checkpoint_dir(t.spark)}/tail/{uuid.uuid4().hex}"
+    stream = tail_traces(t.spark, files, ".txt", _run()).select("run_id", "seq", "event", "step")
+    q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 _SEEDS = ", ".join(f"({i}, '{name}', '{kind}')" for i, name, kind, _ in vocab.PLATFORM_SEED)
 
 

@@ -22,6 +22,7 @@ from rolegrid.session import cut
 
 SOURCE = "growing_lines"
 RANGE_BYTES = 8 << 20
+OPEN_COST = 1 << 18
 _LOOK_BACK = 1 << 16
 
 
@@ -41,10 +42,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    end: int
+class ByteRanges(InputPartition):
+    """(path, start, end) of the new bytes that one task reads: a part of a large file, or all of many small ones."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+def pack(ranges: Iterator[tuple[str, int, int]], size: int, open_cost: int) -> list[ByteRanges]:
+    """Ranges in order, as many together as ``size`` bytes hold when each costs ``open_cost`` more."""
+    out: list[ByteRanges] = []
+    filled = size
+    for path, start, end in ranges:
+        cost = end - start + open_cost
+        if filled + cost > size:
+            out.append(ByteRanges([]))
+            filled = 0
+        out[-1].ranges.append((path, start, end))
+        filled += cost
+    return out
 
 
 def _store(path: str):
@@ -97,15 +112,15 @@ class GrowingLinesReader(DataSourceStreamReader):
         scheme = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
         return {scheme + f.path: f.size for f in found if f.is_file and f.path.endswith(self.suffix)}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        out = []
-        for path, size in sorted(end.items()):
-            out += [ByteRange(path, a, min(a + self.range_bytes, size)) for a in range(start.get(path, 0), size, self.range_bytes)]
-        return out
+    def partitions(self, start: dict, end: dict) -> list[ByteRanges]:
+        step = self.range_bytes
+        fresh = ((path, a, min(a + step, size)) for path, size in sorted(end.items()) for a in range(start.get(path, 0), size, step))
+        return pack(fresh, step, OPEN_COST)
 
-    def read(self, partition: ByteRange) -> Iterator[tuple]:
-        for seq, line in ended_lines(partition.path, partition.start, partition.end):
-            yield partition.path, seq, line.removesuffix(b"\r").decode("utf-8", "replace")
+    def read(self, partition: ByteRanges) -> Iterator[tuple]:
+        for path, start, end in partition.ranges:
+            for seq, line in ended_lines(path, start, end):
+                yield path, seq, line.removesuffix(b"\r").decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass

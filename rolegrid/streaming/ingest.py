@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from rolegrid.operators import slots
 from rolegrid.sources.lines import tail_lines
 from rolegrid.sources.traces import parse_trace_lines, run_of_path
 
 
-def tail_traces(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+def tail_traces(spark: SparkSession, path: str, suffix: str = "", run: Column | None = None) -> DataFrame:
     """Trace events as they are written, append output: (run_id, seq, event, ...) of every finished line, ``seq`` in the
-    order of the file. Files may grow; a stream that is started again goes on where it stopped inside each."""
-    text = tail_lines(spark, path, suffix).select(run_of_path("path").alias("run_id"), "seq", "value")
+    order of the file. Files may grow; a stream that is started again goes on where it stopped inside each. ``run``
+    reads the run off ``path`` where files are not named by it."""
+    text = tail_lines(spark, path, suffix).select((run_of_path("path") if run is None else run).alias("run_id"), "seq", "value")
     return parse_trace_lines(text)
 
 

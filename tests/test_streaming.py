@@ -102,6 +102,12 @@ def test_trace_tail_goes_on_inside_a_growing_file(spark, tmp_path):
     assert follow() == got
 
 
+def test_small_files_share_a_task_and_large_ones_are_split():
+    ranges = [("a", 0, 5), ("b", 0, 5), ("c", 0, 100), ("c", 100, 110), ("d", 3, 4)]
+    assert [p.ranges for p in lines.pack(iter(ranges), 100, 10)] == [ranges[:2], ranges[2:3], ranges[3:]]
+    assert lines.pack(iter([]), 100, 10) == []
+
+
 def test_ranges_of_bytes_give_every_ended_line_once(tmp_path):
     rng = random.Random(2)
     text = b"".join(bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 200]))) + b"\n" for _ in range(60)) + b"no end"

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from rolegrid.llm.catalog import QUERIES
-from rolegrid.llm.site_bayes import classify, features, score, site_rates
+from rolegrid.llm.site_bayes import classify, features, fit, score, site_rates
 
 
 @pytest.fixture
@@ -66,3 +66,77 @@ def test_score_is_the_sum_of_weights(docs_of):
 
 def test_query_scores_all(spark):
     assert QUERIES["op7_site_bayes"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def rate(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def posteriors(rows, evidence):
+    """Posterior log-odds of rows (source, lang) with their evidence, for one head, by plain sums."""
+    logit = lambda p: math.log(p / (1 - p))
+    paths, hosts = {}, {}
+    for (source, lang), x in zip(rows, evidence):
+        for table, key in ((paths, (source, lang)), (hosts, source)):
+            n, total = table.get(key, (0, 0.0))
+            table[key] = (n + 1, total + rate(x))
+    n, total = len(rows), sum(map(rate, evidence))
+    mean = min(max(total / n, 1e-6), 1 - 1e-6)
+
+    def strength(groups):
+        spread = n - sum(c * c for c, _ in groups) / n
+        if len(groups) < 2 or spread <= 0:
+            return 1e6
+        between = (sum(c * (t / c - mean) ** 2 for c, t in groups) - (len(groups) - 1) * mean * (1 - mean)) / spread
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
+
+    k_host, k_path = strength(list(hosts.values())), strength(list(paths.values()))
+    out = []
+    for (source, lang), x in zip(rows, evidence):
+        host_n, host_total = hosts[source]
+        path_n, path_total = paths[source, lang]
+        host_rate = (host_total + k_host * mean) / (host_n + k_host)
+        path_rate = (path_total + k_path * host_rate) / (path_n + k_path)
+        out.append(x + logit(min(max(path_rate, 1e-6), 1 - 1e-6)) - logit(mean))
+    return out
+
+
+def test_posteriors_against_plain_sums(spark, labels_of, prose, rng):
+    sites = [("big", "en")] * 5 + [("big", "de"), ("small", "en"), (None, "fr"), ("small", None)]
+    docs, labels = [], []
+    for k in range(240):
+        source, lang = rng.choice(sites)
+        low, toxic = rng.random() < (0.6 if source == "big" else 0.1), rng.random() < 0.3
+        docs.append((k, prose(30) + " junkword spamword" * low + " awfulword" * toxic, source, lang, "x"))
+        labels.append((k, int(not low), int(toxic)))
+    docs += [(900, None, "big", "en", "x"), (901, "", "lone", "en", "x"), (7, docs[7][1], "small", "en", "x")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, p_low string").repartition(4)
+    known = labels_of(labels[:200])
+    model = fit(table, known)
+    assert all(model.values())
+    want = {}
+    for head in ("low", "toxic"):
+        weights, base = model[head]
+        evidence = [base + sum(weights.get(f, 0.0) for f in features(t or "")) for _, t, *_ in docs]
+        for row, x in zip(docs, posteriors([(r[2], r[3]) for r in docs], evidence)):
+            want.setdefault((row[0], row[2], row[3]), {})[head] = rate(x)
+    rows = classify(table, known).collect()
+    assert len(rows) == len(docs) and len(want) == len(docs)
+    for r in rows:
+        w = want[r.doc_id, r.source, r.lang]
+        assert math.isclose(r.p_low, w["low"], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r.p_toxic, w["toxic"], rel_tol=1e-9, abs_tol=1e-12)
+        assert r.kept == (w["low"] <= 0.5 and w["toxic"] <= 0.5)
+
+
+def test_the_site_level_corrects_verdicts(spark, rng):
+    """Noisy evidence on sites with different true rates: fewer wrong verdicts with the sites' shifts than without."""
+    rows = []
+    for host, share, n in (("bad", 0.9, 600), ("good", 0.03, 1500), ("mixed", 0.5, 300)):
+        for _ in range(n):
+            low = rng.random() < share
+            rows.append((host, rng.choice(["en", "de"]), rng.gauss(1.0 if low else -1.0, 1.4), None, low))
+    table = spark.createDataFrame(rows, "source string, lang string, low double, toxic double, truth boolean")
+    shift = {(r.host, r.path): r.shift_low for r in site_rates(table).collect()}
+    alone = sum((x > 0) != truth for _, _, x, _, truth in rows)
+    moved = sum((x + shift[host, path] > 0) != truth for host, path, x, _, truth in rows)
+    assert moved < 0.9 * alone

@@ -6,6 +6,7 @@ names for every slot the version that wrote it; versions share the slots they di
 
     root/data/v=<version>/slot=<slot>/   rows of a slot as that version wrote them
     root/manifest/v=<version>/           (slot, written, rows, top) of every slot
+    root/changes/v=<version>/            what a merge did to the rows it rewrote
 
 The manifest is written last, so a version is there whole or not at all, and writing a version again replaces it. Only
 slot numbers and manifests pass the driver: at most ``groups x parts`` rows.
@@ -103,6 +104,8 @@ class SlotTable:
 
     def create(self, rows: DataFrame) -> int:
         """Version 0 from all rows."""
+        if "v" in rows.columns:
+            raise ValueError("v is the name of a folder level")
         self.spark.createDataFrame([(rows.drop(SLOT).schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/schema")
         return self._commit(0, rows, [])
 
@@ -137,6 +140,7 @@ class SlotTable:
         for v in versions:
             if v < keep_from:
                 self._delete(f"manifest/v={v}")
+                self._delete(f"changes/v={v}")
         return gone
 
     # --- inside ---

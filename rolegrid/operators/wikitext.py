@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.base import ColumnOrName, c, let
-from rolegrid.operators.scans import bucket, running_sum
 
 # The templates that mark a ticker cell, and the header names that are read.
 TICKER = r"\{\{(?:NyseSymbol|NasdaqSymbol|BZX link|NYSE Arca|nyse|NASDAQ)\|([A-Za-z0-9.\-]+)\}\}"
@@ -50,35 +49,43 @@ def cells(text: ColumnOrName) -> Column:
 
 
 def component_table(pages: DataFrame, key: str = "index", wikitext: str = "wikitext") -> tuple[DataFrame, DataFrame]:
-    """(lines of the first table, problems). The table runs from the first ``{|`` to where as many
-    ``|}`` as ``{|`` were seen; never closed and closed too often are problems."""
-    lines = pages.select(key, F.posexplode(F.split(wikitext, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
-    start = lines.groupBy(key).agg(F.min(F.when(F.col("line").startswith("{|"), F.col("line_no"))).alias("start"))
-    inside = lines.join(start.filter(F.col("start").isNotNull()), key).filter(F.col("line_no") >= F.col("start"))
-    step = F.regexp_count("line", F.lit(r"\{\|")) - F.regexp_count("line", F.lit(r"\|\}"))
-    deep = running_sum(inside, [key], ["line_no"], bucket("line_no"), {"depth": step})
-    ends = deep.groupBy(key).agg(
-        F.min(F.when(F.col("depth") == 0, F.col("line_no"))).alias("end"), F.min(F.when(F.col("depth") < 0, F.col("line_no"))).alias("broken")
-    )
-    state = start.join(ends, key, "left")
+    """((key, lines) of each page's first table, NULL where it has a problem; problems). The table runs from the first ``{|`` to where as many
+    ``|}`` as ``{|`` were seen; never closed and closed too often are problems. A page is one row throughout, so
+    nothing is joined, whatever the number of pages."""
+    # Dealt out first: a page takes far longer to parse than to read, and few files may hold many.
+    dealt = pages.select(key, wikitext).filter(F.col(wikitext).isNotNull()).repartition(key)
+    lines = dealt.select(key, F.split(wikitext, "\n").alias("lines"))
+    start = F.array_position(F.transform("lines", lambda x: x.startswith("{|")), True).cast("int")
+    begun = lines.select(key, F.when(start > 0, F.slice("lines", start, F.size("lines"))).alias("lines"))
+    none = F.lit(None).cast("int")
+
+    def step(seen: Column, line: Column) -> Column:
+        depth = seen["depth"] + F.regexp_count(line, F.lit(r"\{\|")) - F.regexp_count(line, F.lit(r"\|\}"))
+        read = F.struct(depth.alias("depth"), (seen["read"] + 1).alias("read"), F.when(depth <= 0, seen["read"] + 1).alias("end"))
+        return F.when(seen["end"].isNotNull(), seen).otherwise(read)
+
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), none.alias("end"))
+    scanned = begun.select(key, "lines", F.aggregate("lines", first, step).alias("scan"))
     problem = (
-        F.when(F.col("start").isNull(), "no table found")
-        .when(F.col("broken").isNotNull() & (F.col("end").isNull() | (F.col("broken") < F.col("end"))), "table closes more often than it opens")
-        .when(F.col("end").isNull(), "table is never closed")
+        F.when(F.col("lines").isNull(), "no table found")
+        .when(F.col("scan.end").isNull(), "table is never closed")
+        .when(F.col("scan.depth") < 0, "table closes more often than it opens")
     )
-    judged = state.withColumn("problem", problem)
-    good = judged.filter(F.col("problem").isNull()).select(key, F.col("end").alias("__end"))
-    table = deep.join(good, key).filter(F.col("line_no") <= F.col("__end")).select(key, "line_no", "line")
+    judged = scanned.withColumn("problem", problem)
+    table = judged.select(key, F.when(F.col("problem").isNull(), F.slice("lines", F.lit(1), F.col("scan.end"))).alias("lines"))
     return table, judged.filter(F.col("problem").isNotNull()).select(key, "problem")
 
 
 def table_rows(table: DataFrame, key: str = "index") -> DataFrame:
-    """(key, row_no, body, is_header): lines between ``|-`` marks joined. A row of a wiki table is a
-    handful of lines, so joining them per row is bounded by the page."""
-    numbered = running_sum(table, [key], ["line_no"], bucket("line_no"), {"row_no": F.col("line").startswith("|-").cast("int")})
-    lines = numbered.filter(~F.col("line").startswith("|-"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    return lines.groupBy(key, "row_no").agg(F.array_join(ordered, "\n").alias("body"), F.bool_or(F.col("line").startswith("!")).alias("is_header"))
+    """(key, row_no, body, header): the lines between ``|-`` marks, joined, and the cells of the page's first row
+    with header cells (NULL without one)."""
+    # Each part is empty or begins with the line feed before its first line.
+    parts = F.split(F.concat(F.lit("\n"), F.array_join("lines", "\n")), r"\n\|-[^\n]*")
+    held = table.select(key, parts.alias("parts"))
+    head = F.get(F.filter("parts", lambda x: x.contains("\n!")), F.lit(0))
+    headed = held.select(key, "parts", F.when(head.isNotNull(), _header_cells(F.substring(head, F.lit(2), F.length(head)))).alias("header"))
+    rows = headed.select(key, "header", F.posexplode("parts").alias("row_no", "part")).filter("part <> ''")
+    return rows.select(key, F.col("row_no").cast("bigint").alias("row_no"), F.expr("substring(part, 2)").alias("body"), "header")
 
 
 def _header_cells(body: Column) -> Column:
@@ -90,13 +97,12 @@ def _header_cells(body: Column) -> Column:
 def parse_constituents(rows: DataFrame, key: str = "index") -> DataFrame:
     """(key, ordinal, name, article, industry, sub_industry, headquarters, cik, raw_cik) of the rows
     that carry a ticker template."""
-    head = rows.filter("is_header").groupBy(key).agg(F.min_by("body", "row_no").alias("h")).select(key, _header_cells(F.col("h")).alias("header"))
-
     def column_of(name: str) -> Column:
         return F.array_position("header", name) - 2  # array positions are 1-based; the ticker cell is not among the row's cells
 
     body = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
-    marked = rows.join(head, key, "left").withColumn("__b", body).filter(F.regexp_like("__b", F.lit(TICKER)))
+    # Dealt out again: the rows of one long page are read by many tasks.
+    marked = rows.select(key, "row_no", "header", body.alias("__b")).filter(F.regexp_like("__b", F.lit(TICKER))).repartition(key, "row_no")
     cut = F.regexp_replace("__b", r"(?s)^.*?" + TICKER, "")
     split = marked.withColumn("__c", cells(cut)).filter(F.size("__c") > 0).withColumn("__n", F.col("__c")[0])
     link, label = F.regexp_extract("__n", ARTICLE_LINK, 1), F.regexp_extract("__n", ARTICLE_LINK, 2)

@@ -300,6 +300,16 @@ def test_constituents(spark):
     assert {r["index"]: r["problem"] for r in problems.collect()} == {"none": "no table found", "open": "table is never closed", "over": "table closes more often than it opens"}
 
 
+def test_constituents_join_nothing(spark):
+    """Pages far larger than their estimate were joined by broadcast, and so passed the driver whole."""
+    grown = F.concat(F.lit("{|\n! Symbol !! Security !! CIK\n|-\n| {{NyseSymbol|T}} || Firm "), F.col("id").cast("string"), F.lit(" || 0001234567\n\n|- x\n|-\n| {{NASDAQ|U}} || Later\n|}"))
+    rows, problems = wikitext.constituents(spark.range(3).select(F.col("id").alias("k"), grown.alias("wikitext")), "k")
+    assert sorted((r["k"], r["ordinal"], r["name"], r["cik"]) for r in rows.collect()) == sorted(
+        x for k in range(3) for x in [(k, 1, f"Firm {k}", 1234567), (k, 3, "Later", 0)])
+    assert problems.count() == 0
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clean_text(value):
     assert value(wikitext.clean_text(F.lit("{{x|y}} [[A|B]] <ref name=q/>''c'' [https://x.y d e]"))) == "B c d e"
 

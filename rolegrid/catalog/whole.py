@@ -14,6 +14,7 @@ from rolegrid.functions.sql import register
 from rolegrid.operators import discover, logs
 from rolegrid.session import checkpoint_dir
 from rolegrid.sources import registry, traces
+from rolegrid.sources.lines import write_lines
 
 
 @query("f20_p25_block_classifier_whole", ORACLES["f20_p25_block_classifier"].replace(f"substring({texts._BLOCK_TEXT}, 1, {vocab.BLOCK_SCAN_CHARS})", texts._BLOCK_TEXT))
@@ -50,28 +51,23 @@ def _run_files(t: Tables) -> str:
     good = F.concat(F.lit('{"event":"'), "event_type", F.lit('","step":'), F.regexp_extract("props", "[0-9]+", 0), F.lit(',"ts":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"}'))
     value = F.when(F.col("event_type") == "error", F.lit("{broken")).when(F.col("event_type") == "view", F.lit("  ")).otherwise(good)
     path = f"{checkpoint_dir(t.spark)}/files/{uuid.uuid4().hex}"
-    rows = t.events.select(F.col("user_id").alias("run"), "event_id", value.alias("value")).repartition("run").sortWithinPartitions("run", "event_id")
-    rows.drop("event_id").write.partitionBy("run").text(path)
+    write_lines(t.events.select(F.col("user_id").alias("name"), F.col("event_id").alias("at"), value.alias("value")), path, ".jsonl")
     return path
 
 
-def _run():
-    return F.regexp_extract("path", "run=([0-9]+)", 1).cast("bigint")
-
-
 _LINES = """l AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k,
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM events)"""
 
 
 @query("s4_trace_files", f"WITH {_LINES} SELECT run_id, n AS seq, event_type AS event, k AS step, ts AS ts_text FROM l WHERE event_type NOT IN ('error', 'view')")
 def _s4(t: Tables):
-    return traces.read_traces(t.spark, _run_files(t), _run()).select("run_id", "seq", "event", "step", "ts_text")
+    return traces.read_traces(t.spark, _run_files(t)).select("run_id", "seq", "event", "step", "ts_text")
 
 
 @query("s5_log_files", f"""WITH {_LINES}
 SELECT run_id, n AS line_no, CASE event_type WHEN 'error' THEN '{{broken' WHEN 'view' THEN '  ' ELSE '{{"event":"' || event_type || '","step":' || k || ',"ts":"' || ts || '"}}' END AS line FROM l""")
 def _s5(t: Tables):
-    return traces.read_log_lines(t.spark, _run_files(t), _run())
+    return traces.read_log_lines(t.spark, _run_files(t))
 
 
 @query("t2_trace_tail", f"""WITH {_LINES},
@@ -83,7 +79,7 @@ def _t2(t: Tables):
     from rolegrid.streaming.ingest import tail_traces
 
     files, out = _run_files(t), f"{checkpoint_dir(t.spark)}/tail/{uuid.uuid4().hex}"
-    stream = tail_traces(t.spark, files, ".txt", _run()).select("run_id", "seq", "event", "step")
+    stream = tail_traces(t.spark, files, ".jsonl").select("run_id", "seq", "event", "step")
     q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets").start()
     try:
         q.processAllAvailable()

@@ -320,3 +320,16 @@ def test_elements_are_verbatim(spark):
     got = [r["element"] for r in elements.filter("source = 'v'").orderBy("idx").collect()]
     assert got == texts
     assert [r["element"] for r in elements.filter("source = 'd'").orderBy("idx").collect()] == [deep, "1"] and elements.filter("source = 'e'").count() == 0
+
+
+def test_write_lines_makes_one_file_per_name_and_nothing_else(spark, tmp_path):
+    """Spark's own writer made a folder, a file and a checksum file per run, and the reader listed each folder by a task of its own."""
+    from rolegrid.sources import lines
+
+    rows = [(n, k, None if k == 3 else "  " if k == 4 else f"é {n}-{k}") for n in range(40) for k in reversed(range(n % 7 + 1))]
+    df = spark.createDataFrame(rows, "name bigint, at bigint, value string").repartition(5)
+    assert lines.write_lines(df, f"file://{tmp_path}/out", ".log") == 40
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == sorted(f"{n}.log" for n in range(40))
+    got = {(r["run_id"], r["line_no"]): r["line"] for r in traces.read_log_lines(spark, f"{tmp_path}/out").collect()}
+    assert got == {(n, k + 1): v or "" for n, k, v in rows}
+    assert lines.write_lines(df.limit(0), f"{tmp_path}/none") == 0

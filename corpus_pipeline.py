@@ -31,7 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that five-word shingles link at a Jaccard similarity of 0.8 the smallest doc_id stays; rows without a doc_id stay."""
+    """SimHash fingerprints within 2 bits link texts, and shared five-word shingles those that differ in more; either way a link
+    takes an exact Jaccard similarity of 0.8. Of linked texts the smallest doc_id stays; rows without a doc_id stay."""
     gone = near_copies(docs).where("doc_id <> first_id").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
     held = narrow(docs, *COLUMNS)
     return held.join(gone, (held["doc_id"] == gone["gone"]) & (F.xxhash64(held["text"]) == gone["gone_th"]), "left_anti")

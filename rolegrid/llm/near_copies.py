@@ -1,19 +1,22 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. ``sketches`` reduces a text to a digest of its shingle set and, for each of BANDS bands, a hash of ROWS minimum hashes.
-   Texts with equal sets are one node from here on.
-2. ``links`` pairs nodes that share a band key. Two texts at similarity s share one with probability s^ROWS,
+1. ``sketches`` reduces a text to its SimHash fingerprint (that of ``simhash``), a digest of its shingle set and, for each of
+   BANDS bands, a hash of ROWS minimum hashes. Texts with equal sets are one node from here on.
+2. ``simhash_links`` pairs nodes whose fingerprints differ in at most 2 bits, by ``simhash.candidates``, and keeps those
+   whose exact similarity is high enough. What they connect is one group; pairs inside a group are not looked at again.
+   Texts at a similarity of 0.8 differ in about ten bits, which no part of 64 bits finds, so the other pairs come from 3 to 5.
+3. ``links`` pairs nodes that share a band key. Two texts at similarity s share one with probability s^ROWS,
    so at 0.8 a pair is missed by all of 16 bands with probability 1e-5 (less above 0.8).
-3. A key shared by more than BUCKET nodes makes no pairs. Nodes that have such a key, the crowded ones, are paired by their
+4. A key shared by more than BUCKET nodes makes no pairs. Nodes that have such a key, the crowded ones, are paired by their
    rarest shingles instead: in any common order, two sets of similarity 0.8 share one of their first |set| / 5 + 1 shingles, and
    in the order of rising frequency those are the ones that few nodes have. This loses no pair, however crowded
    the text that they share.
-4. A rare shingle may crowd too, among copies of one text with a few edits each. Its nodes are compared with LEADERS of
+5. A rare shingle may crowd too, among copies of one text with a few edits each. Its nodes are compared with LEADERS of
    them, first of all the one with the fewest shingles of its own; that links most of them into one group. Each
    node that is still outside its shingle's largest group is then compared with all nodes of the shingle that leave room
    for the similarity beside the shingles that few nodes have, so no link between groups is lost either; pairs inside the
    largest group, which decide nothing, are not made.
-5. ``verified`` keeps the candidates whose exact Jaccard similarity is high enough; what links connect is one group.
+6. ``verified`` keeps the candidates whose exact Jaccard similarity is high enough; what links connect is one group.
 
 Edge cases: texts with fewer words than a shingle have one shingle, all their words; texts without words (or null) are
 equal to each other and to nothing else; repeated rows and ids are rows of one node; ties go to the smallest doc_id; an
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.llm.components import components
 from rolegrid.llm.shared import as_bytes, batches, narrow, stash
+from rolegrid.llm.simhash import SAMPLE, candidates, fingerprint, plan_parts
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -65,18 +69,18 @@ def band_keys(held: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, size, keys): th is the hash of the text, node the digest of its shingle set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, th, fp, node, size, keys): th is the hash of the text, fp its fingerprint, node the digest of its shingle set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
             for doc_id, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
                 held = shingles(text)
-                node = int(np.array([xxhash.xxh3_64_intdigest(held.tobytes())], np.uint64).view(np.int64)[0])
-                yield doc_id, th, node, len(held), band_keys(held).view(np.int64).ravel().tolist() if len(held) else []
+                fp, node = np.array([fingerprint(text), xxhash.xxh3_64_intdigest(held.tobytes())], np.uint64).view(np.int64).tolist()
+                yield doc_id, th, fp, node, len(held), band_keys(held).view(np.int64).ravel().tolist() if len(held) else []
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        lambda parts: batches(rows(parts), schema, 1_000), "doc_id bigint, th bigint, node bigint, size bigint, keys array<bigint>")
+        lambda parts: batches(rows(parts), schema, 1_000), "doc_id bigint, th bigint, fp bigint, node bigint, size bigint, keys array<bigint>")
 
 
 def _paired(keyed: DataFrame, by: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -123,16 +127,41 @@ def _comparable(pairs: DataFrame) -> DataFrame:
     return pairs.where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
-    """(a, b) of nodes (node, size, keys): similar pairs that connect what similar pairs connect. sets_of gives the sets
-    (node, held) of nodes (node)."""
+def simhash_links(prints: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b), similar, of nodes (node, size) that rows (fp, node) give fingerprints within 2 bits; sets_of as in ``links``."""
+    held = stash(prints.distinct(), "prints")
+    heads = stash(held.groupBy("fp").agg(F.min("node").alias("head")), "print-heads")
+    n = heads.count()
+    sample = np.array([r.fp for r in heads.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    same = held.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = candidates(heads.withColumnRenamed("head", "node"), plan_parts(sample, n)) if n > 1 else same.limit(0)
+    sized = nodes.select("node", "size")
+    both = same.unionByName(near).join(sized.select(F.col("node").alias("a"), F.struct("node", "size").alias("x")), "a").join(
+        sized.select(F.col("node").alias("b"), F.struct("node", "size").alias("y")), "b")
+    pairs = stash(_comparable(both), "simhash-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return stash(verified(pairs, stash(sets_of(asked), "simhash-sets")), "simhash-links")
+
+
+def _between(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one group (node, component)."""
+    a, b = grouped.select(F.col("node").alias("a"), F.col("component").alias("ga")), grouped.select(F.col("node").alias("b"), F.col("component").alias("gb"))
+    apart = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b")
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bucket: int = BUCKET, known: DataFrame | None = None) -> DataFrame:
+    """(a, b) of nodes (node, size, keys): similar pairs that connect what similar pairs connect, those of ``known`` among
+    them. sets_of gives the sets (node, held) of nodes (node)."""
     keyed = nodes.where(F.size("keys") > 0).select("node", "size", F.posexplode("keys").alias("band", "key"))
     few, crowd = _paired(keyed, ["band", "key"], bucket)
     crowd_sets = stash(sets_of(crowd.select("node").distinct()), "crowd-sets")
     rare, dense = _paired(stash(rare_shingles(crowd_sets, bucket), "rare"), ["shingle"], bucket)
-    pairs = stash(_comparable(reduce(DataFrame.unionByName, [few, rare, _stars(dense, ["shingle"])])), "pairs")
+    pairs = _comparable(reduce(DataFrame.unionByName, [few, rare, _stars(dense, ["shingle"])]))
+    pairs = stash(pairs if known is None else _between(pairs, components(known)), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = stash(verified(pairs, stash(sets_of(asked), "shingle-sets")), "links")
+    found = verified(pairs, stash(sets_of(asked), "shingle-sets"))
+    found = stash(found if known is None else found.unionByName(known), "links")
     grouped = components(found)
     placed = stash(dense.join(grouped, "node", "left").select("shingle", "node", "size", "at", (F.col("size") - F.col("own")).alias("common"), F.coalesce("component", "node").alias("grp")), "placed")
     sizes = placed.groupBy("shingle", "grp").agg(F.count(F.lit(1)).alias("n"))
@@ -188,7 +217,8 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         texts = docs.withColumn("th", F.xxhash64("text")).join(asked, ["doc_id", "th"]).dropDuplicates(["node"])
         return shingle_sets(texts)
 
-    linked = components(links(nodes, sets_of, bucket))
+    by_print = simhash_links(marked.select("fp", "node"), nodes, sets_of)
+    linked = components(links(nodes, sets_of, bucket, by_print))
     grouped = nodes.select("node", "doc_id").join(linked, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("first_id"))
     heads = stash(grouped.join(first, "component").select("node", "first_id"), "heads")

@@ -85,3 +85,20 @@ def test_stages_on_an_empty_table_and_on_odd_rows(spark, docs_of):
         assert stage(spark, docs_of([]), "/root/testdata/sf0.001").count() == 0, name
         kept = stage(spark, docs, "/root/testdata/sf0.001").collect()
         assert {1, 3}.issubset({x.doc_id for x in kept}) and clean in {x.text for x in kept}, name
+
+
+def test_simhash_links_are_within_two_bits_and_exactly_similar(spark, docs_of, monkeypatch):
+    """The stage's first links are SimHash's; with the shingles' candidates left out they still carry the copies."""
+    from rolegrid.llm import near_copies as nc
+    from tests.llm.test_simhash import slow_fingerprint
+
+    r = random.Random(16)
+    base = [[f"w{r.randrange(5000)}" for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [edited(r, b, 1) for b in base] * 2 + ["one two", "a b c"]
+    prints, sets = [slow_fingerprint(t) for t in texts], [grams(t) for t in texts]
+    want = roots(set(range(len(texts))), [
+        (i, j) for j in range(len(texts)) for i in range(j)
+        if (prints[i] ^ prints[j]).bit_count() <= 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    assert len(set(want.values())) < len(texts) - 6  # more than the equal texts
+    monkeypatch.setattr(nc, "links", lambda nodes, sets_of, bucket, known: known)
+    assert {x.doc_id: x.first_id for x in near_copies(docs_of(texts)).collect()} == want

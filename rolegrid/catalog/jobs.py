@@ -12,7 +12,7 @@ from rolegrid.catalog.telemetry import _EL, _ELEMENT
 from rolegrid.functions import urls as U
 from rolegrid.operators import slots
 from rolegrid.plans import careers, ingest
-from rolegrid.session import checkpoint_dir
+from rolegrid.session import checkpoint_dir, cut
 from rolegrid.sources import registry
 
 
@@ -83,12 +83,19 @@ def _d24(t: Tables):
     return out["verdicts"].select(F.col("company_id").alias("page_id"), "new_verdict", "escalated")
 
 
+def feed_captures(t: Tables):
+    """A feed body per event, stored as captures are: the ingest reads them in several steps. Events are dealt out before
+    their bodies are made, as few small files hold very many."""
+    tasks = max(2 * t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    k = t.events.repartition(tasks).withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    return cut(k.select(F.concat(F.lit("["), F.expr(_ELEMENT), F.lit("]")).alias("body")))
+
+
 @query("d21_feed_ingest_job", f"""WITH {_EL}
 SELECT 'ok' AS outcome, (SELECT count(*) FROM el) AS found, (SELECT count(*) FROM el WHERE k >= 15 AND NOT (k >= 30 AND k < 38)) AS accepted, (SELECT count(*) FROM el WHERE k >= 15 AND NOT (k >= 30 AND k < 38)) AS inserted,
        (SELECT count(*) FROM jobs WHERE status = 'open' AND discovery_platform_id = 1 AND external_id IS NOT NULL) AS closed, (SELECT count(*) FROM el WHERE k BETWEEN 3 AND 14 OR (k >= 30 AND k < 38)) AS skipped""")
 def _d21(t: Tables):
-    k = t.events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
-    captures = k.select(F.concat(F.lit("["), F.expr(_ELEMENT), F.lit("]")).alias("body"))
+    captures = feed_captures(t)
     companies = t.companies.select("company_id", "slug", "name")
     jobs = t.jobs.withColumns({"created_at": F.col("first_seen_at"), "updated_at": F.col("last_seen_at"), "tags": F.array().cast("array<string>"), "is_remote": F.col("is_remote") == 1})
     report = ingest.feed_ingest(captures, companies, jobs, 1, now())["report"]
@@ -109,8 +116,7 @@ def few_slots(layout: slots.Layout) -> slots.Layout:
 
 def ingested(t: Tables) -> tuple[slots.SlotTable, slots.SlotTable]:
     """(companies, postings) after a feed run on slot tables."""
-    k = t.events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
-    captures = k.select(F.concat(F.lit("["), F.expr(_ELEMENT), F.lit("]")).alias("body"))
+    captures = feed_captures(t)
     companies = slot_table(t, t.companies.select("company_id", "slug", "name"), few_slots(slots.COMPANIES))
     jobs = t.jobs.withColumns({"created_at": F.col("first_seen_at"), "updated_at": F.col("last_seen_at"), "tags": F.array().cast("array<string>"), "is_remote": F.col("is_remote") == 1})
     postings = slot_table(t, jobs, few_slots(slots.POSTINGS))

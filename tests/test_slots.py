@@ -96,3 +96,14 @@ def test_vacuum_keeps_what_versions_name(spark, table):
     want = rows_of(t.rows())
     assert t.vacuum(2) > 0 and rows_of(t.rows()) == want and t.latest(below=2) == -1
     assert t.vacuum(2) == 0
+
+
+def test_feed_captures_are_stored_once_in_many_files(spark):
+    """Bodies were made in the few tasks that read the events, anew in every step of the ingest."""
+    from rolegrid.catalog.jobs import feed_captures
+    from rolegrid.catalog.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    captures = feed_captures(t)
+    assert captures.count() == t.events.count()
+    assert len(captures.inputFiles()) > max(t.events.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,21 +49,22 @@ def _first_string(v: Column) -> Column:
 
 
 def employment_type(raw: ColumnOrName) -> Column:
-    key = F.regexp_replace(F.upper(F.trim(c(raw))), "[- ]", "_")
+    key = F.translate(F.upper(F.trim(c(raw))), "- ", "__")
     return map_lookup(key, vocab.EMPLOYMENT_TYPE_MAP)
 
 
-def parse_posting(raw: ColumnOrName) -> Column:
-    """struct(is_posting, remote, employment_type, posted_at, valid_through) of a posting JSON text.
+POSTING_PARTS = ("is_posting", "remote", "employment_type", "posted_at", "valid_through")
+
 
-    ``remote`` is true or NULL, never false: absence of the marker says nothing.
+def parse_posting(raw: ColumnOrName, parts: Sequence[str] = POSTING_PARTS) -> Column:
+    """struct(is_posting, remote, employment_type, posted_at, valid_through), or the named parts of it, of a posting JSON text.
+
+    ``remote`` is true or NULL, never false: absence of the marker says nothing. Text that opens no object is not handed
+    to a JSON parser: each failure there is an exception, dearer than a parse.
     """
-    keys = F.json_object_keys(c(raw))
-    parts = F.struct(
-        F.from_json(c(raw), _POSTING_FIELDS).alias("f"), F.coalesce(keys, F.array().cast("array<string>")).alias("keys"),
-        (keys.isNotNull() & F.try_parse_json(c(raw)).isNotNull()).alias("valid"),
-    )
-    return let(parts, _read_posting)
+    text = F.when(c(raw).rlike(r"^\s*\{"), c(raw))
+    read = F.struct(text.alias("text"), F.from_json(text, _POSTING_FIELDS).alias("f"), F.try_parse_json(text).isNotNull().alias("valid"))
+    return let(read, lambda p: let(F.struct(_is_posting(p).alias("ok"), p["f"].alias("f")), lambda q: _read_posting(q, parts)))
 
 
 # The fields that are read.
@@ -74,22 +77,24 @@ def _scalar_or_first(text: Column) -> Column:
     return F.when(text.startswith("["), first_string(F.try_parse_json(text))).otherwise(F.trim(F.coalesce(text, F.lit(""))))
 
 
-def _read_posting(p: Column) -> Column:
-    f = p["f"]
-    typed = F.lower(_scalar_or_first(f["@type"])) == "jobposting"
-    marked = F.arrays_overlap(p["keys"], F.array(*[F.lit(k) for k in vocab.POSTING_MARKER_KEYS]))
-    ok = p["valid"] & (typed | marked)
+def _is_posting(p: Column) -> Column:
+    typed = F.lower(_scalar_or_first(p["f"]["@type"])) == "jobposting"
+    marked = F.arrays_overlap(F.json_object_keys(p["text"]), F.array(*[F.lit(k) for k in vocab.POSTING_MARKER_KEYS]))
+    return F.coalesce(p["valid"] & (typed | marked), F.lit(False))
 
-    def kept(name: str) -> Column:
-        return F.when(ok, _scalar_or_first(f[name]))
 
-    return F.struct(
-        F.coalesce(ok, F.lit(False)).alias("is_posting"),
-        F.when(kept("jobLocationType") == "TELECOMMUTE", F.lit(True)).alias("remote"),
-        employment_type(kept("employmentType")).alias("employment_type"),
-        let(kept("datePosted"), parse_instant).alias("posted_at"),
-        let(kept("validThrough"), parse_instant).alias("valid_through"),
-    )
+def _read_posting(q: Column, parts: Sequence[str]) -> Column:
+    def kept(name: str) -> Column:
+        return F.when(q["ok"], _scalar_or_first(q["f"][name]))
+
+    made = {
+        "is_posting": lambda: q["ok"],
+        "remote": lambda: F.when(kept("jobLocationType") == "TELECOMMUTE", F.lit(True)),
+        "employment_type": lambda: employment_type(kept("employmentType")),
+        "posted_at": lambda: let(kept("datePosted"), parse_instant),
+        "valid_through": lambda: let(kept("validThrough"), parse_instant),
+    }
+    return F.struct(*[made[name]().alias(name) for name in parts])
 
 
 def country_code(name: ColumnOrName) -> Column:

@@ -20,7 +20,7 @@ _DAY = rf"^{_DATE}$"
 
 def parse_instant(raw: ColumnOrName) -> Column:
     """Timestamp from one of the accepted layouts, zone-less text read as UTC; NULL otherwise."""
-    t = F.regexp_replace(F.trim(c(raw)), ",", ".")
+    t = F.translate(F.trim(c(raw)), ",", ".")
     zoned = (
         F.when(t.rlike(_FULL_ZONED), t)
         .when(t.rlike(_FULL_LOCAL), F.concat(t, F.lit("Z")))

@@ -436,7 +436,7 @@ def reconcile_runs(runs: DataFrame, now: ColumnOrName) -> DataFrame:
 def posting_backfill(jobs: DataFrame, now: ColumnOrName) -> DataFrame:
     """Re-read the stored posting JSON and fill type and date only where they differ. Adds
     ``backfilled``; running it on its own result changes nothing."""
-    p = jobs.withColumn("__p", parse_posting("raw_data"))
+    p = jobs.withColumn("__p", parse_posting("raw_data", ("employment_type", "posted_at")))
     new_type, new_time = F.nullif(F.col("__p.employment_type"), F.lit("")), F.col("__p.posted_at")
     type_moves = new_type.isNotNull() & ~new_type.eqNullSafe(F.col("employment_type"))
     time_moves = new_time.isNotNull() & ~new_time.eqNullSafe(F.col("posted_at"))

@@ -232,6 +232,15 @@ def _stage(rows: DataFrame, path: str) -> str:
     return path
 
 
+def moved_slots(table: SlotTable, change: Callable[[DataFrame], DataFrame], columns: list[str], base: int) -> DataFrame:
+    """Slots with a row that the change moves. The change is aggregated, not filtered: a filter is pushed below it and
+    evaluates it once per mention."""
+    was = {f"__was_{c}": F.col(c) for c in columns}
+    moved = ~F.struct(*columns).eqNullSafe(F.struct(*[F.col(w).alias(c) for w, c in zip(was, columns)]))
+    seen = change(table.read(version=base).withColumns(was))
+    return seen.groupBy(SLOT).agg(F.bool_or(moved).alias("moved")).filter("moved").select(SLOT)
+
+
 def maintain(table: SlotTable, change: Callable[[DataFrame], DataFrame], columns: list[str], base: int | None = None) -> tuple[int, set[int]]:
     """Apply a row-wise change, which alters only ``columns``, to the whole table: (version, slots rewritten).
 
@@ -239,9 +248,7 @@ def maintain(table: SlotTable, change: Callable[[DataFrame], DataFrame], columns
     are written. Where none moves, no file is written and the version stays.
     """
     base = table.latest() if base is None else base
-    was = {f"__was_{c}": F.col(c) for c in columns}
-    moved = ~F.struct(*columns).eqNullSafe(F.struct(*[F.col(w).alias(c) for w, c in zip(was, columns)]))
-    slots = {r[0] for r in change(table.read(version=base).withColumns(was)).filter(moved).select(SLOT).distinct().collect()}
+    slots = {r[0] for r in moved_slots(table, change, columns, base).collect()}
     if not slots:
         return base, slots
     held = table.read(slots, base)

@@ -213,6 +213,17 @@ def test_posting_parse(spark, value):
     assert all(g["remote"] is None for g in got) and got[-1]["employment_type"] is None
 
 
+def test_posting_parse_by_parts(spark):
+    """Named parts are those of the whole parse, also of texts that are no posting or no JSON."""
+    cases = [POSTING, None, "not json", '\n {"@type":["JobPosting"],"employmentType":"full time","datePosted":" 2026-01-01T10:00:00,5+02:00 "}', '{"@type":"JobPosting"', '{"@type":"JobPosting","@type":"x"}',
+             "{'@type':'JobPosting'}", '{"datePosted":null} rest', '{"@type":"JobPosting","employmentType":5,"datePosted":["2026-02-03"]}', '{"x":{"datePosted":"2026-01-01"}}', '[{"@type":"JobPosting"}]']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string")
+    got = df.select("i", jsonld.parse_posting("x").alias("p"), jsonld.parse_posting("x", ("employment_type", "posted_at")).alias("q")).orderBy("i").collect()
+    assert [(g["p"]["employment_type"], g["p"]["posted_at"]) for g in got] == [tuple(g["q"]) for g in got]
+    assert [g["p"]["is_posting"] for g in got] == [True, False, False, True, False, False, False, True, True, False, False]
+    assert tuple(got[3]["q"]) == ("full_time", datetime(2026, 1, 1, 8, 0, 0, 500000)) and tuple(got[8]["q"]) == (None, datetime(2026, 2, 3))
+
+
 def test_locations(spark):
     cases = [POSTING, '{"applicantLocationRequirements":{"name":"Canada"}}', '{"applicantLocationRequirements":[{"name":"Canada"},{"name":"Germany"}]}',
              '{"jobLocation":{"address":{"addressCountry":{"name":"uk"},"addressRegion":"London"}}}', '{"jobLocation":{"address":{"addressRegion":"X"}}}', "{}"]

@@ -81,6 +81,14 @@ def test_maintenance_rewrites_moved_slots_once(spark, table, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t/data").iterdir() if p.is_dir()) == ["v=0", "v=1"]
 
 
+def test_maintenance_reads_each_posting_json_once_a_pass(spark, table):
+    """The search for moved slots filtered on the change, which put the JSON parse into the filter ten times."""
+    t = table([job(k, k % 5, f"e{k}") for k in range(20)])
+    found = slots.moved_slots(t, lambda df: merge.posting_backfill(df, now()), ["employment_type", "posted_at"], 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_an_unfinished_version_is_not_read_and_is_replaced(spark, table, tmp_path):
     t = table([job(k, 1, f"e{k}") for k in range(20)])
     spark.createDataFrame([job(1, 1, "half")], JOBS).withColumn("slot", F.lit(3)).write.partitionBy("slot").parquet(str(tmp_path / "t/data/v=1"))

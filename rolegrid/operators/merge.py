@@ -17,7 +17,7 @@ from rolegrid.functions import text as T
 from rolegrid.functions.base import ColumnOrName, blank_to_null, c
 from rolegrid.functions.jsonld import parse_posting
 from rolegrid.operators.ranking import first_per_group, last_wins
-from rolegrid.operators.scans import bucket, number_rows, running_sum
+from rolegrid.operators.scans import bucket, number_rows
 
 JOB_KEY = ["discovery_platform_id", "external_id"]
 # The columns a re-observation replaces.
@@ -27,6 +27,7 @@ JOB_CONTENT = [
     "salary_max_cents", "salary_currency", "salary_period", "tags", "posted_at", "scrape_run_id",
 ]
 NUMBER_BUCKETS = 4096
+SEEN = "__seen"
 
 
 def assign_ids(
@@ -47,18 +48,20 @@ def keyed(key: list[str]) -> Column:
 
 def number_fresh(
     batch: DataFrame, state: DataFrame, key: list[str], id_col: str, buckets: int = NUMBER_BUCKETS, top: Column | None = None
-) -> DataFrame:
-    """batch (unique on key) with ids for the keys that state does not hold, NULL for the others: dense ids
-    after the highest one (``top`` where state is only a part of the table), found before the merge so that the
-    merge itself is planned once."""
-    known = state.filter(keyed(key)).select(*key).distinct().withColumn("__known", F.lit(True))
-    flagged = batch.filter(keyed(key)).join(known, key, "left").unionByName(
-        batch.filter(~keyed(key)).withColumn("__known", F.lit(None).cast("boolean")))
-    spread = F.pmod(F.xxhash64(*key), F.lit(buckets))
-    fresh = F.col("__known").isNull()
-    counted = running_sum(flagged, [], [F.col(k) for k in key], spread, {"__n": fresh.cast("int")})
+) -> tuple[DataFrame, DataFrame]:
+    """batch (unique on key) with ids for the keys that state does not hold, NULL for the others, as (rows with a whole
+    key, rows with a NULL in it): dense ids after the highest one (``top`` where state is only a part of the table), found
+    before the merge so that the merge itself is planned once. Only keys are numbered; the rows meet their ids in a join
+    by key, which the merge then needs anyway."""
+    whole = keyed(key)
+    order, spread = [F.col(k) for k in key], F.pmod(F.xxhash64(*key), F.lit(buckets))
     after = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top")).scalar() if top is None else top
-    return counted.withColumn(id_col, F.when(fresh, after + F.col("__n"))).drop("__n", "__known")
+    alone = batch.filter(~whole)
+    loose = number_rows(alone, [], order, spread, "__n").withColumn(id_col, after + F.col("__n")).drop("__n")
+    fresh = batch.filter(whole).select(*key).distinct().join(state.filter(whole).select(*key), key, "left_anti")
+    after = after + alone.agg(F.count(F.lit(1)).alias("__alone")).scalar()
+    ids = number_rows(fresh, [], order, spread, "__n").select(*key, (after + F.col("__n")).alias(id_col))
+    return batch.filter(whole).join(ids, key, "left"), loose
 
 
 def upsert(
@@ -72,10 +75,12 @@ def upsert(
     born: list[str] | None = None,
     status: str | None = None,
     ordinal: str | None = None,
+    loose: DataFrame | None = None,
 ) -> DataFrame:
     """Full-outer merge. Content comes from the batch where it has the key; ``insert_only`` columns
     only for new keys; ``born`` columns are stamped once, ``touched`` at every sighting. Adds
-    ``merge_action``: inserted, updated or kept. Rows with a NULL key part never match."""
+    ``merge_action``: inserted, updated or kept. Rows with a NULL key part never match; ``loose`` are those of the
+    batch where they were set aside before."""
     b = last_wins(batch, key, ordinal) if ordinal else batch
     stamp = c(now) if not isinstance(now, Column) else now
     insert_only, touched, born = insert_only or [], touched or [], born or []
@@ -120,7 +125,7 @@ def upsert(
     return (
         joined.select(*out, action)
         .unionByName(state.filter(~whole).select(*state.columns, F.lit("kept").alias("merge_action")))
-        .unionByName(b.filter(~whole).select(*alone, F.lit("inserted").alias("merge_action")))
+        .unionByName((b.filter(~whole) if loose is None else loose).select(*alone, F.lit("inserted").alias("merge_action")))
     )
 
 
@@ -128,16 +133,17 @@ def upsert_jobs(
     state: DataFrame, batch: DataFrame, now: ColumnOrName, replace_raw: bool = False, ordinal: str | None = "ordinal", top: Column | None = None
 ) -> DataFrame:
     """Posting upsert: content replaced, reopened, last_seen moved; first_seen, created and (unless
-    told otherwise) raw_data kept. New rows get ids after the highest one (``top``, if given)."""
-    content = JOB_CONTENT + (["raw_data"] if replace_raw else [])
-    last = last_wins(batch, JOB_KEY, ordinal) if ordinal else batch
+    told otherwise) raw_data kept. New rows get ids after the highest one (``top``, if given). A ``__seen`` flag
+    (``flag_seen``) on both sides goes with the content."""
+    content = [*JOB_CONTENT, SEEN] + (["raw_data"] if replace_raw else [])
+    last, loose = last_wins(batch, JOB_KEY, ordinal) if ordinal else batch, None
     ids = "job_id" in state.columns
     if ids:
-        last = number_fresh(last.drop("job_id"), state, JOB_KEY, "job_id", top=top)
+        last, loose = number_fresh(last.drop("job_id"), state, JOB_KEY, "job_id", top=top)
     return upsert(
         state, last, JOB_KEY, content, now,
         insert_only=([] if replace_raw else ["raw_data"]) + (["job_id"] if ids else []),
-        touched=["last_seen_at", "updated_at"], born=["first_seen_at", "created_at"], status="status",
+        touched=["last_seen_at", "updated_at"], born=["first_seen_at", "created_at"], status="status", loose=loose,
     )
 
 
@@ -147,14 +153,19 @@ def browser_batch(postings: DataFrame) -> DataFrame:
     return postings.withColumns({col: blank_to_null(col) for col in optional if col in postings.columns})
 
 
+def flag_seen(rows: DataFrame, seen: DataFrame, scope: list[str], key: str = "external_id") -> DataFrame:
+    """Adds ``__seen``: true where the row's scope and key were seen, else NULL."""
+    observed = seen.filter(F.col(key).isNotNull()).select(*scope, key).distinct()
+    return rows.join(observed.withColumn(SEEN, F.lit(True)), [*scope, key], "left").select(*rows.columns, SEEN)
+
+
 def mark_stale(state: DataFrame, seen: DataFrame, scope: list[str], now: ColumnOrName, key: str = "external_id") -> DataFrame:
     """Close open rows of a scope whose non-NULL key was not seen. A scope with an empty seen set
-    closes nothing, nor does a NULL key. Adds ``newly_closed``."""
-    observed = seen.filter(F.col(key).isNotNull()).select(*scope, key).distinct()
-    scopes = observed.select(*scope).distinct().withColumn("__scope", F.lit(True))
-    flagged = state.join(observed.withColumn("__seen", F.lit(True)), [*scope, key], "left").join(scopes, scope, "left")
+    closes nothing, nor does a NULL key. Adds ``newly_closed``. Rows that carry ``__seen`` are not looked up again."""
+    scopes = seen.filter(F.col(key).isNotNull()).select(*scope).distinct().withColumn("__scope", F.lit(True))
+    flagged = (state if SEEN in state.columns else flag_seen(state, seen, scope, key)).join(scopes, scope, "left")
     stale = (
-        (F.col("status") == "open") & F.col(key).isNotNull() & F.col("__scope").isNotNull() & F.col("__seen").isNull()
+        (F.col("status") == "open") & F.col(key).isNotNull() & F.col("__scope").isNotNull() & F.col(SEEN).isNull()
     )
     return flagged.select(
         *[
@@ -162,6 +173,7 @@ def mark_stale(state: DataFrame, seen: DataFrame, scope: list[str], now: ColumnO
             else F.when(stale, c(now)).otherwise(F.col(col)).alias(col) if col == "updated_at"
             else F.col(col)
             for col in state.columns
+            if col != SEEN
         ],
         F.coalesce(stale, F.lit(False)).alias("newly_closed"),
     )

@@ -4,9 +4,8 @@ A row's slot is a hash of its scope (what staleness closes by) and of its natura
 one slot, those of one scope in one group of slots, and a hot scope is still many slots. A version is a manifest that
 names for every slot the version that wrote it; versions share the slots they did not write:
 
-    root/data/v=<version>/slot=<slot>/   rows of a slot as that version wrote them
+    root/data/v=<version>/slot=<slot>/   rows of a slot as that version wrote them; a merge adds what it did to each
     root/manifest/v=<version>/           (slot, written, rows, top) of every slot
-    root/changes/v=<version>/            what a merge did to the rows it rewrote
 
 The manifest is written last, so a version is there whole or not at all, and writing a version again replaces it. Only
 slot numbers and manifests pass the driver: at most ``groups x parts`` rows.
@@ -110,10 +109,16 @@ class SlotTable:
         return self._commit(0, rows, [])
 
     def replace(self, rows: DataFrame, slots: Iterable[int], base: int, version: int) -> int:
-        """A version in which ``rows`` are all rows of ``slots`` and the other slots are those of ``base``."""
+        """A version in which ``rows`` are all rows of ``slots`` and the other slots are those of ``base``. Columns of ``rows``
+        that the table does not have are kept for ``written`` only."""
         touched = set(slots)
         return self._commit(version, rows, [m for m in self.manifest(base) if m["slot"] not in touched])
 
+    def written(self, version: int, like: DataFrame) -> DataFrame:
+        """The rows that a version wrote, in the columns of ``like``, from which it was written."""
+        schema = T.StructType([*like.schema.fields, T.StructField(SLOT, T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/data/v={version}").select(*like.columns)
+
     def keep(self, base: int, version: int) -> int:
         """A version without a change: a manifest and no data."""
         self._write_manifest(version, self.manifest(base))
@@ -140,7 +145,7 @@ class SlotTable:
         for v in versions:
             if v < keep_from:
                 self._delete(f"manifest/v={v}")
-                self._delete(f"changes/v={v}")
+                self._delete(f"changes/v={v}")  # written beside the data before
         return gone
 
     # --- inside ---
@@ -211,25 +216,28 @@ def merge_postings(
         raise ValueError(f"a scope has to start with {', '.join(table.layout.scope)}")
     base = table.latest() if base is None else base
     version = base + 1 if version is None else version
-    seen = merge.observed_keys(batch, scope) if observed is None else observed
+    last = merge.last_wins(batch, merge.JOB_KEY, ordinal) if ordinal else batch
+    if observed is None:
+        # The batch's own keys: its rows are seen, unless the key is blank, and no other row is.
+        seen = merge.observed_keys(batch, scope)
+        last = last.withColumn(merge.SEEN, F.when(F.col("external_id") != "", F.lit(True)))
+        flag = lambda rows: rows.withColumn(merge.SEEN, F.lit(None).cast("boolean"))
+    else:
+        # Looked up before the merge: by key, as the merge joins, so that merged rows need not move once more.
+        seen = observed
+        last = merge.flag_seen(last, seen, scope)
+        flag = lambda rows: merge.flag_seen(rows, seen, scope)
     touched = table.slots_of(batch)
     closing = closing_slots(table, seen, scope, base, now, touched)
-    state = table.read(touched, base).drop(SLOT)
-    merged = merge.upsert_jobs(state, batch, now, ordinal=ordinal, top=table.top(base))
-    rest = table.read(closing, base).drop(SLOT).withColumn("merge_action", F.lit("kept"))
-    flagged = merged.unionByName(rest)
+    flagged = merge.upsert_jobs(flag(table.read(touched, base).drop(SLOT)), last, now, ordinal=None, top=table.top(base))
+    if closing:
+        flagged = flagged.unionByName(flag(table.read(closing, base).drop(SLOT)).withColumn("merge_action", F.lit("kept")))
     out = merge.mark_stale(flagged, seen, scope, now)
     if not touched | closing:
         table.keep(base, version)
         return out
-    staged = table.spark.read.schema(out.schema).parquet(_stage(out, f"{table.root}/changes/v={version}"))
-    table.replace(staged.drop("merge_action", "newly_closed"), touched | closing, base, version)
-    return staged
-
-
-def _stage(rows: DataFrame, path: str) -> str:
-    rows.write.mode("overwrite").parquet(path)
-    return path
+    table.replace(out, touched | closing, base, version)
+    return table.written(version, out)
 
 
 def moved_slots(table: SlotTable, change: Callable[[DataFrame], DataFrame], columns: list[str], base: int) -> DataFrame:

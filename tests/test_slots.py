@@ -61,6 +61,33 @@ def test_batches_equal_whole_snapshots(spark, table):
             assert len(others) > len(before) // 2
 
 
+def test_a_merge_writes_its_rows_once(spark, table, tmp_path):
+    """Rows were staged in a folder of changes, read back, dealt to slots and written again."""
+    t = table([job(k, k % 4, f"e{k}") for k in range(40)])
+    batch = spark.createDataFrame([(1, 1, "e1", "again", None, 1), (1, 1, "n1", "new", None, 2), (1, 1, "", "blank", None, 3)], BATCH)
+    changed = slots.merge_postings(t, batch, now())
+    assert not (tmp_path / "t/changes").exists() and all("/data/v=1/" in f for f in changed.inputFiles())
+    got = {r["external_id"]: (r["merge_action"], r["newly_closed"], r["status"]) for r in changed.collect()}
+    assert (got["e1"], got["n1"], got["e5"]) == (("updated", False, "open"), ("inserted", False, "open"), ("kept", True, "closed"))
+    assert got[""] == ("inserted", True, "closed")  # a blank key is no sighting
+    assert t.rows().columns == t.rows(0).columns and t.rows().count() == 42
+
+
+@pytest.mark.parametrize("scope", [["discovery_platform_id"], ["discovery_platform_id", "company_id"]])
+def test_a_given_seen_set_equals_whole_snapshots(spark, table, scope):
+    """Sightings of dropped rows keep postings open; a batch row out of the seen set closes again."""
+    rows = [job(k, k % 3 or None, None if k % 7 == 0 else f"e{k}", ["open", "closed", "filled"][k % 3 if k % 5 else 0]) for k in range(1, 120)]
+    t, whole = table(rows), spark.createDataFrame(rows, JOBS)
+    batch = spark.createDataFrame([(k % 2, 1, f"e{k}", f"t{k}", None, k) for k in range(1, 60, 2)] + [(2, 2, "n", "new", None, 99), (None, 2, "m", "new", None, 100)], BATCH)
+    seen = spark.createDataFrame([(1, k % 3, f"e{k}") for k in range(1, 90, 4)] + [(2, 2, "n"), (2, None, "e2"), (None, 1, "e3"), (1, 1, None)], "discovery_platform_id bigint, company_id bigint, external_id string")
+    want = merge.mark_stale(merge.upsert_jobs(whole, batch, now()), seen, scope, now())
+    got = slots.merge_postings(t, batch, now(), observed=seen, scope=scope)
+    plain = lambda df: rows_of(df.withColumn("job_id", F.when(F.col("job_id") < 120, F.col("job_id"))).select(*want.columns))
+    assert [r for r in plain(got) if r[want.columns.index("merge_action")] != "kept" or r[-1]] == [r for r in plain(want) if r[want.columns.index("merge_action")] != "kept" or r[-1]]
+    assert plain(t.rows().withColumns({"merge_action": F.lit(""), "newly_closed": F.lit(True)})) == plain(want.withColumns({"merge_action": F.lit(""), "newly_closed": F.lit(True)}))
+    assert want.filter("newly_closed").count() > 3
+
+
 def test_nothing_observed_writes_no_data(spark, table, tmp_path):
     t = table([job(1, 1, "a")])
     slots.merge_postings(t, spark.createDataFrame([], BATCH), now())
